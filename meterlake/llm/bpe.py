@@ -5,6 +5,9 @@ lower ranks; what the executors get is the finished tokenizer as one string of f
 vocabulary's), so no worker needs the file.  Bytes are written as the characters of the usual
 byte-to-character table, which the decoder reverses.
 
+Words repeat, so each worker keeps the ids of the matches it has met (``CACHE`` of them, then it begins
+anew) and hands the library only new ones, many at a time.
+
 A text is cut before a space that follows a non-space once ``CHUNK`` characters are full; a match of the
 pattern never spans such a place, so ids are those of the whole text while the library's own memory
 stays bounded.  A single longer run is encoded as it is.
@@ -15,6 +18,7 @@ Defined results: null or empty text has no tokens; every row gives a row; other
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 
 from meterlake.llm.common import ship, table
 
-CHUNK = 1 << 16
+CHUNK, CACHE = 1 << 16, 1 << 18
 #: Rows of a batch; a batch of the longest texts of a corpus must fit a worker.
 BATCH_ROWS = 256
 
@@ -53,8 +57,8 @@ def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
-def tokenizer_json(ranks: dict[bytes, int]) -> str:
-    from tokenizers import Tokenizer, models, pre_tokenizers
+def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     chars = byte_chars()
     name = lambda token: "".join(chars[b] for b in token)
@@ -62,7 +66,8 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
     long = sorted((token for token in ranks if len(token) > 1), key=ranks.__getitem__)
     merges = [tuple(map(name, merge_of(token, ranks))) for token in long]
     t = Tokenizer(models.BPE(vocab=vocab, merges=merges))
-    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    t.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return t.to_str()
 
 
@@ -84,9 +89,13 @@ class Codec:
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.pattern = regex.compile(json.loads(spec)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # gets single matches
+        self.known: dict[str, bytes] = {}
         byte = {c: b for b, c in enumerate(byte_chars())}
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
@@ -101,10 +110,17 @@ class Codec:
         return cls.made[key]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        parts = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in chunks(text)]
-        return np.concatenate([np.asarray(x, dtype=np.int32) for x in parts])
+        out = []
+        for part in chunks(text):
+            found = self.pattern.findall(part)
+            if new := [*{*found} - self.known.keys()]:
+                if len(self.known) + len(new) > CACHE:
+                    self.known.clear()
+                    new = [*{*found}]
+                for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                    self.known[word] = np.array(e.ids, dtype=np.int32).tobytes()
+            out.append(b"".join(map(self.known.__getitem__, found)))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def char_starts(self, text: str, ids: np.ndarray) -> np.ndarray:
         """The character in which each token begins; a token within a character has that character's place."""
@@ -167,7 +183,7 @@ def decode(encoded: DataFrame, spec: str, ids_col: str = "ids", bytes_col: str =
 def default_spec() -> str:
     import public_tokenizers
 
-    return tokenizer_json(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return tokenizer_json(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
 def digests(docs: DataFrame, spec: str | None = None) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from meterlake.llm import bpe, chat, mixing
+from meterlake.llm import bpe, chat, fingerprints, mixing, secrets
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op1_secret_scans": secrets.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
 }

@@ -1,0 +1,158 @@
+r"""Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
+
+Base kinds are found by pattern, leftmost and non-overlapping per kind.  The method adds spans of kind
+``owned``: long tokens that look live (upper case, lower case and a digit), lie outside every base span,
+and whose value occurs with at most ``max_owners`` distinct owners in the whole corpus.  A value that
+more owners hold is a widely copied example and is not added.
+
+Candidate values are hashed; per hash the distinct repositories and owners are counted over all
+documents (partial aggregation first, so a value in a third of all rows is one row per task).  Verdicts
+return to the documents by a join in two parts: values that make up at least 1/``HEAVY_PARTS`` of all
+candidates (so at most ``HEAVY_PARTS`` of them, whatever the corpus) are broadcast, the others are
+joined by hash, none of which is then a hot key.
+
+The repository is ``repo_col``; its owner is what stands before the first ``/``.
+
+Defined results: null or empty text has no spans; a null repository counts as one repository and owner of
+its own; repeated rows are scanned and returned each; spans with equal starts stand in the order
+assign, access, hex, owned; an empty table gives no rows.  Positions are code points, ends exclusive.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterlake.llm.common import durable, table, text_of
+
+#: The patterns of the base kinds. Letters of key words are given in both cases.
+ASSIGN = (
+    r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
+    r"|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = r"AKIA[A-Z0-9]{16,}"  # all failing matches are shorter; none hides a longer one
+HEX = r"[0-9a-f]{24,}"
+OWNED = r"[A-Za-z0-9_-]{20,}"
+KINDS = ("assign", "access", "hex", "owned")
+MIN_VALUE = 6
+MAX_OWNERS = 2
+HEAVY_PARTS = 2000
+
+_SPAN = "array<struct<start:int,rank:int,end:int,hash:string>>"
+
+
+def spans(text: Column, rank: int, pattern: str, value_group: int = 0, least: int = 0) -> Column:
+    """All matches with their places: pieces between matches and matches, laid end to end."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        begin = acc["at"] + F.length(pair["gap"])
+        end = begin + F.length(pair["match"])
+        value = F.regexp_extract(pair["match"], pattern, value_group) if value_group else pair["match"]
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.sha2(value, 256).alias("hash"))
+        kept = F.when(F.length(value) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), kept.alias("out"))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+
+
+def scan(docs: DataFrame, repo_col: str = "source", max_owners: int = MAX_OWNERS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: id, text_hash, base and spans (arrays of start, rank, end, hash), n_owned, n_copied.
+
+    ``n_owned`` and ``n_copied`` count spans whose value few or many owners hold.
+    """
+    t = text_of(text_col)
+    looks_live = lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
+    per_kind = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(repo_col), F.lit("")).alias("repo"), t.alias("text"))
+    per_kind = per_kind.select(
+        "doc_id", "repo", F.xxhash64("text").alias("text_hash"),
+        F.array_sort(F.concat(spans(F.col("text"), 0, ASSIGN, 2, MIN_VALUE), spans(F.col("text"), 1, ACCESS), spans(F.col("text"), 2, HEX))).alias("base"),
+        F.when(F.exists(F.regexp_extract_all("text", F.lit(OWNED), F.lit(0)), looks_live),
+               F.filter(spans(F.col("text"), 3, OWNED), lambda s: looks_live(F.substr("text", s["start"] + 1, s["end"] - s["start"])))
+               ).otherwise(F.array().cast(_SPAN)).alias("more"))
+    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    scanned = durable(per_kind.select(
+        F.monotonically_increasing_id().alias("rid"), "doc_id", "repo", "text_hash", "base", clear.alias("more")), "scanned")
+
+    cand = scanned.select("rid", "repo", F.explode(F.concat("base", "more")).alias("s")).select("rid", "repo", "s", F.col("s.hash").alias("hash"))
+    owner = F.substring_index("repo", "/", 1)
+    held = cand.groupBy("hash", "repo").agg(F.count("*").alias("n")).groupBy("hash").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_repos"), F.count_distinct(owner).alias("n_owners"))
+    held = durable(held, "held")
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") >= max(1, -(-total // HEAVY_PARTS))
+    known = F.broadcast(held.filter(heavy).select("hash", "n_owners"))  # HEAVY_PARTS rows at most
+    common = cand.join(known, "hash")
+    rare = cand.join(known, "hash", "left_anti").join(held.filter(~heavy).select("hash", "n_owners"), "hash")
+    judged = common.unionByName(rare).withColumn("owned", F.col("n_owners") <= max_owners)
+    verdict = judged.groupBy("rid").agg(
+        F.collect_list(F.when(F.col("owned") & (F.col("s.rank") == 3), F.col("s"))).alias("added"),
+        F.sum(F.col("owned").cast("long")).alias("n_owned"), F.sum((~F.col("owned")).cast("long")).alias("n_copied"))
+    return scanned.join(verdict, "rid", "left").select(
+        "doc_id", "text_hash", "base",
+        F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN)))).alias("spans"),
+        F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+
+
+def listed(spans_col: str) -> Column:
+    """kind:start:end, comma-joined."""
+    kinds = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans_col, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(docs: DataFrame, repo_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
+    """Every span, overlapping ones joined, replaced by ``mark``; all rows and columns stay, in the same schema."""
+    found = scan(docs, repo_col).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr("text", acc["at"] + 1, s["start"] - acc["at"])
+        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+
+    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
+    f = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    d = docs.withColumn("__text_hash", F.xxhash64(text_of()))
+    joined = d.join(f, (d["__text_hash"] == f["__hash"]) & d["doc_id"].eqNullSafe(f["__id"]), "left")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean).alias("text")
+    return joined.select(*[text if c == "text" else d[c] for c in docs.columns])
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scan(table(spark, sf_dir, "documents"))
+    count = lambda r: F.size(F.filter("base", lambda x: x["rank"] == r)).cast("long")
+    return s.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), "n_owned", "n_copied")
+
+
+def _matches_sql(rank: int, pattern: str, value: str = "v") -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT rid, {rank} AS rk, v, {value} AS secret, st, st + length(v) AS en FROM (
+      SELECT rid, ms[i] AS v, CAST(list_sum(list_transform(gs[1:i], lambda s: length(s)))
+        + coalesce(list_sum(list_transform(ms[1:i-1], lambda s: length(s))), 0) AS BIGINT) AS st
+      FROM (SELECT rid, ms, gs, unnest(range(1, len(ms) + 1)) AS i
+            FROM (SELECT rid, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d) a) b) c"""
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS repo, coalesce(text, '') AS t FROM documents),
+b AS (SELECT * FROM ({_matches_sql(0, ASSIGN, "regexp_extract(v, '" + ASSIGN.replace("'", "''") + "', 2)")}) q WHERE length(secret) >= {MIN_VALUE}
+  UNION ALL {_matches_sql(1, ACCESS)} UNION ALL {_matches_sql(2, HEX)}),
+o AS (SELECT * FROM ({_matches_sql(3, OWNED)}) q
+  WHERE regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
+    AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = q.rid AND b.st < q.en AND q.st < b.en)),
+s AS (SELECT * FROM b UNION ALL SELECT * FROM o),
+h AS (SELECT secret, count(DISTINCT split_part(repo, '/', 1)) <= {MAX_OWNERS} AS owned FROM s JOIN d USING (rid) GROUP BY secret),
+j AS (SELECT s.*, h.owned, ['assign', 'access', 'hex', 'owned'][rk + 1] || ':' || st || ':' || en AS l FROM s JOIN h USING (secret)),
+g AS (SELECT rid, count(*) FILTER (WHERE rk = 0) AS n_assign, count(*) FILTER (WHERE rk = 1) AS n_access, count(*) FILTER (WHERE rk = 2) AS n_hex,
+  string_agg(l, ',' ORDER BY st, rk) FILTER (WHERE rk < 3) AS base, string_agg(l, ',' ORDER BY st, rk) FILTER (WHERE rk < 3 OR owned) AS spans,
+  count(*) FILTER (WHERE owned) AS n_owned, count(*) FILTER (WHERE NOT owned) AS n_copied FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN g USING (rid)
+"""

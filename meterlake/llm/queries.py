@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from meterlake.llm import bpe, chat, fingerprints, mixing, secrets
+from meterlake.llm import bpe, chat, fingerprints, jaccard, mixing, secret_scan, substrings
 
 QUERIES = {
-    "op1_secret_scans": secrets.op1_secret_scans,
+    "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
-    "op1_secret_scans": secrets.OP1_SQL,
+    "op1_secret_scans": secret_scan.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
 }

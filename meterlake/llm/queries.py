@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterlake.llm import bpe, chat, fingerprints, jaccard, mixing, secret_scan, substrings
+from meterlake.llm import bpe, chat, fingerprints, html_text, jaccard, langid, lattice, mixing, secret_scan, substrings
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
@@ -11,7 +11,10 @@ QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_html_extraction": html_text.op7_html_extraction,
+    "op8_language_id": langid.op8_language_id,
     "op9_mixing": mixing.op9_mixing,
+    "op10_embedding_dedup": lattice.op10_embedding_dedup,
 }
 
 ORACLES = {

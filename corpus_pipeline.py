@@ -2,9 +2,68 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterlake.llm import bpe, jaccard, langid, mixing, secret_scan
+from meterlake.llm.common import WORD, durable, table
+
+#: Below this calibrated score no language is accepted.
+MIN_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or that no learned language fits, go."""
+    judged = langid.predict(docs, langid.train(docs))
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays; documents without words are in no group."""
+    first = jaccard.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark; all documents stay."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's text becomes the words that the mix takes of it, repeats included; documents of which it takes none go."""
+    mixed = mixing.mix(docs, keep=["text", *[c for c in docs.columns if c not in ("doc_id", "source", "text")]]).filter("taken > 0")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+
+    def part(x: Column) -> Column:
+        return F.array_join(F.slice("__words", x["from"].cast("int") + 1, (x["to"] - x["from"]).cast("int")), " ")
+
+    cut = mixed.withColumn("__words", F.when(F.size("extra") > 0, words))
+    pieces = F.concat(F.array_repeat("text", F.col("rounds").cast("int")), F.transform("extra", part))
+    text = F.array_join(pieces, "\n")
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(bpe.BATCH_ROWS))
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.default_spec(), starts_col=None)
+    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", jaccard_join),
+    ("secret_scans", secret_scans),
+    ("mixing", mix_sources),
+    ("byte_level_bpe", byte_bpe),
+]
+
+#: The classifier is fitted, so SQL can't give the rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

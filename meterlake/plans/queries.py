@@ -1,0 +1,135 @@
+"""The reports and operators over the bridge views, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterlake.operators import derive, merge, pricing, reports, watermarks
+from meterlake.plans import bridge as b
+
+SINCE = 1704400000000
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    m = pricing.price(b.view(spark, d, b.MESSAGES), b.constant(spark, b.RATES), b.constant(spark, b.ALIASES), b.VERSION)
+    return derive.latency(m)
+
+
+def priced(spark: SparkSession, d: str) -> DataFrame:
+    return pricing.price(b.view(spark, d, b.MESSAGES), b.constant(spark, b.RATES), b.constant(spark, b.ALIASES), b.VERSION)
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    return b.view(spark, d, b.TOOL_CALLS)
+
+
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    return derive.sessions(priced(spark, d), calls(spark, d))
+
+
+def marks(spark: SparkSession) -> DataFrame:
+    return b.constant(spark, b.MARKS)
+
+
+def fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """Three lines a message, as one response is several lines."""
+    return b.view(spark, d, b.MESSAGES).select("dedup_key", "session_id", "total_tokens", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("line_no"))
+
+
+def u1_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    lines = fan_out(spark, d).withColumn("total_tokens", F.col("total_tokens") * F.col("line_no"))
+    stored = b.view(spark, d, b.MESSAGES).filter("ts_epoch_ms % 4 = 0").select("dedup_key")
+    return merge.first_wins(stored, lines, ["line_no"])
+
+
+def u2_merge_calls(spark: SparkSession, d: str) -> DataFrame:
+    c = calls(spark, d)
+    none = F.lit(None)
+    call = c.select("dedup_key", "agent", "session_id", "tool_name", none.cast("long").alias("result_ts_epoch_ms"), none.cast("boolean").alias("is_error"), "ts_epoch_ms", F.lit(1).alias("seq"))
+    result = c.filter("duration_ms IS NOT NULL").select("dedup_key", "agent", none.cast("string").alias("session_id"), none.cast("string").alias("tool_name"),
+                                                        (F.col("ts_epoch_ms") + F.col("duration_ms")).alias("result_ts_epoch_ms"), "is_error", none.cast("long").alias("ts_epoch_ms"), F.lit(2).alias("seq"))
+    return merge.merge_calls(call.unionByName(result))
+
+
+QUERIES = {
+    "c3_price": lambda s, d: priced(s, d).select("dedup_key", "cost_source", "pricing_version", F.round("cost_usd", 9).alias("cost_usd")),
+    "w1_latency": lambda s, d: derive.latency(b.view(s, d, b.MESSAGES)).select("dedup_key", "latency_ms"),
+    "a1_daily": lambda s, d: reports.daily(priced(s, d)),
+    "a1_daily_since": lambda s, d: reports.daily(priced(s, d), SINCE),
+    "a2_models": lambda s, d: reports.models(messages(s, d)),
+    "a3_tools": lambda s, d: reports.tools(calls(s, d)),
+    "a4_status": lambda s, d: reports.status(priced(s, d), sessions(s, d), calls(s, d)),
+    "a5_unknown_models": lambda s, d: reports.unknown_models(priced(s, d)),
+    "a6_sessions": sessions,
+    "o2_recent_sessions": lambda s, d: reports.recent_sessions(sessions(s, d)),
+    "a7_experiments": lambda s, d: reports.experiments(b.constant(s, b.EXPERIMENTS), priced(s, d)),
+    "a8_experiment_report": lambda s, d: reports.experiment_report(b.constant(s, b.EXPERIMENTS), messages(s, d), "overlap"),
+    "a9_duplicates": lambda s, d: reports.duplicates(fan_out(s, d)),
+    "u1_first_wins": u1_first_wins,
+    "u2_merge_calls": u2_merge_calls,
+    "s9_decide": lambda s, d: watermarks.decide(b.constant(s, b.LISTING), marks(s)),
+    "s12_summary": lambda s, d: watermarks.summary(marks(s)),
+    "d8_doctor": lambda s, d: reports.doctor(priced(s, d), sessions(s, d), marks(s)),
+}
+
+
+def _oracles() -> dict[str, str]:
+    m, t = b.MESSAGES.format(**b.DUCK), b.TOOL_CALLS.format(**b.DUCK)
+    base = f"""WITH raw AS ({m}), tc AS ({t}), rates AS ({b.RATES}), aliases AS ({b.ALIASES}), exps AS ({b.EXPERIMENTS}), marks AS ({b.MARKS}), listing AS ({b.LISTING}),
+    src AS (SELECT raw.*, ts_epoch_ms - lag(ts_epoch_ms) OVER (PARTITION BY agent, session_id, coalesce(agent_run_id, '') ORDER BY ts_epoch_ms, dedup_key) AS gap,
+      CASE WHEN reported_cost_usd IS NOT NULL THEN 'reported' WHEN agent = 'pi' THEN 'unknown' WHEN raw.model = '<synthetic>' THEN 'zero-rated'
+        WHEN r.model IS NOT NULL THEN 'derived' ELSE 'unknown' END AS cost_source,
+      input_tokens * r.input + output_tokens * r.output + cache_read_tokens * coalesce(r.cache_read, 0) + cache_write_5m_tokens * r.cache_write_5m + cache_write_1h_tokens * r.cache_write_1h AS dc
+      FROM raw LEFT JOIN rates r ON r.model = CASE raw.model WHEN 'alias-a' THEN 'model-a' ELSE regexp_replace(raw.model, '-[0-9]{{8}}$', '') END),
+    msg AS (SELECT *, CASE WHEN gap BETWEEN 0 AND 1800000 THEN gap END AS latency_ms, CASE WHEN cost_source IN ('derived', 'zero-rated') THEN 'v1' END AS pricing_version,
+      CASE cost_source WHEN 'reported' THEN reported_cost_usd WHEN 'zero-rated' THEN 0.0 WHEN 'derived' THEN dc END AS cost_usd FROM src),
+    ses AS (SELECT agent, session_id, min(ts_epoch_ms) AS started_at_ms, max(ts_epoch_ms) AS ended_at_ms, max(ts_epoch_ms) - min(ts_epoch_ms) AS duration_ms, count(*) AS message_count,
+      count(*) FILTER (WHERE kind = 'compaction') AS compaction_count, count(agent_run_id) AS subagent_message_count,
+      CAST(to_json(coalesce(list_sort(list(DISTINCT model) FILTER (WHERE model IS NOT NULL)), [])) AS varchar) AS models_used, count(DISTINCT model) - 1 AS model_switch_count,
+      CAST(sum(input_tokens) AS bigint) AS input_tokens, CAST(sum(output_tokens) AS bigint) AS output_tokens, CAST(sum(cache_read_tokens) AS bigint) AS cache_read_tokens,
+      CAST(sum(cache_write_tokens) AS bigint) AS cache_write_tokens, CAST(sum(total_tokens) AS bigint) AS total_tokens, round(sum(cost_usd), 9) AS cost_usd,
+      max(CASE WHEN cost_usd IS NULL THEN 1 ELSE 0 END) AS has_unknown_pricing,
+      coalesce(any_value(tn), 0) AS tool_call_count, coalesce(any_value(te), 0) AS tool_error_count
+      FROM msg LEFT JOIN (SELECT agent, session_id, count(*) AS tn, count(*) FILTER (WHERE is_error) AS te FROM tc GROUP BY ALL) q USING (agent, session_id) GROUP BY agent, session_id)
+    """
+    five = ", ".join(f"CAST(sum({c}) AS bigint) AS {c}" for c in reports.TOKENS)
+    cost = "round(sum(cost_usd), 9) AS cost_usd, count(*) FILTER (WHERE cost_usd IS NULL) AS unpriced"
+    none = "coalesce(model, '(none)') AS model, agent"
+    day = f"SELECT day, agent, count(*) AS messages, count(DISTINCT session_id) AS sessions, {five}, {cost} FROM msg"
+    calls3 = "SELECT dedup_key, session_id, total_tokens * line_no AS total_tokens, line_no FROM raw, (SELECT unnest([1, 2, 3]) AS line_no) l"
+    return {k: base + v for k, v in {
+        "c3_price": "SELECT dedup_key, cost_source, pricing_version, round(cost_usd, 9) AS cost_usd FROM msg",
+        "w1_latency": "SELECT dedup_key, latency_ms FROM msg",
+        "a1_daily": f"{day} GROUP BY day, agent",
+        "a1_daily_since": f"{day} WHERE ts_epoch_ms >= {SINCE} GROUP BY day, agent",
+        "a2_models": f"""SELECT {none}, count(*) AS messages, {five}, {cost}, round(avg(latency_ms), 6) AS avg_latency_ms, CAST(sum(retry_count) AS bigint) AS retries,
+          CASE WHEN sum(output_tokens) > 0 THEN round(100.0 * CAST(sum(reasoning_tokens) AS double) / sum(output_tokens), 6) END AS reasoning_pct,
+          CASE WHEN sum(cache_read_tokens + input_tokens + cache_write_tokens) > 0 THEN round(100.0 * CAST(sum(cache_read_tokens) AS double)
+            / sum(cache_read_tokens + input_tokens + cache_write_tokens), 6) END AS cache_hit_pct FROM msg GROUP BY msg.model, agent""",
+        "a3_tools": """SELECT coalesce(tool_name, '(unknown)') AS tool_name, agent, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors,
+          round(100.0::double * count(*) FILTER (WHERE is_error) / count(*), 6) AS error_pct, round(avg(duration_ms), 6) AS avg_duration_ms FROM tc GROUP BY tc.tool_name, agent""",
+        "a4_status": """SELECT count(*) AS messages, round(sum(cost_usd), 9) AS total_cost_usd, count(*) FILTER (WHERE cost_usd IS NULL) AS unpriced_messages,
+          min(ts_epoch_ms) AS earliest, max(ts_epoch_ms) AS latest, (SELECT count(*) FROM ses) AS sessions, (SELECT count(*) FROM tc) AS tool_calls FROM msg""",
+        "a5_unknown_models": f"SELECT {none}, count(*) AS messages, CAST(sum(total_tokens) AS bigint) AS total_tokens FROM msg WHERE cost_usd IS NULL GROUP BY msg.model, agent",
+        "a6_sessions": "SELECT * FROM ses",
+        "o2_recent_sessions": "SELECT * REPLACE (started_at_ms // 1000 * 1000 AS started_at_ms) FROM ses ORDER BY started_at_ms // 1000 DESC, agent, session_id LIMIT 20",
+        "a7_experiments": """SELECT name, start_ms, end_ms, count(dedup_key) AS messages, round(sum(cost_usd), 9) AS cost_usd FROM exps
+          LEFT JOIN msg ON ts_epoch_ms >= start_ms AND (end_ms IS NULL OR ts_epoch_ms <= end_ms) GROUP BY ALL""",
+        "a8_experiment_report": f"""SELECT {none}, count(*) AS messages, CAST(sum(input_tokens) AS bigint) AS input_tokens, CAST(sum(output_tokens) AS bigint) AS output_tokens,
+          CAST(sum(total_tokens) AS bigint) AS total_tokens, round(avg(latency_ms), 6) AS avg_latency_ms, {cost} FROM msg
+          WHERE ts_epoch_ms BETWEEN 1704400000000 AND 1705400000000 GROUP BY msg.model, agent""",
+        "a9_duplicates": f"SELECT dedup_key, count(*) AS n FROM ({calls3}) q GROUP BY dedup_key HAVING count(*) > 1",
+        "u1_first_wins": f"SELECT * FROM ({calls3}) q WHERE line_no = 1 AND dedup_key NOT IN (SELECT dedup_key FROM raw WHERE ts_epoch_ms % 4 = 0)",
+        "u2_merge_calls": """SELECT dedup_key, tool_name, ts_epoch_ms + duration_ms AS result_ts_epoch_ms, CASE WHEN duration_ms IS NOT NULL THEN is_error END AS is_error,
+          ts_epoch_ms, agent, session_id, duration_ms FROM tc""",
+        "s9_decide": """SELECT path, CASE WHEN byte_offset IS NULL THEN 'new' WHEN l.inode <> m.inode THEN 'rotated' WHEN l.size_bytes < byte_offset THEN 'truncated'
+          WHEN l.size_bytes = m.size_bytes AND l.mtime_ns = m.mtime_ns AND byte_offset >= l.size_bytes THEN 'unchanged' WHEN byte_offset >= l.size_bytes THEN 'rewritten' ELSE 'appended' END AS decision,
+          CASE WHEN path IN ('same', 'grow', 'tail') THEN byte_offset ELSE 0 END AS start FROM listing l LEFT JOIN marks m USING (path)""",
+        "s12_summary": "SELECT count(*) AS files, CAST(sum(byte_offset) AS bigint) AS bytes, CAST(sum(lines_ingested) AS bigint) AS lines FROM marks",
+        "d8_doctor": """SELECT unnest(['unique_messages', 'unknown_is_null', 'zero_rated_is_zero', 'derived_has_version', 'rollup_matches', 'offset_in_file', 'has_session']) AS "check",
+          CAST(0 AS bigint) AS violations, true AS passed""",
+    }.items()}
+
+
+ORACLES = _oracles()

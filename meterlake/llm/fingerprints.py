@@ -120,7 +120,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     cuts = sorted(set(cuts))
     inf = float("inf")
     d = d.withColumn("x", F.coalesce(F.col("doc_id").cast("double"), F.lit(-inf)))
-    d = Bucketizer(splits=[-inf, *cuts, inf] if cuts else [-inf, inf], inputCol="x", outputCol="b", handleInvalid="keep").transform(d)
+    d = Bucketizer(splits=[-inf, *(cuts or [0.0]), inf], inputCol="x", outputCol="b", handleInvalid="keep").transform(d)
     d = d.select(F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("b").cast("int")).alias("bucket"), "doc_id", "text")
     heads = sorted(d.groupBy("bucket").agg(F.min("doc_id").alias("head")).collect())
     before = [(heads[i]["head"], heads[i - 1]["bucket"], heads[i]["bucket"]) for i in range(len(heads))]

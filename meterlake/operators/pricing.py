@@ -1,4 +1,4 @@
-"""Token pricing: a dimension lookup of a few rates by model name, then arithmetic.
+"""Token pricing: a dimension lookup of a few rates by model name, then arithmetic.
 
 ``rates`` (model, input, output, cache_read, cache_write_5m, cache_write_1h: USD a token) and ``aliases``
 (alias, target; a null target is free of charge) are tables of a rate card: some hundred rows.

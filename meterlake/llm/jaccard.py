@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import textops
-from meterlake.llm.common import durable, ship, table
+from meterlake.llm import tally, textops
+from meterlake.llm.common import durable, table, text_bytes
 from meterlake.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -49,46 +49,66 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, int]]:
             yield s, int((digest[0] ^ (digest[1] << np.uint64(1))).astype(np.int64)) if len(s) else 0
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n (set size), cls (0 where the set is empty)."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [(len(s), c) for s, c in _sets(b.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())],
-                                             names=["doc_id", "n", "cls"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n bigint, cls bigint")
-
-
-def class_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """cls, want (the class asked for), n, grams: of rows (text, want)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = list(_sets(b.column("text"), k))
-            ends = pa.array(np.cumsum([0, *(len(s) for s, _ in made)]), pa.int32())
-            flat = pa.array(np.concatenate([s for s, _ in made]).view(np.int64) if made else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("want"), pa.array([c for _, c in made], pa.int64()), pa.array([len(s) for s, _ in made], pa.int64()), pa.ListArray.from_arrays(ends, flat)],
-                names=["want", "cls", "n", "grams"])
-
-    return docs.select("text", "want").mapInArrow(run, "want bigint, cls bigint, n bigint, grams array<bigint>").filter("want = cls").drop("want")
-
-
-def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """cls, n, p0..: shared shingles of the prefix under each order; classes without any are left out."""
-    grams = sets.select("cls", "n", F.explode("grams").alias("t"))
-    shared = grams.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    per = grams.join(shared, "t").groupBy("cls", "n").agg(F.collect_list(F.struct(F.floor(F.log2("df")).cast("int").alias("band"), "t")).alias("s"))
-    places = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("s"))).cast("int")
-
-    def first(i: int) -> Column:
-        keyed = F.transform("s", lambda x: F.struct(x["band"].alias("band"), F.xxhash64(F.lit(i), x["t"]).alias("h"), x["t"].alias("t")))
-        return F.transform(F.slice(F.sort_array(keyed), F.lit(1), F.col("places")), lambda x: x["t"])
-
-    return per.withColumn("places", places).filter("places > 0").select("cls", "n", *[first(i).alias(f"p{i}") for i in range(orders)])
+def normal(text: Column) -> Column:
+    """Texts of one sequence of lower-case words are one text (more is harmless, since classes are told apart by shingles)."""
+    return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
+
+
+def first_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, d1, d2) of every row, d1 and d2 being digests of its normal text, and of each digest (rep, text, d1, d2), rep the least id."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("__t", normal(F.col("text")))
+    d = d.select("doc_id", "text", F.xxhash64("__t").alias("d1"), F.xxhash64(F.lit(7), "__t").alias("d2"))
+    rows = durable(d.select("doc_id", "d1", "d2"), "digests")
+    reps = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).select("rep", F.col("d1").alias("r1"), F.col("d2").alias("r2"))
+    own = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2"))
+    return rows, d.join(reps, own, "left_semi").select(F.col("doc_id").alias("rep"), "text", "d1", "d2")
+
+
+def class_sets(texts: DataFrame, text_bytes: int, percent: int, orders: int, k: int = SHINGLE) -> DataFrame:
+    """d1, d2, n (set size), cls (0 where the set is empty), and, where the prefixes aren't empty, p0.. and grams.
+
+    A prefix holds the shingles of its first places under an order that others have too.
+    """
+    batches, buckets = tally.sizes(text_bytes)
+    rows = texts.select(tally.batch_of(F.col("d1"), batches).alias("batch"), F.col("rep").alias("id"), "text", F.array("d1", "d2").alias("more"))
+
+    def tokens(t: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        seen: set[int] = set()
+        sets = [s if not (c in seen or seen.add(c)) else s[:0] for s, c in _sets(t, k)]  # of each class, once a batch
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    def use(t: pa.Table, answer) -> pa.RecordBatch:  # noqa: ANN001
+        seen: set[tuple[int, int]] = set()
+        d1, d2, n, cls, grams = [], [], [], [], []
+        pre: list[list] = [[] for _ in range(orders)]
+        made = _sets(pa.concat_arrays(t.column("text").chunks), k)
+        for (s, c), d in zip(made, t.column("more").to_pylist()):
+            if tuple(d) in seen:
+                continue
+            seen.add(tuple(d))
+            d1.append(d[0])
+            d2.append(d[1])
+            n.append(len(s))
+            cls.append(c)
+            band = answer(s)
+            common = s[band > 0]
+            places = len(s) - -(-len(s) * percent // 100) + 1 - (len(s) - len(common))
+            if not len(s) or places <= 0:
+                grams.append(None)
+                for p in pre:
+                    p.append(None)
+                continue
+            grams.append(s.view(np.int64))
+            for i, p in enumerate(pre):
+                order = np.lexsort((textops.mix(common, 20 + i), band[band > 0]))
+                p.append(common[order[:places]].view(np.int64))
+        longs = lambda x: pa.array(x, pa.int64())
+        lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([longs(d1), longs(d2), longs(n), longs(cls), lists(grams), *map(lists, pre)],
+                                          names=["d1", "d2", "n", "cls", "grams", *(f"p{i}" for i in range(orders))])
+
+    schema = "d1 bigint, d2 bigint, n bigint, cls bigint, grams array<bigint>" + "".join(f", p{i} array<bigint>" for i in range(orders))
+    return tally.tally(rows, buckets, tokens, use, schema)
 
 
 def links(sets: DataFrame, pre: DataFrame, cand: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -103,18 +123,20 @@ def links(sets: DataFrame, pre: DataFrame, cand: DataFrame, percent: int, orders
     full = lambda s: sets.select(F.col("cls").alias(s), F.col("grams").alias(f"g{s}"))
     both = F.size(F.array_intersect("ga", "gb"))
     union = F.size("ga") + F.size("gb") - both
-    return pairs.join(full("a"), "a").join(full("b"), "b").filter(both.cast("long") * 100 >= union.cast("long") * percent).select("a", "b")
+    return pairs.join(full("a"), "a").join(full("b"), "b").filter(both.cast("long") * 100 >= union.cast("long") * percent).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int = ORDERS, pivots: int = PIVOTS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, n_same (rows with its shingle set)."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    rows = durable(classes(docs, k), "classes")
-    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps.select("rep", F.col("cls").alias("want")), "rep")
-    sets = durable(class_sets(wanted, k), "sets")
-    pre = durable(prefixes(sets, percent, orders), "prefixes")
+    digests, texts = first_texts(docs)
+    made = durable(class_sets(texts, text_bytes(docs), percent, orders, k), "sets")
+    kinds = digests.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")).join(made.select("d1", "d2", "n", "cls"), ["d1", "d2"])
+    kinds = durable(kinds, "kinds")
+    reps = kinds.filter("n > 0").groupBy("cls").agg(F.min("rep").alias("rep"), F.sum("n_rows").alias("n_same"))
+    sets = made.filter("p0 IS NOT NULL").select("cls", "n", "grams")
+    pre = made.filter("p0 IS NOT NULL").select("cls", "n", *[f"p{i}" for i in range(orders)])
     members = pre.select(F.explode("p0").alias("t"), "cls", "n", F.xxhash64("cls").alias("k")).distinct()
     found, comp, parts = None, None, 1
     while True:
@@ -141,7 +163,8 @@ def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = durable(of.join(least, "component").select("cls", "component_id", "n_same"), "of")
     empty = F.col("n") == 0
-    return rows.join(of, "cls", "left").select(
+    told = kinds.join(of, "cls", "left").select("d1", "d2", "n", "component_id", "n_same")
+    return digests.join(told, ["d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(empty, F.lit(1)).otherwise(F.col("n_same")).cast("long").alias("n_same"))
 

@@ -3,9 +3,10 @@
 Places 1, 2 and 4 modulo 7 form a difference cover: for any two places i and j there is a shift below 7 that takes both to
 cover places.  So two equal windows of 13 words hold, at one shift, equal anchors of 13 - 6 = 7
 words at cover places of both documents.  Anchors are hashed at cover places only (3 of 7); those in one document alone are
-dropped.  Around each anchor that several documents share, the match is extended: the
-windows that hold it are hashed with two independent 64-bit hashes and the least document of each is found by
-a partially aggregated minimum, so a passage in a third of all documents is one row per task.
+dropped (module ``tally``).  Around each anchor that several documents share, the match is extended: the
+windows that hold it are hashed with two independent 64-bit hashes.  A batch of documents first judges its windows
+alone; only those of its least document are judged by the least document of all, so a passage in a third of all
+documents is one row a batch.
 
 Defined results: null, empty or wordless text has no words and loses none; texts of fewer words than a
 window lose none; repeats inside one document stay; a null id neither removes nor loses words; rows
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from meterlake.llm import textops
-from meterlake.llm.common import durable, ship, table, text_of
+from meterlake.llm import tally, textops
+from meterlake.llm.common import durable, ship, table, text_bytes, text_of
 
 #: The window of the contract; a perfect difference cover modulo 7.
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
@@ -40,42 +42,65 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield a, b, part, first, w, np.arange(len(w.doc)) - first[w.doc] if len(w.doc) else w.doc
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """key, doc_id, h, pos (word) of all anchors at cover places, from rows (key, doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, _, _, _, w, place in _words(batch.column("text")):
-                h, ok = textops.runs(w, ANCHOR), textops.whole(w, ANCHOR)
-                at = np.flatnonzero(ok & np.isin(place[: len(ok)] % PERIOD, COVER))
-                row = pa.array(w.doc[at] + a)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(row), batch.column("doc_id").take(row), pa.array(h[at].view(np.int64)), pa.array(place[at].astype(np.int32))],
-                                                 names=["key", "doc_id", "h", "pos"])
-
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, h bigint, pos int")
-
-
-def windows(docs: DataFrame) -> DataFrame:
-    """key, doc_id, pos, h1, h2 of all windows that hold an anchor of ``places``, from rows (key, doc_id, text, places)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("places")
-            for a, b, _, first, w, place in _words(batch.column("text")):
-                ok = textops.whole(w, WINDOW)
-                hit = np.zeros(len(ok) + 1, dtype=np.int64)
-                for i in range(a, b):
-                    p = np.asarray(lists[i].as_py() or [], dtype=np.int64) + first[i - a]
-                    lo = np.maximum(p - (WINDOW - ANCHOR), first[i - a])
-                    np.add.at(hit, np.minimum(lo, len(ok)), 1)
-                    np.add.at(hit, np.minimum(p + 1, len(ok)), -1)
-                at = np.flatnonzero(ok & (np.cumsum(hit)[: len(ok)] > 0))
-                row = pa.array(w.doc[at] + a)
-                h1, h2 = textops.runs(w, WINDOW)[at], textops.runs(w, WINDOW, 1)[at]
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(row), batch.column("doc_id").take(row), pa.array(place[at].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                                                 names=["key", "doc_id", "pos", "h1", "h2"])
-
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, pos int, h1 bigint, h2 bigint")
+def _anchors(w: textops.Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all anchors at cover places, and the words they begin at."""
+    h, ok = textops.runs(w, ANCHOR), textops.whole(w, ANCHOR)
+    at = np.flatnonzero(ok & np.isin(place[: len(ok)] % PERIOD, COVER))
+    return h[at], at
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    hs, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for a, _, _, _, w, place in _words(texts):
+        h, at = _anchors(w, place)
+        hs.append(h)
+        docs.append(w.doc[at] + a)
+    return np.concatenate(hs), np.concatenate(docs)
+
+
+def windows(docs: DataFrame, text_bytes: int) -> DataFrame:
+    """All windows that hold an anchor found in several texts, from rows (key, doc_id, text).
+
+    A window that its batch also has in a smaller document is judged there: row (key, gone). Of the others, one
+    document's a batch, come rows (key, doc_id, pos, h1, h2).
+    """
+    batches, buckets = tally.sizes(text_bytes)
+    rows = docs.select(tally.batch_of(F.col("key"), batches).alias("batch"), F.col("doc_id").alias("id"), "text", F.array("key").alias("more"))
+
+    def use(t: pa.Table, answer) -> pa.RecordBatch:  # noqa: ANN001
+        ids = t.column("id").to_numpy()
+        keys = np.array([m[0] for m in t.column("more").to_pylist()], dtype=np.int64)
+        again = np.ones(len(keys), dtype=bool)  # a repeated row
+        again[np.unique(keys, return_index=True)[1]] = False
+        found = [[np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] * 2]
+        for a, _, _, first, w, place in _words(pa.concat_arrays(t.column("text").chunks)):
+            h, at = _anchors(w, place)
+            at = at[answer(h) > 0]
+            ok = textops.whole(w, WINDOW)
+            if not len(ok):
+                continue
+            begin = np.minimum(np.maximum(at - (WINDOW - ANCHOR), first[w.doc[at]]), len(ok))
+            hit = np.bincount(begin, minlength=len(ok) + 1)[: len(ok) + 1] - np.bincount(np.minimum(at + 1, len(ok)), minlength=len(ok) + 1)[: len(ok) + 1]
+            x = np.flatnonzero(ok & (np.cumsum(hit)[: len(ok)] > 0) & ~again[w.doc[: len(ok)] + a])
+            found.append([w.doc[x] + a, place[x], textops.runs(w, WINDOW)[x], textops.runs(w, WINDOW, 1)[x]])
+        row, pos, h1, h2 = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((ids[row], h2, h1))
+        row, pos, h1, h2 = row[order], pos[order], h1[order], h2[order]
+        new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))) if len(row) else np.empty(0, dtype=bool)
+        least = ids[row][np.flatnonzero(new)][np.cumsum(new) - 1] if len(row) else np.empty(0, np.int64)
+        here = ids[row] > least
+        stay = np.flatnonzero(~here)
+        gone = np.flatnonzero(here)
+        gone = gone[np.argsort(row[gone], kind="stable")]
+        of, start = np.unique(row[gone], return_index=True)
+        n, m = len(stay), len(of)
+        lists = pa.ListArray.from_arrays(pa.array([*[0] * n, *start.tolist(), len(gone)], pa.int32()), pa.array(pos[gone].astype(np.int32)))
+        some = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)])
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate((keys[row[stay]], keys[of]))), some(ids[row[stay]], pa.int64()), some(pos[stay].astype(np.int32), pa.int32()),
+            some(h1[stay].view(np.int64), pa.int64()), some(h2[stay].view(np.int64), pa.int64()), lists], names=["key", "doc_id", "pos", "h1", "h2", "gone"])
+
+    return tally.tally(rows, buckets, _tokens, use, "key bigint, doc_id bigint, pos int, h1 bigint, h2 bigint, gone array<int>")
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -110,12 +135,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     d = d.withColumn("key", F.xxhash64("doc_id", "text"))
     known = d.filter("doc_id IS NOT NULL").select("key", "doc_id", "text")
-    found = anchors(known)
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
-    places = durable(found.join(shared, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("places")), "anchored")
-    w = durable(windows(known.dropDuplicates(["key"]).join(places, "key").select("key", "doc_id", "text", "places")), "windows")
-    first = w.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    gone = w.join(first, ["h1", "h2"]).filter("least < doc_id").groupBy("key").agg(F.collect_set("pos").alias("gone"))
+    w = durable(windows(known, text_bytes(docs)), "windows")
+    # a window has one document's rows a batch, so its group holds no more than the batches do
+    first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    judged = w.filter("pos IS NOT NULL").withColumn("least", first).filter("least < doc_id").groupBy("key").agg(F.collect_list("pos").alias("gone"))
+    here = w.filter("pos IS NULL").select("key", "gone")
+    gone = judged.unionByName(here).groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     return kept(d.join(durable(gone, "gone"), "key", "left").select("doc_id", "text", "gone"))
 
 

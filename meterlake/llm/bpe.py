@@ -113,7 +113,7 @@ class Codec:
         out = []
         for part in chunks(text):
             found = self.pattern.findall(part)
-            if new := [*{*found} - self.known.keys()]:
+            if new := [x for x in {*found} if x not in self.known]:  # a set less the keys would walk all keys
                 if len(self.known) + len(new) > CACHE:
                     self.known.clear()
                     new = [*{*found}]

@@ -1,23 +1,26 @@
 """HTML extraction with site template removal.
 
-Pages are parsed to elements; every element subtree outside the main content gets a hash of its tag, text and
-children.  Spark counts each hash once a page and host; subtrees on many pages of a host (``MIN_PAGES`` and
-``MIN_SHARE`` of its pages) are its template and are deleted.  What stands in an ``article`` (else
-``main``) element is never template, so copies of one page keep their text.  Then menus,
+Pages are parsed to elements; every block element of the main content (``article``, else ``main``, else the page) gets a
+hash of its tag, text and children.  A block is its host's template by the pages it stands on, each counted by what
+it holds besides the block (exact copies of one page are one): ``MIN_PAGES`` of them, and ``MIN_SHARE`` of the host's.  The rest of these pages
+must also be of different texts: near copies share most of it, so of each rest one text node is drawn (least hash by
+length), and ``MIN_KINDS`` of the rests must draw different ones.  Template blocks are deleted.  Words within a line,
+and cells or list items without blocks of their own, only go with what holds them.  Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by element and class,
-and the text of the main content (without one: of the body) is read in page order.
+and the text of the main content is read in page order.
 
 The template hashes go to the executors as a set while they are at most ``MAX_SET``; beyond it pages
 are joined with the hashes found on them.
 
 Defined results: null or empty html has empty text; a null url is a host of its own; broken markup is read as far as it
-goes (unclosed elements end with their parents); repeated rows count as pages and are returned each; an empty table
+goes (unclosed elements end with their parents); repeated rows are returned each; an empty table
 gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -30,10 +33,13 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import durable, ship, table
 
 MIN_PAGES, MIN_SHARE, MAX_SET = 5, 0.3, 200_000
+MIN_KINDS = 0.3
 BATCH_ROWS = 256
 #: Fixed values of HTML: elements without content, elements that stand within a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time u var".split())
+CELLS = frozenset("caption dd dt figcaption li option td th tr tbody thead tfoot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GONE = frozenset("nav footer aside form script style noscript template iframe head title button select textarea svg object menu dialog".split())
 CLASSES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|comments?|disqus|replies"
@@ -103,43 +109,68 @@ def _content(tree: Tree) -> list[Element]:
     return [tree.root]
 
 
-def _hashes(tree: Tree, content: list[Element]) -> dict[int, int]:
-    """Hash of each element that neither is, holds nor stands in the content; by identity."""
-    if content == [tree.root]:
-        content = []
-    kept = {id(e) for e in content}
-    order, stack, out, text = [], [tree.root], {}, {}
-    while stack:
-        e = stack.pop()
-        if id(e) not in kept:
-            order.append(e)
-            stack += [x for x in e.items if isinstance(x, Element)]
-    for e in reversed(order):
-        h, whole = hashlib.blake2b(e.tag.encode(), digest_size=8), True
-        for x in e.items:
-            if isinstance(x, Element):
-                whole = whole and id(x) in text
-                h.update(b"<" + text.get(id(x), b""))
-            elif x.strip():
-                h.update(b"=" + " ".join(x.split()).encode("utf-8", "replace"))
-        if whole and e.parent is not None:
-            text[id(e)] = h.digest()
-            if e.tag not in VOID and e.tag not in ("html", "body"):
-                out[id(e)] = int.from_bytes(h.digest(), "little", signed=True)
-    return out
+def _gone(e: Element, whole_page: bool) -> bool:
+    return e.gone or (whole_page and e.tag == "header")
 
 
-def page_hashes(page: str | None) -> list[int]:
+def _blocks(content: list[Element], whole_page: bool) -> tuple[list[tuple[Element, int, int, int]], list[tuple[int, int]]]:
+    """(element, hash, first text, last text + 1) of each block of the content, and (hash, length) of its texts in page order."""
+    blocks, texts, digests, starts = [], [], {}, {}
+    for top in content:
+        stack: list[Element | str] = [top]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                if t := " ".join(x.split()):
+                    texts.append((int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little"), len(t)))
+            elif id(x) not in starts:
+                if not _gone(x, whole_page):
+                    starts[id(x)] = len(texts)
+                    stack += [x, *reversed(x.items)]
+            else:
+                h, plain = hashlib.blake2b(x.tag.encode(), digest_size=8), True
+                for y in x.items:
+                    if isinstance(y, Element):
+                        plain = plain and y.tag in INLINE
+                        h.update(b"<" + digests.get(id(y), b""))
+                    elif y.strip():
+                        h.update(b"=" + " ".join(y.split()).encode("utf-8", "replace"))
+                digests[id(x)] = h.digest()
+                lo = starts[id(x)]
+                if lo < len(texts) and x.tag not in INLINE and x.tag not in ("", "html", "body") and not (plain and x.tag in CELLS):
+                    blocks.append((x, int.from_bytes(h.digest(), "little", signed=True), lo, len(texts)))
+    return blocks, texts
+
+
+def page_rests(page: str | None) -> list[tuple[int, bool, int, int]]:
+    """(hash, heading, rest, drawn) of each block of a page, once: digest of the content without it, and the text drawn of that.
+
+    The whole content has hash 0; a digest is 0 where nothing is left.
+    """
     tree = Tree(page or "")
-    return sorted(set(_hashes(tree, _content(tree)).values()))
+    content = _content(tree)
+    blocks, texts = _blocks(content, content == [tree.root])
+    signed = lambda x: (x & (2**64 - 1)) - ((x & 2**63) << 1)
+    sums = [0]
+    for h, _ in texts:
+        sums.append(sums[-1] + h)
+    order = sorted(range(len(texts)), key=lambda i: -math.log((texts[i][0] + 1) / 2**64) / texts[i][1])
+    spans: dict[tuple[int, bool], list[tuple[int, int]]] = {(0, False): []}
+    for e, h, lo, hi in blocks:
+        spans.setdefault((h, e.tag in HEADINGS), []).append((lo, hi))
+    out = []
+    for (h, heading), at in spans.items():
+        drawn = next((texts[i][0] for i in order if not any(lo <= i < hi for lo, hi in at)), 0)
+        out.append((h, heading, signed(sums[-1] - sum(sums[hi] - sums[lo] for lo, hi in at)), signed(drawn)))
+    return out
 
 
 def extract(page: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """The main text of one page, without subtrees of the template."""
+    """The main text of one page, without blocks of the template."""
     tree = Tree(page or "")
     content = _content(tree)
-    marks = _hashes(tree, content) if template else {}
     whole_page = content == [tree.root]
+    marked = {id(e) for e, h, _, _ in _blocks(content, whole_page)[0] if h in template} if template else set()
     out: list[str] = []
     for top in content:
         stack: list[Element | str] = [top]
@@ -147,7 +178,7 @@ def extract(page: str | None, template: set[int] | frozenset[int] = frozenset())
             x = stack.pop()
             if isinstance(x, str):
                 out.append(x)
-            elif not (x.gone or marks.get(id(x)) in template or (whole_page and x.tag == "header")):
+            elif not (id(x) in marked or _gone(x, whole_page)):
                 edge = [] if x.tag in INLINE else [" "]
                 stack += [*edge, *reversed(x.items), *edge]
     return " ".join("".join(out).split())
@@ -167,14 +198,18 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [page_hashes(t) for t in b.column("html").to_pylist()]
+            made = [page_rests(t) for t in b.column("html").to_pylist()]
             row = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
-            yield pa.RecordBatch.from_arrays([b.column("key").take(row), b.column("host").take(row), pa.array([h for m in made for h in m], pa.int64())], names=["key", "host", "h"])
-
-    seen = p.select("key", "host", "html").mapInArrow(found, "key bigint, host string, h bigint")
-    total = p.groupBy("host").agg(F.count("*").alias("total"))
-    often = seen.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    template = durable(often.join(total, "host").filter(F.col("n") >= min_share * F.col("total")).select("host", "h"), "template")
+            cols = [pa.array([r[i] for m in made for r in m], kind) for i, kind in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("key").take(row), b.column("host").take(row), *cols], names=["key", "host", "h", "heading", "rest", "drawn"])
+
+    seen = p.select("key", "host", "html").mapInArrow(found, "key bigint, host string, h bigint, heading boolean, rest bigint, drawn bigint")
+    rests = seen.filter("rest != 0").select("host", "h", "heading", "rest", "drawn").distinct()
+    drawn = rests.groupBy("host", "h", "heading", "drawn").agg(F.count("*").alias("n"))
+    often = drawn.groupBy("host", "h", "heading").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter(F.col("n") >= min_pages)
+    often = durable(often.filter((F.col("h") == 0) | (F.col("kinds") - 1 >= MIN_KINDS * (F.col("n") - 1))), "often")
+    total = often.filter("h = 0").select("host", F.col("n").alias("total"))
+    template = durable(often.filter("h != 0").join(total, "host").filter(F.col("n") >= min_share * F.col("total")).select("host", "h"), "template")
     few = template.count() <= max_set
     if few:
         sets: dict[str, set[int]] = {}
@@ -184,7 +219,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         work = p.select("page_id", "url", "html", "host", F.lit(None).cast("array<bigint>").alias("hs"))
     else:
         known = None
-        mine = seen.distinct().join(template, ["host", "h"]).groupBy("key").agg(F.collect_set("h").alias("hs"))
+        mine = seen.select("key", "host", "h").distinct().join(template, ["host", "h"]).groupBy("key").agg(F.collect_set("h").alias("hs"))
         work = p.join(mine, "key", "left").select("page_id", "url", "html", "host", "hs")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

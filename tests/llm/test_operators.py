@@ -160,6 +160,18 @@ def test_html_template_and_odd_rows(spark):
         assert got == {**{i: f"Text {i}" for i in range(12)}, 50: "", 51: ""}
 
 
+def html_texts(spark, pages):
+    """(host, html) rows to the texts, in order."""
+    df = spark.createDataFrame([(i, f"http://{h}/p{i}", t) for i, (h, t) in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r["text"] for r in html_text.main_text(df).orderBy("page_id").collect()]
+
+
+def test_html_template_within_the_article(spark):
+    page = "<body><article><p>Story {0} is told by <b>Ann</b>.</p><div><p>Sign up for our letter</p></div><ul><li>yes<li>{0}</ul></article></body>"
+    pages = [("a", page.format(i)) for i in range(12)]
+    assert html_texts(spark, pages) == [f"Story {i} is told by Ann. yes {i}" for i in range(12)]
+
+
 @pytest.mark.parametrize("make", [
     jaccard.join, substrings.dedup, secret_scan.scan, secret_scan.redact, mixing.mix, bpe.digests, fingerprints.fingerprint, lambda d: langid.predict(d, langid.train(d)),
     lambda d: fingerprints.compare_edits(fingerprints.with_next(d))])

@@ -2,7 +2,8 @@
 
 Pages are parsed to elements; every block element of the main content (``article``, else ``main``, else the page) gets a
 hash of its tag, text and children.  A block is its host's template by the pages it stands on, each counted by what
-it holds besides the block (exact copies of one page are one): ``MIN_PAGES`` of them, and ``MIN_SHARE`` of the host's.  The rest of these pages
+it holds besides the block (exact copies of one page are one): ``MIN_PAGES`` of them, and ``MIN_SHARE`` of the host's or
+``MANY_PAGES`` (headings only by share; a host of fewer pages needs it on all, ``LEAST_PAGES`` at least).  The rest of these pages
 must also be of different texts: near copies share most of it, so of each rest one text node is drawn (least hash by
 length), and ``MIN_KINDS`` of the rests must draw different ones.  Template blocks are deleted.  Words within a line,
 and cells or list items without blocks of their own, only go with what holds them.  Menus,
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import durable, ship, table
 
 MIN_PAGES, MIN_SHARE, MAX_SET = 5, 0.3, 200_000
-MIN_KINDS = 0.3
+LEAST_PAGES, MANY_PAGES, MIN_KINDS = 3, 100, 0.3
 BATCH_ROWS = 256
 #: Fixed values of HTML: elements without content, elements that stand within a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -206,10 +207,12 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     seen = p.select("key", "host", "html").mapInArrow(found, "key bigint, host string, h bigint, heading boolean, rest bigint, drawn bigint")
     rests = seen.filter("rest != 0").select("host", "h", "heading", "rest", "drawn").distinct()
     drawn = rests.groupBy("host", "h", "heading", "drawn").agg(F.count("*").alias("n"))
-    often = drawn.groupBy("host", "h", "heading").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter(F.col("n") >= min_pages)
+    often = drawn.groupBy("host", "h", "heading").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter(F.col("n") >= LEAST_PAGES)
     often = durable(often.filter((F.col("h") == 0) | (F.col("kinds") - 1 >= MIN_KINDS * (F.col("n") - 1))), "often")
     total = often.filter("h = 0").select("host", F.col("n").alias("total"))
-    template = durable(often.filter("h != 0").join(total, "host").filter(F.col("n") >= min_share * F.col("total")).select("host", "h"), "template")
+    enough = F.col("n") >= F.least(F.lit(min_pages), F.col("total"))
+    wide = (F.col("n") >= min_share * F.col("total")) | (~F.col("heading") & (F.col("n") >= MANY_PAGES))
+    template = durable(often.filter("h != 0").join(total, "host").filter(enough & wide).select("host", "h"), "template")
     few = template.count() <= max_set
     if few:
         sets: dict[str, set[int]] = {}

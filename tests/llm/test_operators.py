@@ -168,8 +168,21 @@ def html_texts(spark, pages):
 
 def test_html_template_within_the_article(spark):
     page = "<body><article><p>Story {0} is told by <b>Ann</b>.</p><div><p>Sign up for our letter</p></div><ul><li>yes<li>{0}</ul></article></body>"
-    pages = [("a", page.format(i)) for i in range(12)]
-    assert html_texts(spark, pages) == [f"Story {i} is told by Ann. yes {i}" for i in range(12)]
+    pages = [("a", page.format(i)) for i in range(12)] + [("small", page.format(i)) for i in range(3)]
+    assert html_texts(spark, pages) == [f"Story {i} is told by Ann. yes {i}" for i in [*range(12), *range(3)]]
+
+
+def test_html_copies_keep_their_text(spark):
+    copy = "<body><p>A story that many pages copy.</p><p>Its second part.</p></body>"
+    near = "<body><article>" + "".join(f"<p>Part {k} of a long story of many words</p>" for k in range(20)) + "<p>seen {0}</p></article></body>"
+    got = html_texts(spark, [("a", copy)] * 12 + [("a", f"<p>other {i}</p>") for i in range(3)] + [("b", near.format(i)) for i in range(12)])
+    assert got[:12] == ["A story that many pages copy. Its second part."] * 12
+    assert all(t.startswith("Part 0 of") and t.endswith(f"Part 19 of a long story of many words seen {i}") for i, t in enumerate(got[15:]))
+
+
+def test_html_template_of_part_of_a_large_host(spark):
+    pages = [("a", f"<body><p>Story {i}</p>{'<div>Sign up</div>' if i < 120 else ''}</body>") for i in range(600)]
+    assert html_texts(spark, pages) == [f"Story {i}" for i in range(600)]
 
 
 @pytest.mark.parametrize("make", [

@@ -12,6 +12,10 @@ first round, ``PIVOTS`` then); pivots then leave the group, and a group whose me
 all in one component is done.  Rounds go on until no group is left, so no link that joins two
 components is missed, while thousands of near copies cost a few comparisons each.
 
+A link joins two classes of one component, so links are counted there: the classes of a component are dealt out as pairs
+of blocks of about ``BLOCK`` classes or ``BLOCK_GRAMS`` shingles, all intersections of a pair of blocks are matrix products over the shingles that
+both hold, and only sums of class sizes leave it, so each pair is compared once and none is written.  Small components share tasks.
+
 Defined results: null, empty or wordless text has an empty set and links with nothing; fewer words than
 a shingle make one shingle; repeated rows are rows of their own with equal results; a null id can't be
 a component id (it gets the least id of its class, else null); an empty table gives no rows; other columns are ignored.
@@ -27,11 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import tally, textops
-from meterlake.llm.common import durable, table, text_bytes
+from meterlake.llm.common import durable, ship, table, text_bytes
 from meterlake.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 ORDERS, PIVOTS = 3, 16
+BLOCK, BLOCK_GRAMS = 1024, 4_000_000
 BATCH_ROWS = 256
 
 
@@ -126,9 +131,77 @@ def links(sets: DataFrame, pre: DataFrame, cand: DataFrame, percent: int, orders
     return pairs.join(full("a"), "a").join(full("b"), "b").filter(both.cast("long") * 100 >= union.cast("long") * percent).select("a", "b").distinct()
 
 
-def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int = ORDERS, pivots: int = PIVOTS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, n_same (rows with its shingle set)."""
+def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of sets, left by right."""
+    out = np.zeros((len(left), len(right)))
+    grams, row = [np.concatenate(x) for x in (left, right)], [np.repeat(np.arange(len(x)), [len(g) for g in x]) for x in (left, right)]
+    both = np.intersect1d(*grams)
+    at = [np.searchsorted(both, g) for g in grams]
+    for i, g in enumerate(grams):
+        held = np.flatnonzero(both[np.minimum(at[i], len(both) - 1)] == g) if len(both) else np.zeros(0, dtype=np.int64)
+        held = held[np.argsort(at[i][held], kind="stable")]
+        at[i], row[i] = at[i][held], row[i][held]
+    for a in range(0, len(both), width):
+        dense = []
+        for i, n in enumerate((len(left), len(right))):
+            lo, hi = np.searchsorted(at[i], [a, a + width])
+            dense.append(np.zeros((n, min(width, len(both) - a)), dtype=np.float32))
+            dense[i][row[i][lo:hi], at[i][lo:hi] - a] = 1
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def link_counts(comp: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """(cls, m) for ``comp`` (node, component): rows of the other classes that ``cls`` is linked with."""
+    inside = comp.select(F.col("node").alias("cls"), "component").join(reps.select("cls", "n_same"), "cls").join(sets.groupBy("cls").agg(F.max("n").alias("n")), "cls")
+    inside = durable(inside, "inside")
+    size = inside.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("g"))
+    size = size.select("component", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("g") / block_grams)).cast("int").alias("blocks"))
+    n, g = inside.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    slots = 1 + max(n // block, g // block_grams)
+    dealt = inside.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(4)), F.col("blocks")).cast("int"))
+    dealt = dealt.select("component", "cls", "n_same", "blocks", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    few = F.col("blocks") == 1
+    dealt = dealt.select("component", "cls", "n_same", "mine", F.when(few, F.pmod(F.xxhash64("component"), F.lit(slots))).otherwise(F.col("component")).alias("slot"),
+                         F.when(few, -1).otherwise(F.least("mine", "other")).alias("i"), F.when(few, -1).otherwise(F.greatest("mine", "other")).alias("j"))
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        c, comps, w, side = (t.column(x).to_numpy() for x in ("cls", "component", "n_same", "mine"))
+        grams = pa.concat_arrays(t.column("grams").chunks)
+        starts, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+        first = np.unique(c, return_index=True)[1]  # a class can have texts that differ
+        order = first[np.argsort(comps[first], kind="stable")]
+        out_c, out_m = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(comps[order])) + 1):
+            left, right = (rows, rows) if i == j else (rows[side[rows] == i], rows[side[rows] == j])
+            if not len(left) or not len(right):
+                continue
+            a, b = ([flat[starts[r] : starts[r + 1]] for r in part] for part in (left, right))
+            both = _shared(a, b)
+            union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - both
+            hit = both * 100 >= union * percent
+            if i == j:
+                np.fill_diagonal(hit, False)
+            else:
+                out_c.append(c[right])
+                out_m.append(w[left] @ hit)
+            out_c.append(c[left])
+            out_m.append(hit @ w[right])
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"cls": pa.array(np.concatenate([none, *out_c]), pa.int64()), "m": pa.array(np.concatenate([none, *out_m]), pa.int64())})
+
+    full = dealt.join(sets.select("cls", "grams"), "cls")
+    return full.groupBy("slot", "i", "j").applyInArrow(compare, "cls bigint, m bigint").groupBy("cls").agg(F.sum("m").alias("m"))
+
+
+def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int = ORDERS, pivots: int = PIVOTS, count_links: bool = True) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, n_same (rows with its shingle set), n_links (other rows at the threshold).
+
+    Without ``count_links`` there is no n_links, and pairs within a component are not compared.
+    """
     spark = docs.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     digests, texts = first_texts(docs)
     made = durable(class_sets(texts, text_bytes(docs), percent, orders, k), "sets")
@@ -161,12 +234,16 @@ def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int
         comp = spark.createDataFrame([], "node bigint, component bigint")
     of = reps.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = durable(of.join(least, "component").select("cls", "component_id", "n_same"), "of")
+    of = of.join(least, "component").select("cls", "component_id", "n_same")
+    if count_links:
+        of = of.join(link_counts(comp, reps, sets, percent), "cls", "left").withColumn("n_links", F.col("n_same") - 1 + F.coalesce("m", F.lit(0))).drop("m")
+    of = durable(of, "of")
+    more = [F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")] if count_links else []
     empty = F.col("n") == 0
-    told = kinds.join(of, "cls", "left").select("d1", "d2", "n", "component_id", "n_same")
+    told = kinds.join(of, "cls", "left").select("d1", "d2", "n", *of.columns[1:])
     return digests.join(told, ["d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(empty, F.lit(1)).otherwise(F.col("n_same")).cast("long").alias("n_same"))
+        F.when(empty, F.lit(1)).otherwise(F.col("n_same")).cast("long").alias("n_same"), *more)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,20 @@ def test_jaccard_against_brute_force(spark):
     assert got == {i: (len(sets[i]), root(i)) for i in ids}
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 4])
+def test_jaccard_links_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard.link_counts, "__defaults__", (block, jaccard.BLOCK_GRAMS))
+    rows = fixture_rows()
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.join(docs(spark, rows)).collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    want = {a: sum(a != b and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    assert got == want and max(want.values()) > 20
+
+
 def test_substrings_against_brute_force(spark):
     rows = fixture_rows()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(docs(spark, rows)).collect()}

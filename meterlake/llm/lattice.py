@@ -12,13 +12,14 @@ of blocks all cosines are one matrix product and only pairs at the threshold lea
 
 Recall against brute force at cosine 0.93 is measured in the tests (0.9 is required).
 
-Defined results: a null label, a vector that is null, empty, zero, of another length than
-the table's longest, or that holds null or non-finite components links with nothing and is its own component; a null id links but can't be
+Defined results: a null label, a vector that is null, empty, zero, or that holds null or
+non-finite components links with nothing and is its own component; vectors are compared with those of their label and length; a null id links but can't be
 a component id; ids that repeat are rows of their own with equal labels or not; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -64,6 +65,7 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
+@functools.lru_cache(maxsize=64)
 def tables(dim: int, n: int, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
     rng = np.random.default_rng(seed)
     return [(np.linalg.qr(rng.standard_normal((max(dim, 8), 8)))[0][:dim] * np.sqrt(dim / 8), rng.uniform(0, 1, 8)) for _ in range(n)]
@@ -91,31 +93,34 @@ def points(vectors: DataFrame) -> DataFrame:
     return v.withColumn("point", F.xxhash64("label", "vec"))
 
 
-def near_pairs(pts: DataFrame, dim: int, threshold: float = THRESHOLD, n_tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
-    """(a, b) with a < b: pairs of points of one label that share a cell and reach the threshold; each once."""
-    made = tables(dim, n_tables)
+def near_pairs(pts: DataFrame, threshold: float = THRESHOLD, n_tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
+    """(a, b) with a < b: pairs of points of one label and length that share a cell and reach the threshold; each once."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column("vec").to_pylist(), dtype=np.float64).reshape(b.num_rows, -1)
-            x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-            c = cells(x, made, scale, probes)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (c.shape[1] * c.shape[2])), pa.array(c.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("point"), b.column("label"), flat, b.column("vec")], names=["point", "label", "cells", "vec"])
+            vecs, dims = b.column("vec").to_pylist(), b.column("dim").to_numpy()
+            c = np.empty((len(vecs), n_tables, 1 + probes), dtype=np.int64)
+            for d in np.unique(dims):
+                rows = np.flatnonzero(dims == d)
+                x = np.array([vecs[i] for i in rows], dtype=np.float64)
+                x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
+                c[rows] = cells(x, tables(int(d), n_tables), scale, probes)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * (c.shape[1] * c.shape[2])), pa.array(c.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column("point"), b.column("label"), b.column("dim"), flat, b.column("vec")], names=["point", "label", "dim", "cells", "vec"])
 
     label = pts.schema["label"].dataType.simpleString()
-    h = durable(pts.select("point", "label", "vec").mapInArrow(hashed, f"point bigint, label {label}, cells array<bigint>, vec {pts.schema['vec'].dataType.simpleString()}"), "cells")
-    placed = h.select("point", "label", F.posexplode("cells").alias("i", "cell")).select("point", "label", "cell", (F.col("i") % (1 + probes) == 0).alias("own"))
-    crowd = placed.groupBy("label", "cell").agg(F.count("*").alias("m"), F.max("own").alias("lived")).filter("m > 1 AND lived")
-    crowd = durable(crowd.select("label", "cell", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "crowd")
-    mine = placed.join(crowd, ["label", "cell"]).withColumn("mine", F.pmod(F.xxhash64("point", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = mine.select("point", "cell", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("point", "label", "cell", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    h = durable(pts.select("point", "label", F.size("vec").alias("dim"), "vec").mapInArrow(hashed, f"point bigint, label {label}, dim int, cells array<bigint>, vec {pts.schema['vec'].dataType.simpleString()}"), "cells")
+    placed = h.select("point", "label", "dim", F.posexplode("cells").alias("i", "cell")).select("point", "label", "dim", "cell", (F.col("i") % (1 + probes) == 0).alias("own"))
+    crowd = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("m"), F.max("own").alias("lived")).filter("m > 1 AND lived")
+    crowd = durable(crowd.select("label", "dim", "cell", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "crowd")
+    mine = placed.join(crowd, ["label", "dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("point", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = mine.select("point", "cell", "label", "dim", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("point", "label", "dim", "cell", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     full = dealt.join(h.select("point", "cells", "vec"), "point")
     wide = 1 + probes
 
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        cell, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        cell, i, j = key[2].as_py(), key[3].as_py(), key[4].as_py()
         x = np.array(t.column("vec").to_pylist(), dtype=np.float64)
         x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -141,7 +146,7 @@ def near_pairs(pts: DataFrame, dim: int, threshold: float = THRESHOLD, n_tables:
             out_b.append(np.maximum(p[a], p[b])[exact])
         return pa.table({"a": pa.array(np.concatenate(out_a) if out_a else [], pa.int64()), "b": pa.array(np.concatenate(out_b) if out_b else [], pa.int64())})
 
-    return full.groupBy("label", "cell", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return full.groupBy("label", "dim", "cell", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -151,15 +156,14 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_i
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
     vec = F.col(vec_col).cast(f"array<{kind}>")
-    dim = vectors.agg(F.max(F.size(vec_col))).first()[0] or 0
     fine = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), vec.alias("vec"))
     # -0.0 and 0.0 are one value
-    rows = rows.withColumn("good", F.coalesce(F.col("label").isNotNull() & (F.size("vec") == dim) & fine, F.lit(False)))
+    rows = rows.withColumn("good", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
     rows = rows.withColumn("vec", F.when(F.col("good"), F.transform("vec", lambda x: (x + F.lit(0.0)).cast(kind))))
     pts = durable(points(rows), "points")
     members = rows.select("vec_id", F.when(F.col("good"), F.xxhash64("label", "vec")).alias("point"))
-    pairs = durable(near_pairs(pts, dim, threshold), "pairs")
+    pairs = durable(near_pairs(pts, threshold), "pairs")
     n = pts.select("point", "n")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counted = both.join(n.withColumnRenamed("point", "b"), "b").groupBy("a").agg(F.sum("n").alias("m")).withColumnRenamed("a", "point")

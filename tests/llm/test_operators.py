@@ -91,6 +91,16 @@ def test_lattice_recall_and_odd_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(501, 505))
 
 
+def test_lattice_lengths_apart(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal(64).tolist(), rng.standard_normal(65).tolist()
+    rows = [(0, x, 0), (1, x, 0), (2, (np.array(x) * 1.001 + 1e-4).tolist(), 0), (3, y, 0), (4, (np.array(y) + 1e-4).tolist(), 0), (5, [1.0, 2.0], 0), (6, [2.0, 4.0], 0),
+            (7, [*x[:-1], None], 0), (8, x, None), (9, [], 0)]
+    got = lattice.dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [
+        (0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 0, 8), (9, 0, 9)]
+
+
 def test_bpe_is_tiktoken(spark):
     import public_tokenizers
     import tiktoken

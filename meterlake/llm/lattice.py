@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import durable, ship, table
 from meterlake.llm.components import components
 
-THRESHOLD, TABLES, PROBES, SCALE, BLOCK = 0.93, 3, 2, 2.0, 2048
+THRESHOLD, TABLES, PROBES, SCALE, BLOCK = 0.93, 4, 2, 2.0, 2048
 
 
 def _roots() -> np.ndarray:

@@ -101,6 +101,19 @@ def test_lattice_lengths_apart(spark):
         (0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 0, 8), (9, 0, 9)]
 
 
+def test_lattice_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    u, w = rng.standard_normal((2, 2000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    v = 0.930001 * u + np.sqrt(1 - 0.930001**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(np.concatenate([u, v]))], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in lattice.dedup(df).collect()}
+    found = sum(got[i] for i in range(2000)) / 2000
+    print("recall at the threshold", found)
+    assert 0.9 < found <= 1
+
+
 def test_bpe_is_tiktoken(spark):
     import public_tokenizers
     import tiktoken

@@ -44,10 +44,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document, and a digest of the bytes that they decode to."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(bpe.BATCH_ROWS))
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.default_spec(), starts_col=None)
-    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+    spec = bpe.default_spec()
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), spec), spec)
+    return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [

@@ -238,3 +238,11 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and all(r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_pipeline_decodes(spark):
+    import corpus_pipeline
+
+    rows = [(1, "naïve 😀 text"), (2, None), (3, "a  b\n")]
+    got = {r["doc_id"]: r for r in corpus_pipeline.byte_bpe(spark, docs(spark, rows), "").collect()}
+    assert all(got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() and len(got[i]["char_starts"]) == got[i]["n_tokens"] for i, t in rows)

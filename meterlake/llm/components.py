@@ -1,16 +1,51 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a partially aggregated minimum per vertex and a join back, so a hub is never gathered in
-one task; every round is written to the shared folder, which cuts the lineage.  The rounds grow with the
-logarithm of the longest chain.
+Each round begins with what can be joined without moving a row: the edges of each partition are contracted to stars
+(one pass of numpy), so a hub is one row a partition before anything is shuffled.  A star step is a partially aggregated
+minimum per vertex and a join back; every round is written to the shared folder, which cuts the lineage, and the round
+before it is deleted.  The rounds grow with the logarithm of the longest chain that is left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import durable
+from meterlake.llm.common import durable, forget, ship
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the graph with the edges a - b."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = new[new]
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+    for b in batches:
+        u, v = (np.concatenate((x, b.column(k).to_numpy(zero_copy_only=False))) for x, k in ((u, "u"), (v, "v")))
+        if len(u) > 4_000_000:  # contract early, so that a partition holds its vertices and not its edges
+            u, v = contracted(u, v)
+    u, v = contracted(u, v)
+    keep = u != v
+    for at in range(0, int(keep.sum()), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep][at : at + (1 << 17)]) for x in (u, v)], names=["u", "v"])
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -23,16 +58,20 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b: bigint, none null) to (node, component): the least reachable node, for nodes with an edge."""
-    e = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """``edges`` (a, b: bigint, none null) to (node, component): the least reachable node, for nodes with an edge to another."""
+    ship(edges.sparkSession)
+    pairs = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True).distinct()
-        e = durable(_star(large, False).distinct(), "star")
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-        if now == before:
+        e = durable(pairs.mapInArrow(_local, "u bigint, v bigint").distinct(), "stars", batch_rows=1 << 16)
+        if before is not None:
+            forget(before)
+        # stars of different partitions are all one when no node has two centres and no centre is a node
+        centres = e.groupBy("v").agg(F.lit(True).alias("centre")).withColumnRenamed("v", "u")
+        nodes = e.groupBy("u").agg(F.count("*").alias("n"))
+        if nodes.filter("n > 1").unionByName(nodes.join(centres, "u", "left_semi")).isEmpty():
             break
-        before = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        pairs, before = _star(_star(both, True).distinct(), False), e
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -131,7 +131,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (its words that stay, joined by a space), kept_sha256."""
     spark = docs.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     d = d.withColumn("key", F.xxhash64("doc_id", "text"))
     known = d.filter("doc_id IS NOT NULL").select("key", "doc_id", "text")

@@ -1,9 +1,12 @@
 """How often hashed tokens occur in the whole corpus, told back to the texts that hold them.
 
-Texts are dealt into batches by a key.  A batch sends each of its distinct tokens once, with the number of its texts that
+Texts are dealt into batches by a hash of what they say, once: equal texts meet in one batch, where one of them counts.
+(``once`` takes out the copies within a partition before, so a text in a third of all rows is one row a partition.)
+A batch sends each of its distinct tokens once, with the number of its texts that
 hold it, as packed blocks: one block a bucket of the token space, 32 bits a token beside the bucket.  A bucket adds the
 counts of its blocks and answers each block by one byte a token (0: in one text alone, else 1 + the power of two of the
-count), in the block's order.  The answers meet the batch's texts again, whose tokens are derived anew.
+count), in the block's order.  The answers meet the batch's texts where these already lie (the exchange of the texts is used twice); their
+tokens are derived anew.
 
 So a token costs 4 bytes there and less than one back, and one in every text is a single entry a batch, which
 bounds what a task holds of it.  Tokens that agree in bucket and 32 bits are counted together (about one in
@@ -21,59 +24,65 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.common import ship
 
-#: Bytes of text in a batch (they grow with the root of the input, so that blocks keep dozens of entries), batches' worth of text in a bucket.
-BATCH_BYTES, GROWS_FROM, GROWS_TO, BATCHES_IN_BUCKET, LEAST = 1 << 22, 1 << 35, 16.0, 4, 64
+#: Bytes of text in a batch (they grow with the fourth root of the input, so that blocks stay worth their row), batches' worth of text in a bucket.
+BATCH_BYTES, GROWS_FROM, BATCHES_IN_BUCKET, LEAST = 1 << 22, 1 << 35, 4, 64
 
 Tokens = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def sizes(text_bytes: int) -> tuple[int, int]:
     """(batches, buckets) for so many bytes of text."""
-    batch = BATCH_BYTES * min(GROWS_TO, max(1.0, (text_bytes / GROWS_FROM) ** 0.5))
+    batch = BATCH_BYTES * max(1.0, (text_bytes / GROWS_FROM) ** 0.25)
     return max(LEAST, -int(-text_bytes // batch)), max(LEAST, -int(-text_bytes // (batch * BATCHES_IN_BUCKET)))
 
 
+def digested(docs: DataFrame, *more: str) -> DataFrame:
+    """``docs``' text (null: empty) with two 64-bit hashes, t1 and t2, which tell texts apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(*more, text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
+
+
 def batch_of(key: Column, batches: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[tuple[int, pa.Table]]:
-    held: list[pa.RecordBatch] = []
-    at = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = b.column(col).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if held and ids[lo] != at:
-                yield int(at), pa.Table.from_batches(held)
-                held = []
-            at = ids[lo]
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield int(at), pa.Table.from_batches(held)
+    return F.pmod(key, F.lit(batches)).cast("int")
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """``rows`` with t1 and t2, less those that repeat an earlier text of their partition."""
+    schema = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            keys = zip(b.column("t1").to_numpy().tolist(), b.column("t2").to_numpy().tolist())
+            new = [not (k in seen or seen.add(k)) for k in keys]
+            yield b if all(new) else b.filter(pa.array(new, pa.bool_()))
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
 
 
 def _one(t: pa.Table, name: str) -> pa.Array:
-    return pa.concat_arrays(t.column(name).chunks)
+    c = t.column(name)
+    return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+
+
+def _distinct_texts(t: pa.Table) -> pa.Table:
+    keys = np.stack([_one(t, k).to_numpy() for k in ("t1", "t2")], axis=1)
+    first = np.unique(keys, axis=0, return_index=True)[1]
+    return t if len(first) == t.num_rows else t.take(pa.array(np.sort(first)))
 
 
 def _places(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
-def _counted(h: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all tokens in order, and how many texts hold each."""
-    if not len(h):
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    v = _places(h, buckets)
-    order = np.lexsort((doc, v))
-    v, doc = v[order], doc[order]
-    new = np.concatenate(([True], v[1:] != v[:-1]))
-    other = new | np.concatenate(([True], doc[1:] != doc[:-1]))
+def _counted(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all tokens in order, and how many (text, token) pairs have each."""
+    v = np.sort(_places(h, buckets))
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = v[1:] != v[:-1]
     at = np.flatnonzero(new)
-    return v[at], np.add.reduceat(other.astype(np.uint32), at, dtype=np.uint32)
+    return v[at], np.diff(np.append(at, len(v))).astype(np.uint32)
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -84,54 +93,53 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
 
 
-def tally(rows: DataFrame, buckets: int, tokens: Tokens, use: Callable[[pa.Table, Callable[[np.ndarray], np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
-    """``use`` of every batch of ``rows`` (batch: int, id: bigint, text, more: array<bigint>), and of what gives its tokens' answers; ``tokens`` gives (hash, number of text)."""
+def tally(rows: DataFrame, buckets: int, tokens: Tokens, use: Callable[[pa.Table, Callable[[np.ndarray], np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """``use`` of every batch of distinct texts of ``rows`` (batch: int, text, t1, t2, and more), and of what gives its tokens' answers.
+
+    ``tokens`` gives (hash, number of text), each pair once.
+    """
     ship(rows.sparkSession)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, t in _grouped(batches, "batch"):
-            v, n = _counted(*tokens(_one(t, "text")), buckets)
-            bucket = (v >> np.uint64(32)).astype(np.int64)
-            rest = v.astype(np.uint32)
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() + [len(v)] if len(v) else [0]
-            spans = list(zip(cuts[:-1], cuts[1:]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([at] * len(spans), pa.int32()),
-                 pa.array([rest[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([_packed(n[a:b]) for a, b in spans], pa.binary())],
-                names=["bucket", "batch", "rest", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, t in _grouped(batches, "bucket"):
-            blocks = [np.frombuffer(x, np.uint32) for x in t.column("rest").to_pylist()]
-            ends = np.cumsum([len(x) for x in blocks])
-            counts = np.concatenate([_unpacked(x, len(b)) for x, b in zip(t.column("n").to_pylist(), blocks)])
-            _, inverse = np.unique(np.concatenate(blocks), return_inverse=True)
-            total = np.bincount(inverse, weights=counts)
-            band = np.where(total > 1, 1 + np.floor(np.log2(np.maximum(total, 1))), 0).astype(np.uint8)[inverse]
-            yield pa.RecordBatch.from_arrays(
-                [_one(t, "batch"), pa.array([at] * len(blocks), pa.int32()), pa.array([x.tobytes() for x in np.split(band, ends[:-1])], pa.binary())],
-                names=["batch", "bucket", "band"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _grouped(batches, "batch"):
-            kind = t.column("bucket").to_numpy()
-            first = int(np.searchsorted(kind, buckets))  # answers come in order of their buckets, then the texts
-            texts = t.slice(first)
-            if not texts.num_rows:
-                continue
-            v, _ = _counted(*tokens(_one(texts, "text")), buckets)
-            band = np.frombuffer(b"".join(t.slice(0, first).column("band").to_pylist()), np.uint8)
-            if len(band) != len(v):
-                raise RuntimeError(f"{len(band)} answers for {len(v)} tokens")
-
-            def answer(h: np.ndarray, v: np.ndarray = v, band: np.ndarray = band) -> np.ndarray:
-                return band[np.searchsorted(v, _places(h, buckets))] if len(h) else np.empty(0, np.uint8)
-
-            yield use(texts, answer)
-
-    blocks = rows.select("batch", "text").repartition("batch").sortWithinPartitions("batch").mapInArrow(send, "bucket int, batch int, rest binary, n binary")
-    bands = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "batch int, bucket int, band binary")
-    none = lambda t: F.lit(None).cast(t)
-    both = bands.select("batch", "bucket", "band", none("bigint").alias("id"), none("string").alias("text"), none("array<bigint>").alias("more")).unionByName(
-        rows.select("batch", F.lit(buckets).alias("bucket"), none("binary").alias("band"), "id", "text", "more"))
-    return both.repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(meet, schema)
+    def send(t: pa.Table) -> pa.Table:
+        v, n = _counted(tokens(_one(_distinct_texts(t), "text"))[0], buckets)
+        bucket = (v >> np.uint64(32)).astype(np.int64)
+        rest = v.astype(np.uint32)
+        cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(v)]
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        return pa.table({
+            "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * len(spans), pa.int32()),
+            "rest": pa.array([rest[a:b].tobytes() for a, b in spans], pa.binary()), "n": pa.array([_packed(n[a:b]) for a, b in spans], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        blocks = [np.frombuffer(x, np.uint32) for x in t.column("rest").to_pylist()]
+        ends = np.cumsum([len(x) for x in blocks])
+        counts = np.concatenate([_unpacked(x, len(b)) for x, b in zip(t.column("n").to_pylist(), blocks)])
+        _, inverse = np.unique(np.concatenate(blocks), return_inverse=True)
+        total = np.bincount(inverse, weights=counts)
+        band = np.where(total > 1, 1 + np.floor(np.log2(np.maximum(total, 1))), 0).astype(np.uint8)[inverse]
+        return pa.table({"batch": _one(t, "batch"), "bucket": _one(t, "bucket"), "band": pa.array([x.tobytes() for x in np.split(band, ends[:-1])], pa.binary())})
+
+    def meet(texts: pa.Table, bands: pa.Table) -> pa.Table:
+        texts = _distinct_texts(texts)
+        v, _ = _counted(tokens(_one(texts, "text"))[0], buckets)
+        order = np.argsort(bands.column("bucket").to_numpy())
+        told = bands.column("band").to_pylist()
+        band = np.frombuffer(b"".join([told[i] for i in order]), np.uint8)
+        if len(band) != len(v):
+            raise RuntimeError(f"{len(band)} answers for {len(v)} tokens")
+
+        def answer(h: np.ndarray) -> np.ndarray:
+            return band[np.searchsorted(v, _places(h, buckets))] if len(h) else np.empty(0, np.uint8)
+
+        return use(texts, answer)
+
+    def met(texts: pa.Table, bands: pa.Table) -> pa.Table:
+        return meet(texts, bands) if texts.num_rows else empty
+
+    made = rows.sparkSession.createDataFrame([], schema).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(made).empty_table()
+    blocks = rows.groupBy("batch").applyInArrow(send, "bucket int, batch int, rest binary, n binary")
+    bands = blocks.groupBy("bucket").applyInArrow(add, "batch int, bucket int, band binary")
+    return rows.groupBy("batch").cogroup(bands.groupBy("batch")).applyInArrow(met, schema)

@@ -125,6 +125,16 @@ def shingles(w: Words, n_docs: int, k: int = 5, seed: int = 0) -> tuple[np.ndarr
     return h, doc
 
 
+def distinct(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each (hash, text) once, in order of text and hash."""
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint16) if n_docs < 1 << 16 else doc[order], kind="stable")]  # 16 bits are sorted by radix
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new]
+
+
 def slices(at: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes; one longer text is a range of its own."""
     a, n = 0, len(at) - 1

@@ -49,17 +49,26 @@ def test_jaccard_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 4])
-def test_jaccard_links_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard.link_counts, "__defaults__", (block, jaccard.BLOCK_GRAMS))
-    rows = fixture_rows()
-    got = {r["doc_id"]: r["n_links"] for r in jaccard.join(docs(spark, rows)).collect()}
+def test_jaccard_links_against_brute_force(spark, block):
+    """Blocks of four texts: large cells are cut by the other orders and compared band by band."""
+    licence = " ".join(f"l{i}" for i in range(20))
+    rows = fixture_rows() + [(9300 + i, f"{licence} a{i} b{i} c{i} d{i}") for i in range(40)] + [(9400 + i, f"{licence} " + " ".join(f"x{j}" for j in range(i))) for i in range(12)]
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in jaccard.join(docs(spark, rows), block=block).collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for i, t in rows:
         w = WORD.findall((t or "").translate(low))
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
-    want = {a: sum(a != b and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
-    assert got == want and max(want.values()) > 20
+    link = {a: [b for b, y in sets.items() if a != b and x and 100 * len(x & y) >= 75 * len(x | y)] for a, x in sets.items()}
+    least = {}
+    for i in sorted(sets):
+        todo = [] if i in least else [i]
+        while todo:
+            x = todo.pop()
+            if x not in least:
+                least[x] = i
+                todo += link[x]
+    assert got == {i: (len(link[i]), least[i]) for i in sets} and max(map(len, link.values())) > 20
 
 
 def test_substrings_against_brute_force(spark):

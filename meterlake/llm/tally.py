@@ -46,15 +46,19 @@ def batch_of(key: Column, batches: int) -> Column:
     return F.pmod(key, F.lit(batches)).cast("int")
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """``rows`` with t1 and t2, less those that repeat an earlier text of their partition."""
+def once(rows: DataFrame, least: str | None = None) -> DataFrame:
+    """``rows`` with t1 and t2, less those that repeat an earlier text of their partition (with a smaller or equal ``least``, if that is a column)."""
     schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], int] = {}
         for b in batches:
             keys = zip(b.column("t1").to_numpy().tolist(), b.column("t2").to_numpy().tolist())
-            new = [not (k in seen or seen.add(k)) for k in keys]
+            new = []
+            for k, i in zip(keys, b.column(least).to_pylist() if least else [0] * b.num_rows):
+                new.append(seen.get(k, i + 1) > i)
+                if new[-1]:
+                    seen[k] = i
             yield b if all(new) else b.filter(pa.array(new, pa.bool_()))
 
     ship(rows.sparkSession)
@@ -66,10 +70,13 @@ def _one(t: pa.Table, name: str) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
 
-def _distinct_texts(t: pa.Table) -> pa.Table:
-    keys = np.stack([_one(t, k).to_numpy() for k in ("t1", "t2")], axis=1)
-    first = np.unique(keys, axis=0, return_index=True)[1]
-    return t if len(first) == t.num_rows else t.take(pa.array(np.sort(first)))
+def _distinct_texts(t: pa.Table, least: str | None = None) -> pa.Table:
+    """One row of each text, that with the smallest ``least``."""
+    t1, t2 = (_one(t, k).to_numpy() for k in ("t1", "t2"))
+    order = np.lexsort((_one(t, least).to_numpy() if least else np.arange(len(t1)), t2, t1))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(t1[order]) != 0) | (np.diff(t2[order]) != 0)
+    return t if new.all() else t.take(pa.array(np.sort(order[new])))
 
 
 def _places(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -93,10 +100,11 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
 
 
-def tally(rows: DataFrame, buckets: int, tokens: Tokens, use: Callable[[pa.Table, Callable[[np.ndarray], np.ndarray]], pa.Table], schema: str) -> DataFrame:
+def tally(rows: DataFrame, buckets: int, tokens: Tokens, use: Callable[[pa.Table, Callable[[np.ndarray], np.ndarray]], pa.Table], schema: str,
+          least: str | None = None) -> DataFrame:
     """``use`` of every batch of distinct texts of ``rows`` (batch: int, text, t1, t2, and more), and of what gives its tokens' answers.
 
-    ``tokens`` gives (hash, number of text), each pair once.
+    ``tokens`` gives (hash, number of text), each pair once.  Of equal texts the row with the smallest ``least`` stands for all.
     """
     ship(rows.sparkSession)
 
@@ -120,7 +128,7 @@ def tally(rows: DataFrame, buckets: int, tokens: Tokens, use: Callable[[pa.Table
         return pa.table({"batch": _one(t, "batch"), "bucket": _one(t, "bucket"), "band": pa.array([x.tobytes() for x in np.split(band, ends[:-1])], pa.binary())})
 
     def meet(texts: pa.Table, bands: pa.Table) -> pa.Table:
-        texts = _distinct_texts(texts)
+        texts = _distinct_texts(texts, least)
         v, _ = _counted(tokens(_one(texts, "text"))[0], buckets)
         order = np.argsort(bands.column("bucket").to_numpy())
         told = bands.column("band").to_pylist()

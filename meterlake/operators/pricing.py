@@ -2,7 +2,8 @@
 
 ``rates`` (model, input, output, cache_read, cache_write_5m, cache_write_1h: USD a token) and ``aliases``
 (alias, target; a null target is free of charge) are tables of a rate card: some hundred rows.
-They are broadcast while they have at most ``MAX_CARD`` rows, and joined without a hint beyond that.
+They are joined without a hint: a card is a small file or a local table, whose size Spark knows and broadcasts below
+its own threshold, so no job is run to count it when a query is built.
 """
 
 from __future__ import annotations
@@ -10,14 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CARD = 100_000
 RATES = ("input", "output", "cache_read", "cache_write_5m", "cache_write_1h")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MAX_CARD + 1).count() <= MAX_CARD else df
-
-
 def usable_aliases(aliases: DataFrame) -> DataFrame:
     """Names that begin with an underscore are notes."""
     return aliases.filter(F.col("alias").isNotNull() & ~F.col("alias").startswith("_"))
@@ -27,8 +23,8 @@ def resolve(messages: DataFrame, rates: DataFrame, aliases: DataFrame) -> DataFr
     """Add ``rate`` (struct or null) and ``free``: alias first, then the exact name, then without a date suffix."""
     card = rates.select(F.col("model").alias("__name"), F.struct(*RATES).alias("__rate"))
     a = usable_aliases(aliases).join(card.withColumnsRenamed({"__name": "target", "__rate": "__alias_rate"}), "target", "left")
-    a = _small(a.select(F.col("alias").alias("__alias"), "__alias_rate", F.col("target").isNull().alias("__free")))
-    exact, bare = _small(card.withColumnRenamed("__rate", "__exact")), _small(card.withColumnsRenamed({"__name": "__bare_name", "__rate": "__bare"}))
+    a = a.select(F.col("alias").alias("__alias"), "__alias_rate", F.col("target").isNull().alias("__free"))
+    exact, bare = card.withColumnRenamed("__rate", "__exact"), card.withColumnsRenamed({"__name": "__bare_name", "__rate": "__bare"})
     m = messages.join(a, messages["model"] == F.col("__alias"), "left").join(exact, messages["model"] == F.col("__name"), "left")
     m = m.withColumn("__cut", F.regexp_replace("model", r"-[0-9]{8}$", "")).join(bare, F.col("__cut") == F.col("__bare_name"), "left")
     rate = F.when(F.col("__alias").isNotNull(), F.col("__alias_rate")).otherwise(F.coalesce("__exact", "__bare"))

@@ -19,12 +19,12 @@ def since(df: DataFrame, at_ms: int | None, col: str = "ts_epoch_ms") -> DataFra
 
 
 def _cost() -> list[Column]:
-    return [F.round(F.sum("cost_usd"), 9).alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced")]
+    return [F.sum("cost_usd").alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced")]
 
 
 def _share(part: str, *whole: str) -> Column:
     total = sum((F.sum(c) for c in whole[1:]), F.sum(whole[0]))
-    return F.round(F.when(total > 0, F.lit(100.0) * F.sum(part) / total), 6)
+    return F.when(total > 0, F.lit(100.0) * F.sum(part) / total)
 
 
 def _label(df: DataFrame, col: str, label: str) -> DataFrame:
@@ -39,29 +39,34 @@ def daily(m: DataFrame, at_ms: int | None = None) -> DataFrame:
 
 def models(m: DataFrame, at_ms: int | None = None) -> DataFrame:
     g = since(m, at_ms).groupBy("model", "agent").agg(
-        F.count("*").alias("messages"), *[F.sum(c).alias(c) for c in TOKENS], *_cost(), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"),
+        F.count("*").alias("messages"), *[F.sum(c).alias(c) for c in TOKENS], *_cost(), F.avg("latency_ms").alias("avg_latency_ms"),
         F.sum("retry_count").alias("retries"), _share("reasoning_tokens", "output_tokens").alias("reasoning_pct"),
         _share("cache_read_tokens", "cache_read_tokens", "input_tokens", "cache_write_tokens").alias("cache_hit_pct"))
     return _label(g, "model", "(none)").orderBy(F.desc_nulls_last("cost_usd"), F.desc("total_tokens"), "model", "agent")
 
 
 def recent_sessions(s: DataFrame, limit: int = 20, at_ms: int | None = None) -> DataFrame:
-    started = s.withColumn("started_at_ms", F.floor(F.col("started_at_ms") / 1000) * 1000)
-    return since(started, at_ms, "started_at_ms").orderBy(F.desc("started_at_ms"), "agent", "session_id").limit(limit)
+    """The last sessions by their start; a start time is compared in whole seconds with ``at_ms``, and in full in the order."""
+    late = s if at_ms is None else s.filter(F.floor(F.col("started_at_ms") / 1000) * 1000 >= at_ms)
+    return late.orderBy(F.desc("started_at_ms"), "agent", "session_id").limit(limit)
 
 
 def tools(t: DataFrame, at_ms: int | None = None) -> DataFrame:
     g = since(t, at_ms).groupBy("tool_name", "agent").agg(
         F.count("*").alias("calls"), F.count_if("is_error").alias("errors"),
-        F.round(F.lit(100.0) * F.count_if("is_error") / F.count("*"), 6).alias("error_pct"), F.round(F.avg("duration_ms"), 6).alias("avg_duration_ms"))
+        (F.lit(100.0) * F.count_if("is_error") / F.count("*")).alias("error_pct"), F.avg("duration_ms").alias("avg_duration_ms"))
     return _label(g, "tool_name", "(unknown)").orderBy(F.desc("calls"), "tool_name", "agent")
 
 
-def status(m: DataFrame, s: DataFrame, t: DataFrame) -> DataFrame:
-    a = m.agg(F.count("*").alias("messages"), F.round(F.sum("cost_usd"), 9).alias("total_cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_messages"),
-              F.min("ts_epoch_ms").alias("earliest"), F.max("ts_epoch_ms").alias("latest"))
-    # one row each
-    return a.join(F.broadcast(s.agg(F.count("*").alias("sessions"))), how="left").join(F.broadcast(t.agg(F.count("*").alias("tool_calls"))), how="left")
+def status(m: DataFrame, s: DataFrame, t: DataFrame, subagent_runs: DataFrame, marks: DataFrame, windows: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: how much there is of each table, what it cost, from when to when, and the last run."""
+    out = m.agg(F.count("*").alias("messages"), F.sum("cost_usd").alias("total_cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_messages"),
+                F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+    counts = {"sessions": s, "tool_calls": t, "subagent_runs": subagent_runs, "watermarks": marks, "experiments": windows}
+    one = [df.agg(F.count("*").alias(k)) for k, df in counts.items()] + [runs.agg(F.max("finished_at").alias("last_run"))]
+    for df in one:
+        out = out.join(F.broadcast(df), how="left")  # one row each, as aggregates without a group
+    return out.select("messages", *counts, "total_cost_usd", "unpriced_messages", "earliest", "latest", "last_run")
 
 
 def unknown_models(m: DataFrame) -> DataFrame:
@@ -73,9 +78,25 @@ def _in_window(m: DataFrame, e: DataFrame) -> Column:
     return (m["ts_epoch_ms"] >= e["start_ms"]) & (e["end_ms"].isNull() | (m["ts_epoch_ms"] <= e["end_ms"]))
 
 
+#: Windows up to so many are broadcast to the messages; more are met by day.
+MAX_WINDOWS, DAY_MS = 10_000, 86_400_000
+
+
 def experiments(e: DataFrame, m: DataFrame) -> DataFrame:
-    """Messages and cost of each window. Windows are made by hand, so there are few: the range join broadcasts them."""
-    hit = m.join(F.broadcast(e), _in_window(m, e)).groupBy("name").agg(F.count("*").alias("messages"), F.round(F.sum("cost_usd"), 9).alias("cost_usd"))
+    """Messages and cost of each window; a message counts in every window that covers it.
+
+    Windows are made by hand, so there are few, which is checked: they are broadcast to the range join.  Beyond ``MAX_WINDOWS`` a
+    window is taken apart by days (up to the last message's), and meets the messages of its days.
+    """
+    found = [F.count("*").alias("messages"), F.sum("cost_usd").alias("cost_usd")]
+    if e.limit(MAX_WINDOWS + 1).count() <= MAX_WINDOWS:
+        hit = m.join(F.broadcast(e), _in_window(m, e)).groupBy("name").agg(*found)
+    else:
+        last = m.agg(F.max("ts_epoch_ms").alias("last")).first()["last"] or 0
+        day = lambda c: F.floor(c / DAY_MS)
+        days = e.filter(F.col("start_ms") <= last).withColumn("__day", F.explode(F.sequence(day(F.col("start_ms")), F.greatest(day(F.col("start_ms")), day(F.least(F.coalesce("end_ms", F.lit(last)), F.lit(last)))))))
+        by_day = m.select("ts_epoch_ms", "cost_usd", day(F.col("ts_epoch_ms")).alias("__day"))
+        hit = by_day.join(days, "__day").filter((F.col("ts_epoch_ms") >= F.col("start_ms")) & (F.col("end_ms").isNull() | (F.col("ts_epoch_ms") <= F.col("end_ms")))).groupBy("name").agg(*found)
     return e.join(hit, "name", "left").withColumn("messages", F.coalesce("messages", F.lit(0).cast("long"))).orderBy(F.desc("start_ms"), "name")
 
 
@@ -87,7 +108,7 @@ def experiment_report(e: DataFrame, m: DataFrame, name: str) -> DataFrame:
     inside = inside if row["end_ms"] is None else inside.filter(F.col("ts_epoch_ms") <= row["end_ms"])
     g = inside.groupBy("model", "agent").agg(
         F.count("*").alias("messages"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")],
-        F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"), *_cost())
+        F.avg("latency_ms").alias("avg_latency_ms"), *_cost())
     return _label(g, "model", "(none)").orderBy(F.desc_nulls_last("cost_usd"), "model", "agent")
 
 
@@ -95,17 +116,40 @@ def duplicates(lines: DataFrame, key: str = "dedup_key") -> DataFrame:
     return lines.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+#: The checks (D1-D7) and what a violation means.
+CHECKS = {
+    "unique_messages": "one response is billed once: a message id that stands under two keys was counted twice",
+    "unknown_is_null": "a price that is not known is no price, and never zero",
+    "zero_rated_is_zero": "what is free of charge costs nothing",
+    "derived_has_version": "a derived cost names the rates that it was derived from",
+    "rollup_matches": "a session costs what its messages cost",
+    "offset_in_file": "a mark behind the end of its file would skip what comes next",
+    "has_session": "a message without a session is in no rollup",
+}
+
+
 def doctor(m: DataFrame, s: DataFrame, marks: DataFrame) -> DataFrame:
-    """check, violations, passed: one row an invariant."""
-    spent = m.groupBy("agent", "session_id").agg(F.round(F.sum("cost_usd"), 9).alias("spent"))
-    found = {
-        "unique_messages": duplicates(m.filter("agent = 'claude-code'")),
-        "unknown_is_null": m.filter("cost_source = 'unknown' AND cost_usd IS NOT NULL"),
-        "zero_rated_is_zero": m.filter("cost_source = 'zero-rated' AND cost_usd != 0"),
-        "derived_has_version": m.filter("cost_source = 'derived' AND pricing_version IS NULL"),
-        "rollup_matches": s.join(spent, ["agent", "session_id"]).filter(F.abs(F.coalesce("cost_usd", F.lit(0.0)) - F.coalesce("spent", F.lit(0.0))) > 1e-9),
-        "offset_in_file": marks.filter("byte_offset > size_bytes"),
-        "has_session": m.filter("session_id IS NULL OR session_id = ''"),
+    """check, violations, passed, why: one row an invariant.
+
+    Row-wise checks are one pass over the messages; duplicates and rollups are a grouping each.
+    """
+    of = {
+        "unknown_is_null": "cost_source = 'unknown' AND cost_usd IS NOT NULL",
+        "zero_rated_is_zero": "cost_source = 'zero-rated' AND cost_usd != 0",
+        "derived_has_version": "cost_source = 'derived' AND pricing_version IS NULL",
+        "has_session": "session_id IS NULL OR session_id = ''",
     }
-    counts = [df.agg(F.lit(k).alias("check"), F.count("*").alias("violations")) for k, df in found.items()]
-    return reduce(DataFrame.unionByName, counts).withColumn("passed", F.col("violations") == 0)
+    rows = m.agg(*[F.count_if(F.expr(c)).alias(k) for k, c in of.items()]).unpivot([], list(of), "check", "violations")
+    twice = m.filter("agent = 'claude-code' AND provider_msg_id IS NOT NULL").groupBy("provider_msg_id").count().filter("count > 1")
+    spent = m.groupBy("agent", "session_id").agg(F.sum("cost_usd").alias("spent"))
+    off = s.join(spent, ["agent", "session_id"]).filter(F.abs(F.coalesce("cost_usd", F.lit(0.0)) - F.coalesce("spent", F.lit(0.0))) > 1e-9)
+    parts = {"unique_messages": twice, "rollup_matches": off, "offset_in_file": marks.filter("byte_offset > size_bytes")}
+    counts = reduce(DataFrame.unionByName, [df.agg(F.lit(k).alias("check"), F.count("*").alias("violations")) for k, df in parts.items()], rows)
+    why = F.create_map(*[F.lit(x) for pair in CHECKS.items() for x in pair])
+    return counts.select("check", "violations", (F.col("violations") == 0).alias("passed"), why[F.col("check")].alias("why"))
+
+
+def leaks(df: DataFrame, canary: str) -> DataFrame:
+    """Rows of which a text column holds ``canary`` (F10): none may, as what was said is not stored."""
+    texts = [F.contains(F.col(f.name), F.lit(canary)) for f in df.schema if f.dataType.simpleString() == "string"]
+    return df.filter(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in texts], F.lit(False)))

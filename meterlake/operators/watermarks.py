@@ -21,4 +21,5 @@ def decide(listing: DataFrame, marks: DataFrame) -> DataFrame:
 
 def summary(marks: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
-    return marks.agg(F.count("*").alias("files"), F.coalesce(F.sum("byte_offset"), zero).alias("bytes"), F.coalesce(F.sum("lines_ingested"), zero).alias("lines"))
+    return marks.agg(F.count("*").alias("files"), F.coalesce(F.sum("byte_offset"), zero).alias("bytes"), F.coalesce(F.sum("lines_ingested"), zero).alias("lines"),
+                     F.coalesce(F.sum("lines_skipped"), zero).alias("skipped"))

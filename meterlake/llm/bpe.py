@@ -12,7 +12,11 @@ A text is cut before a space that follows a non-space once ``CHUNK`` characters
 pattern never spans such a place, so ids are those of the whole text while the library's own memory
 stays bounded.  A single longer run is encoded as it is.
 
-Defined results: null or empty text has no tokens; every row gives a row; other columns are carried along.
+The library gets the pattern's matches one by one, so offsets are not asked of it: each token's first character follows from the lengths of the tokens' bytes,
+which lie end to end over the text's.  A token that begins within a character (split by the merges) has that character's place.
+
+Defined results: null or empty text has no tokens; every row gives a row, repeated ones equal ones; ties can't be, as merges have distinct ranks; an empty table
+gives no rows; other columns are carried along, but for those with the names of the outputs, which give way.
 """
 
 from __future__ import annotations
@@ -32,10 +36,11 @@ from pyspark.sql import types as T
 from meterlake.llm.common import ship, table
 
 CHUNK, CACHE = 1 << 16, 1 << 18
-#: Rows of a batch; a batch of the longest texts of a corpus must fit a worker.
-BATCH_ROWS = 256
+#: Rows of a batch, and bytes of its texts or ids; one longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 24
 
 
+#: The ranges of bytes that stand for themselves in the usual table.
 def byte_chars() -> list[str]:
     """The character that stands for each byte: printable ones for themselves, the others from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -141,14 +146,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _rows(batches: Iterator[pa.RecordBatch], most: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, most):
-            yield b.slice(at, most)
+        each = max(1, min(most, BATCH_BYTES * b.num_rows // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, each):
+            yield b.slice(at, each)
+
 
+def encode(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids", starts_col: str | None = "char_starts", bytes_col: str | None = None) -> DataFrame:
+    """Replace ``text_col`` by token ids and, unless these are None, each token's first character and the bytes that the ids decode to.
 
-def encode(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids", starts_col: str | None = "char_starts") -> DataFrame:
-    """Replace ``text_col`` by token ids and, unless ``starts_col`` is None, each token's first character."""
-    rest = [c for c in docs.columns if c not in (text_col, ids_col, starts_col)]
-    made = [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in (ids_col, starts_col) if c]
+    Decoding here rather than by ``decode`` saves the ids a way to another worker, and the executor that worker.
+    """
+    rest = [c for c in docs.columns if c not in (text_col, ids_col, starts_col, bytes_col)]
+    made = [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in (ids_col, starts_col) if c] + [T.StructField(c, T.BinaryType()) for c in (bytes_col,) if c]
     schema = T.StructType([docs.schema[c] for c in rest] + made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +168,8 @@ def encode(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "i
             cols = [b.column(c) for c in rest] + [_lists(ids)]
             if starts_col:
                 cols.append(_lists([codec.char_starts(t, i) for t, i in zip(texts, ids)]))
+            if bytes_col:
+                cols.append(pa.array([codec.decode(i.tolist()) for i in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     ship(docs.sparkSession)
@@ -189,8 +200,7 @@ def default_spec() -> str:
 def digests(docs: DataFrame, spec: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_split (tokens that begin within a character)."""
     spec = spec or default_spec()
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    coded = decode(encode(docs.select("doc_id", "text"), spec), spec)
+    coded = encode(docs.select("doc_id", "text"), spec, bytes_col="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     inside = F.size("char_starts") - F.size(F.array_distinct("char_starts"))
     return coded.select(

@@ -8,7 +8,10 @@ right is used.  Of each value ``BITS`` low bits are stored, as hexadecimal digit
 agree in these with chance 2^-BITS, which the likeness corrects for.
 
 Defined results: null, empty or wordless text has the empty fingerprint, which is like itself (1) and unlike
-all others (0); a text of one to four words is one shingle; equal texts have equal fingerprints.
+all others (0); a text of one to four words is one shingle; equal texts have equal fingerprints; repeated rows are
+fingerprinted each, and rows of one id follow each other by their text, so the next of a repeated row is its copy; rows without an id come first;
+a table of one row is its own next; an empty table gives no rows; other columns stay as they are in ``fingerprint`` (one of the output's name gives way)
+and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -171,5 +174,4 @@ def compare_edits(rows: DataFrame) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return compare_edits(with_next(table(spark, sf_dir, "documents")))

@@ -7,8 +7,9 @@ it holds besides the block (exact copies of one page are one): ``MIN_PAGES`` of
 must also be of different texts: near copies share most of it, so of each rest one text node is drawn (least hash by
 length), and ``MIN_KINDS`` of the rests must draw different ones.  Template blocks are deleted.  Words within a line,
 and cells or list items without blocks of their own, only go with what holds them.  Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by element and class,
-and the text of the main content is read in page order.
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by element, and by names that are boilerplate words and
+nothing else (an ``article`` that is a comment too); a name like ``related-work`` or ``social-history`` says nothing, and only recurrence does.
+The text of the main content is read in page order.
 
 The template hashes go to the executors as a set while they are at most ``MAX_SET``; beyond it pages
 are joined with the hashes found on them.
@@ -35,16 +36,28 @@ from meterlake.llm.common import durable, ship, table
 
 MIN_PAGES, MIN_SHARE, MAX_SET = 5, 0.3, 200_000
 LEAST_PAGES, MANY_PAGES, MIN_KINDS = 3, 100, 0.3
-BATCH_ROWS = 256
 #: Fixed values of HTML: elements without content, elements that stand within a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time u var".split())
 CELLS = frozenset("caption dd dt figcaption li option td th tr tbody thead tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GONE = frozenset("nav footer aside form script style noscript template iframe head title button select textarea svg object menu dialog".split())
-CLASSES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|comments?|disqus|replies"
-    r"|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|share|sharing|social|related|widget)(?:$|[\s_-])", re.I)
+#: Words that name what is no article, and words that say nothing else beside them: a name counts when all its words are of these two lists and one is of the first,
+#: so ``related-posts`` does and ``related-work`` doesn't.
+NO_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter
+    notice notices popup promo promos promotion related replies reply share sharing sidebar social sponsor sponsored subscribe subscription widget widgets""".split())
+BESIDE = frozenset("""area articles banner bar bottom box buttons block container content form global group icons inner item items left link links list main module news outer page panel popular posts primary
+    right row secondary section side signup site slot stories thread toolbar top unit wrap wrapper""".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9_-]+")
+
+
+def names_no_article(names: str) -> bool:
+    """Whether one of the class names, ids or roles is made of boilerplate words alone."""
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name) if not w.isdigit()]
+        if words and all(w in NO_ARTICLE or w in BESIDE for w in words) and any(w in NO_ARTICLE for w in words):
+            return True
+    return False
 
 
 class Element:
@@ -74,7 +87,7 @@ class Tree(HTMLParser):
             self.at = self.at.parent
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" for k, _ in attrs)
-        e = Element(tag, tag in GONE or hidden or bool(named and tag not in ("html", "body", "article", "main") and CLASSES.search(named)), self.at)
+        e = Element(tag, tag in GONE or hidden or (tag not in ("html", "body") and names_no_article(named)), self.at)
         self.at.items.append(e)
         if tag in ("article", "main"):
             self.main.append(e)
@@ -102,8 +115,8 @@ def _content(tree: Tree) -> list[Element]:
         for e in tree.main:
             up, inner, bad = e.parent, False, False
             while up is not None:
-                inner, bad, up = inner or up.tag == tag, bad or up.gone, up.parent
-            if e.tag == tag and not inner and not bad:
+                inner, bad, up = inner or (up.tag == tag and not up.gone), bad or up.gone, up.parent
+            if e.tag == tag and not inner and not bad and not e.gone:
                 out.append(e)
         if out:
             return out
@@ -193,7 +206,6 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     """page_id, url, text of every row."""
     spark = pages.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     p = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
     p = p.withColumn("key", F.xxhash64("page_id", "url", "html"))
 

@@ -216,8 +216,8 @@ def compared(inside: DataFrame, sets: DataFrame, percent: int, orders: int, bloc
     return full.groupBy("key", "band", "i", "j").applyInArrow(compare, "cls bigint, m bigint, root bigint")
 
 
-def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int = ORDERS, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, n_links (other rows at the threshold)."""
+def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int = ORDERS, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, detail: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, n_links (other rows at the threshold); with ``detail`` also t1 and t2 (hashes of its text) and component (null without words)."""
     spark = docs.sparkSession
     ship(spark)
     d = tally.digested(docs, F.col("doc_id").cast("long").alias("doc_id"))
@@ -246,9 +246,10 @@ def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int
     of = told.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(m, "cls", "left")
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
     links = F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_rows") - 1 + F.coalesce("m", F.lit(0))).cast("long")
-    of = durable(of.join(least, "component").select("t1", "t2", "n", "n_rows", "component_id", links.alias("n_links")), "of")
+    of = durable(of.join(least, "component").select("t1", "t2", "n", "n_rows", "component", "component_id", links.alias("n_links")), "of")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return join_counted(rows.select("doc_id", "t1", "t2"), of, ["t1", "t2"], "n_rows").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "n_links")
+    more = ["t1", "t2", F.when(F.col("n") > 0, F.col("component")).alias("component")] if detail else []
+    return join_counted(rows.select("doc_id", "t1", "t2"), of, ["t1", "t2"], "n_rows").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "n_links", *more)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,6 @@ from meterlake.llm.common import ship, table
 
 DIM, NGRAMS, TRAIN_ROWS, EPOCHS = 1 << 14, 3, 2000, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
-BATCH_ROWS = 256
 
 
 class Model(NamedTuple):
@@ -44,7 +43,7 @@ def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+", " "))
 
 
-def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed places and how often each occurs, of one normalised text."""
     p = np.frombuffer(f" {text} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     total = np.zeros(DIM, dtype=np.int64)
@@ -111,25 +110,43 @@ def held_out(c: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many rows of each language are learned from: the same number of each, as far as it has them, ``rows`` in all."""
+    left, out = rows, {}
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(counts) - i))
+        left -= out[lang]
+    return out
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Learn from text and lang of rows that are not held out."""
+    """Learn from text and lang of rows that are not held out: of ``rows`` in all, as many of each language, so a rare one is learned too."""
     ship(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.select(F.xxhash64("doc_id", "text").alias("k"), "lang", normal(F.col("text")).alias("text")).filter("text != ''")
-    # the bound is set by hash first, so that few rows are ever counted
-    share = rows * 1.5 / max(1, known.count())
-    if share < 1:
-        known = known.filter(F.pmod("k", F.lit(1 << 40)) < int(share * (1 << 40)))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    quota = quotas(counts, rows)
+    # the bound is set by hash first, so that few texts are ever counted; what is over it goes by rank within the language
+    below = {lang: int((1 << 40) * min(1.0, (1.3 * q + 20) / counts[lang])) for lang, q in quota.items() if q}
+    if not below:
+        return None
+    most = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
+    drawn = known.filter(F.pmod("k", F.lit(1 << 40)) < most[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [counts(t) for t in b.column("text").to_pylist()]
+            made = [count_grams(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("lang"), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())),
                                               pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))], names=["k", "lang", "at", "n"])
 
-    least = known.mapInArrow(run, "k bigint, lang string, at array<int>, n array<float>").orderBy("k", "lang").limit(rows)
-    return fit([(np.array(r["at"]), np.array(r["n"]), r["lang"]) for r in least.collect()])
+    got = drawn.mapInArrow(run, "k bigint, lang string, at array<int>, n array<float>").collect()  # 1.3 * rows + 20 a language, about
+    taken: dict[str, int] = {}
+    sample = []
+    for r in sorted(got, key=lambda r: (r["k"], r["lang"], r["at"])):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= quota[r["lang"]]:
+            sample.append((np.array(r["at"]), np.array(r["n"]), r["lang"]))
+    return fit(sample)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -139,10 +156,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema]
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIM numbers
+
     def one(text: str) -> tuple[str, float]:
+        model = sent.value
         if not text or model is None:
             return "und", 0.0
-        at, n = counts(text)
+        at, n = count_grams(text)
         p = _softmax((model.weights[:, at] @ _features(at, n, model.idf) + model.bias) / model.temperature)
         return model.langs[int(p.argmax())], float(p.max())
 

@@ -8,13 +8,13 @@ Candidates are verified by cosine in double precision.
 
 Equal (label, vector) rows are one point with a multiplicity, so copies are never expanded.  Cells are
 dealt out as pairs of blocks of about ``BLOCK`` points, so a crowded cell is many bounded tasks; within a pair
-of blocks all cosines are one matrix product and only pairs at the threshold leave it.
+of blocks all cosines are one matrix product, and only a count of linked rows and one edge a point leave it.
 
 Recall against brute force at cosine 0.93 is measured in the tests (0.9 is required).
 
 Defined results: a null label, a vector that is null, empty, zero, or that holds null or
 non-finite components links with nothing and is its own component; vectors are compared with those of their label and length; a null id links but can't be
-a component id; ids that repeat are rows of their own with equal labels or not; an empty table gives no rows.
+a component id; ids that repeat are rows of their own with equal labels or not; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import durable, ship, table
-from meterlake.llm.components import components
+from meterlake.llm.common import durable, join_counted, ship, table
+from meterlake.llm.components import components, contracted
 
-THRESHOLD, TABLES, PROBES, SCALE, BLOCK = 0.93, 4, 2, 2.0, 2048
+THRESHOLD, TABLES, PROBES, SCALE, BLOCK = 0.93, 4, 2, 2.0, 512
 
 
 def _roots() -> np.ndarray:
@@ -87,73 +87,78 @@ def cells(unit: np.ndarray, made: list[tuple[np.ndarray, np.ndarray]], scale: fl
     return out
 
 
-def points(vectors: DataFrame) -> DataFrame:
-    """Distinct (label, vector): point, label, vec (unit vector inputs as given), n."""
-    v = vectors.filter("good").groupBy("label", "vec").agg(F.count("*").alias("n"))
-    return v.withColumn("point", F.xxhash64("label", "vec"))
+def _dense(vecs: pa.Array | pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """Unit vectors of ``rows``, all of one length, in double precision; scaled first, so that no square overflows or vanishes."""
+    flat = vecs.combine_chunks() if isinstance(vecs, pa.ChunkedArray) else vecs
+    x = flat.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_pairs(pts: DataFrame, threshold: float = THRESHOLD, n_tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
-    """(a, b) with a < b: pairs of points of one label and length that share a cell and reach the threshold; each once."""
+def points(rows: DataFrame) -> DataFrame:
+    """Distinct (label, vector) of the good ones of ``rows`` (vec_id, label, vec, v1, v2): point, label, dim, vec, n, least (id); two 64-bit hashes tell them apart."""
+    v = rows.filter("v1 IS NOT NULL").groupBy("v1", "v2").agg(
+        F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    return v.withColumn("point", F.monotonically_increasing_id()).withColumn("dim", F.size("vec"))
+
+
+def near_links(pts: DataFrame, threshold: float = THRESHOLD, n_tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
+    """Per point and pair of blocks with links: point, m (rows of the points that it is linked with there), root (the least point that its links lead to there).
+
+    Pairs of points of one label and length that share a cell and reach the threshold are links, each found in one cell only; none is written as a pair.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs, dims = b.column("vec").to_pylist(), b.column("dim").to_numpy()
-            c = np.empty((len(vecs), n_tables, 1 + probes), dtype=np.int64)
+            dims = b.column("dim").to_numpy()
+            c = np.empty((len(dims), n_tables, 1 + probes), dtype=np.int64)
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                x = np.array([vecs[i] for i in rows], dtype=np.float64)
-                x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-                c[rows] = cells(x, tables(int(d), n_tables), scale, probes)
+                c[rows] = cells(_dense(b.column("vec"), rows), tables(int(d), n_tables), scale, probes)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * (c.shape[1] * c.shape[2])), pa.array(c.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("point"), b.column("label"), b.column("dim"), flat, b.column("vec")], names=["point", "label", "dim", "cells", "vec"])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("point", "label", "dim", "n")), flat, b.column("vec")], names=["point", "label", "dim", "n", "cells", "vec"])
 
-    label = pts.schema["label"].dataType.simpleString()
-    h = durable(pts.select("point", "label", F.size("vec").alias("dim"), "vec").mapInArrow(hashed, f"point bigint, label {label}, dim int, cells array<bigint>, vec {pts.schema['vec'].dataType.simpleString()}"), "cells")
+    kind = lambda x: pts.schema[x].dataType.simpleString()
+    h = durable(pts.select("point", "label", "dim", "n", "vec").mapInArrow(hashed, f"point bigint, label {kind('label')}, dim int, n bigint, cells array<bigint>, vec {kind('vec')}"), "cells")
     placed = h.select("point", "label", "dim", F.posexplode("cells").alias("i", "cell")).select("point", "label", "dim", "cell", (F.col("i") % (1 + probes) == 0).alias("own"))
     crowd = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("m"), F.max("own").alias("lived")).filter("m > 1 AND lived")
     crowd = durable(crowd.select("label", "dim", "cell", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "crowd")
     mine = placed.join(crowd, ["label", "dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("point", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = mine.select("point", "cell", "label", "dim", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("point", "label", "dim", "cell", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    full = dealt.join(h.select("point", "cells", "vec"), "point")
+    full = dealt.join(h.select("point", "n", "cells", "vec"), "point")
     wide = 1 + probes
 
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         cell, i, j = key[2].as_py(), key[3].as_py(), key[4].as_py()
-        x = np.array(t.column("vec").to_pylist(), dtype=np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        c = np.array(t.column("cells").to_pylist(), dtype=np.int64)
-        p, side = t.column("point").to_numpy(), t.column("mine").to_numpy()
+        x = _dense(t.column("vec"), np.arange(t.num_rows))
+        c = t.column("cells").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        p, side, n = (t.column(k).to_numpy() for k in ("point", "mine", "n"))
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out_a, out_b = [], []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            a, b = np.nonzero(x[rows] @ x[right].T >= threshold - 1e-12)
-            a, b = rows[a], right[b]
-            ok = p[a] < p[b] if i == j else p[a] != p[b]
-            a, b = a[ok], b[ok]
-            # of the cells in which two points meet (one being at home), the least reports the pair
-            first = np.full(len(a), np.iinfo(np.int64).max)
-            for k, m in itertools.product(range(c.shape[1]), repeat=2):
-                if k // wide == m // wide and (k % wide == 0 or m % wide == 0):
-                    first = np.where(c[a, k] == c[b, m], np.minimum(first, c[a, k]), first)
-            ok = first == cell
-            a, b = a[ok], b[ok]
-            exact = (x[a] * x[b]).sum(axis=1) >= threshold
-            out_a.append(np.minimum(p[a], p[b])[exact])
-            out_b.append(np.maximum(p[a], p[b])[exact])
-        return pa.table({"a": pa.array(np.concatenate(out_a) if out_a else [], pa.int64()), "b": pa.array(np.concatenate(out_b) if out_b else [], pa.int64())})
-
-    return full.groupBy("label", "dim", "cell", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+        a, b = np.nonzero(x[left] @ x[right].T >= threshold - 1e-12)
+        a, b = left[a], right[b]
+        ok = p[a] < p[b] if i == j else p[a] != p[b]
+        a, b = a[ok], b[ok]
+        # of the cells in which two points meet (one being at home), the least reports the pair
+        first = np.full(len(a), np.iinfo(np.int64).max)
+        for k, m in itertools.product(range(c.shape[1]), repeat=2):
+            if k // wide == m // wide and (k % wide == 0 or m % wide == 0):
+                first = np.where(c[a, k] == c[b, m], np.minimum(first, c[a, k]), first)
+        ok = first == cell
+        a, b = a[ok], b[ok]
+        ok = (x[a] * x[b]).sum(axis=1) >= threshold
+        a, b = a[ok], b[ok]
+        m = np.bincount(a, weights=n[b], minlength=len(p)) + np.bincount(b, weights=n[a], minlength=len(p))
+        at = np.flatnonzero(m)
+        node, root = contracted(p[a], p[b])
+        return pa.table({"point": pa.array(p[at], pa.int64()), "m": pa.array(m[at].astype(np.int64)), "root": pa.array(root[np.searchsorted(node, p[at])], pa.int64())})
+
+    return full.groupBy("label", "dim", "cell", "i", "j").applyInArrow(compare, "point bigint, m bigint, root bigint")
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    ship(vectors.sparkSession)
     kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
     vec = F.col(vec_col).cast(f"array<{kind}>")
     fine = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
@@ -161,21 +166,17 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_i
     # -0.0 and 0.0 are one value
     rows = rows.withColumn("good", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
     rows = rows.withColumn("vec", F.when(F.col("good"), F.transform("vec", lambda x: (x + F.lit(0.0)).cast(kind))))
+    rows = rows.withColumns({"v1": F.when(F.col("good"), F.xxhash64("label", "vec")), "v2": F.when(F.col("good"), F.xxhash64(F.lit(7), "label", "vec"))})
     pts = durable(points(rows), "points")
-    members = rows.select("vec_id", F.when(F.col("good"), F.xxhash64("label", "vec")).alias("point"))
-    pairs = durable(near_pairs(pts, threshold), "pairs")
-    n = pts.select("point", "n")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(n.withColumnRenamed("point", "b"), "b").groupBy("a").agg(F.sum("n").alias("m")).withColumnRenamed("a", "point")
-    comp = components(pairs).withColumnRenamed("node", "point")
-    least = members.filter("point IS NOT NULL").groupBy("point").agg(F.min("vec_id").alias("least"))
-    placed = n.join(counted, "point", "left").join(comp, "point", "left").join(least, "point")
-    placed = placed.withColumn("component", F.coalesce("component", "point"))
+    found = durable(near_links(pts, threshold), "links")
+    comp = components(found.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "point")
+    m = found.groupBy("point").agg(F.sum("m").alias("m"))
+    placed = pts.select("point", "v1", "v2", "n", "least").join(m, "point", "left").join(comp, "point", "left").withColumn("component", F.coalesce("component", "point"))
     roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = durable(placed.join(roots, "component").select("point", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"), "component_id"), "placed")
-    out = members.join(placed, "point", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-                                                      F.when(F.col("point").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    placed = durable(placed.join(roots, "component").select("v1", "v2", "n", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"), "component_id"), "placed")
+    bad = rows.filter("v1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    good = join_counted(rows.filter("v1 IS NOT NULL").select("vec_id", "v1", "v2"), placed, ["v1", "v2"], "n").select("vec_id", F.col("links").alias("n_links"), "component_id")
+    return good.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,12 @@ every block is taken once and the rest a second time; no block is taken more tha
 
 Highest quotients are found without listing them: rounding target / divisor to the nearest whole
 number gives the same award for the right divisor, found by bisection; the last few seats go by
-quotient.  The driver holds one row per source and at most ``MAX_SHARDS`` + sources rows of shards,
+quotient.  The driver holds one row per source (as the apportionment is among all of them) and at most ``MAX_SHARDS`` + sources rows of shards,
 whatever the input's size; documents never leave the executors.
 
 Defined results: null text has size 0 and takes 0 words; null source is a source of its own, last in order;
 repeated rows are rows of their own; ties in the seeded order are put in order by doc_id and size;
-an empty table gives no rows.
+an empty table gives no rows; other columns are ignored, and those to keep come in one struct, so none can clash with what is made here.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from meterlake.llm.common import WORD, durable, table, text_of
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Words in a shard at least, shards at most, words in a block at most.
 SHARD_WORDS, MAX_SHARDS, BLOCK_WORDS = 16_384, 65_536, 16
+#: Rows (of some 50 bytes) that are sent to all executors at most.
+MAX_BROADCAST = 200_000
 
 
 def capped_targets(sizes: Sequence[float], weights: Sequence[float], total: float, cap: float) -> list[float]:
@@ -83,6 +85,11 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int]) -> lis
     return got
 
 
+def small(df: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` rows to be joined with: sent to all executors while it is small, else joined by its key (a source's documents are many shards, so none is hot then)."""
+    return F.broadcast(df) if n <= MAX_BROADCAST else df
+
+
 def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -95,13 +102,14 @@ def mix(
 
     ``first`` and ``second`` are the arrays of (from, to) word offsets inside the document that the
     base round and the extra round take; together they hold ``taken`` words.  Columns named in ``keep``
-    are carried along.  ``docs`` needs doc_id, source, text; other columns are ignored.
+    are carried along in the struct ``kept``.  ``docs`` needs doc_id, source, text; other columns are ignored.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), text_of())
+    more = [F.struct(*keep).alias("kept")] if keep else []
     sized = durable(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("__order"),
-                    *[F.col(c).alias(f"__{c}") for c in keep]), "sized")
+                    *more), "sized")
 
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -112,8 +120,7 @@ def mix(
     schema = T.StructType.fromDDL("source string, source_size bigint, target double, __shards int")
     per_source = spark.createDataFrame(
         [(r["source"], s, t, n) for r, s, t, n in zip(rows, sizes, targets, shards)], schema)
-    # one row per source, of which the driver has just held all
-    by_source = F.broadcast(per_source.withColumnRenamed("source", "__source"))
+    by_source = small(per_source.withColumnRenamed("source", "__source"), len(rows))
     dealt = sized.join(by_source, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn(
         "__shard", F.pmod(F.xxhash64(F.lit(seed + 1), "__order", "doc_id"), F.col("__shards")).cast("int"))
 
@@ -133,7 +140,7 @@ def mix(
     schema = T.StructType.fromDDL("source string, shard int, __blocks bigint, __quota bigint")
     per_shard = spark.createDataFrame(
         [(r["source"], r["__shard"], b, q) for r, b, q in zip(parts, blocks, quotas)], schema)
-    by_shard = F.broadcast(per_shard.withColumnRenamed("source", "__source"))  # MAX_SHARDS + sources rows at most
+    by_shard = small(per_shard.withColumnRenamed("source", "__source"), len(parts))
 
     w = Window.partitionBy("source", "__shard").orderBy("__order", "doc_id", "size")
     at = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -154,7 +161,7 @@ def mix(
     some = F.filter(F.array(inside(start * size_b, F.least(start + rest, n) * size_b),
                             inside(F.lit(0), F.greatest(start + rest - n, F.lit(0)) * size_b)), lambda x: x.isNotNull())
     placed = placed.select(
-        "doc_id", "source", "size", "source_size", "target", *[F.col(f"__{c}").alias(c) for c in keep],
+        "doc_id", "source", "size", "source_size", "target", *(["kept"] if keep else []),
         full.cast("long").alias("rounds"), whole.alias("whole"), F.array_sort(some).alias("extra"))
     extra = F.aggregate("extra", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
     return placed.withColumn("taken", F.col("rounds") * F.col("size") + extra)

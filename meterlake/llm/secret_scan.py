@@ -1,9 +1,10 @@
 r"""Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Base kinds are found by pattern, leftmost and non-overlapping per kind.  The method adds spans of kind
-``owned``: long tokens that look live (upper case, lower case and a digit), lie outside every base span,
-and whose value occurs with at most ``max_owners`` distinct owners in the whole corpus.  A value that
-more owners hold is a widely copied example and is not added.
+``owned``: tokens outside every base span whose value is owner-specific in the whole corpus, and that either look live (20 characters
+with upper case, lower case and digits, or 32 hexadecimal ones in upper case) or say, bare, what is the value of a base span somewhere.
+Owner-specific is a value with at most ``max_owners`` distinct owners and ``max_repos`` repositories; what more hold is a widely
+copied example and is not added.  Every span, base ones too, has its verdict and both counts.
 
 Candidate values are hashed; per hash the distinct repositories and owners are counted over all
 documents (partial aggregation first, so a value in a third of all rows is one row per task).  Verdicts
@@ -15,7 +16,8 @@ The repository is ``repo_col``; its owner is what stands before the first ``/``.
 
 Defined results: null or empty text has no spans; a null repository counts as one repository and owner of
 its own; repeated rows are scanned and returned each; spans with equal starts stand in the order
-assign, access, hex, owned; an empty table gives no rows.  Positions are code points, ends exclusive.
+assign, access, hex, owned; an empty table gives no rows; other columns are ignored, and ``redact`` keeps them whatever their names.
+Positions are code points, ends exclusive; they are summed in pieces of ``CHUNK`` matches, so a text of very many stays linear.
 """
 
 from __future__ import annotations
@@ -32,69 +34,85 @@ ASSIGN = (
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # all failing matches are shorter; none hides a longer one
 HEX = r"[0-9a-f]{24,}"
-OWNED = r"[A-Za-z0-9_-]{20,}"
+#: Tokens that may be secrets, and what makes one look live.
+OWNED = r"[A-Za-z0-9_-]{8,}"
+LIVE = (r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9]).{20,}$", r"^(?=.*[A-F])(?=.*[0-9])[0-9A-F]{32,}$")
 KINDS = ("assign", "access", "hex", "owned")
 MIN_VALUE = 6
-MAX_OWNERS = 2
-HEAVY_PARTS = 2000
+MAX_OWNERS, MAX_REPOS = 2, 8
+HEAVY_PARTS, CHUNK = 2000, 256
 
-_SPAN = "array<struct<start:int,rank:int,end:int,hash:string>>"
+_SPAN = "array<struct<start:int,rank:int,end:int,hash:string,live:boolean>>"
 
 
-def spans(text: Column, rank: int, pattern: str, value_group: int = 0, least: int = 0) -> Column:
-    """All matches with their places: pieces between matches and matches, laid end to end."""
+def matches(text: Column, pattern: str, value_group: int = 0, least: int = 0, live: bool = False) -> Column:
+    """All matches in order: length of the text before each, its own length, hash of its value, whether it counts, whether it looks live."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        value = F.regexp_extract(pair["match"], pattern, value_group) if value_group else pair["match"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.sha2(value, 256).alias("hash"))
-        kept = F.when(F.length(value) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
+    def of(gap: Column, match: Column) -> Column:
+        value = F.regexp_extract(match, pattern, value_group) if value_group else match
+        fine = match.rlike("[0-9]") & match.rlike("[A-Za-z]") if live else F.length(value) >= least
+        looks = match.rlike(LIVE[0]) | match.rlike(LIVE[1]) if live else F.lit(True)
+        return F.struct(F.length(gap).alias("gap"), F.length(match).alias("own"), F.when(fine, F.sha2(value, 256)).alias("hash"), fine.alias("fine"), looks.alias("live"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    return F.zip_with(F.slice(gaps, 1, F.size(found)), found, of)
 
 
-def scan(docs: DataFrame, repo_col: str = "source", max_owners: int = MAX_OWNERS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id, text_hash, base and spans (arrays of start, rank, end, hash), n_owned, n_copied.
+def spans(m: str, rank: int) -> Column:
+    """The places of ``matches`` in column ``m``, of those that count."""
+    starts = F.sequence(F.lit(0), F.size(m) - 1, F.lit(CHUNK))
+    part = lambda c: F.slice(m, c + 1, F.lit(CHUNK))
+    length = lambda c: F.aggregate(part(c), F.lit(0), lambda a, x: a + x["gap"] + x["own"])
+    before = F.aggregate(starts, F.array(F.lit(0)), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + length(c))))
 
-    ``n_owned`` and ``n_copied`` count spans whose value few or many owners hold.
+    def placed(c: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["own"]).alias("end"), x["hash"].alias("hash"), x["live"].alias("live"))
+            return F.struct((begin + x["own"]).alias("at"), F.when(x["fine"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(part(c), F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    return F.when(F.size(m) > 0, F.flatten(F.zip_with(starts, F.slice(before, 1, F.size(starts)), placed))).otherwise(F.array().cast(_SPAN))
+
+
+def scan(docs: DataFrame, repo_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: id, text_hash, base and spans (arrays of start, rank, end), verdicts (of spans: owned, n_owners, n_repos), n_owned, n_copied.
+
+    ``n_owned`` and ``n_copied`` count base spans and candidates whose value few or many hold.
     """
-    t = text_of(text_col)
-    looks_live = lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
-    per_kind = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(repo_col), F.lit("")).alias("repo"), t.alias("text"))
-    per_kind = per_kind.select(
-        "doc_id", "repo", F.xxhash64("text").alias("text_hash"),
-        F.array_sort(F.concat(spans(F.col("text"), 0, ASSIGN, 2, MIN_VALUE), spans(F.col("text"), 1, ACCESS), spans(F.col("text"), 2, HEX))).alias("base"),
-        F.when(F.exists(F.regexp_extract_all("text", F.lit(OWNED), F.lit(0)), looks_live),
-               F.filter(spans(F.col("text"), 3, OWNED), lambda s: looks_live(F.substr("text", s["start"] + 1, s["end"] - s["start"])))
-               ).otherwise(F.array().cast(_SPAN)).alias("more"))
+    t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(repo_col), F.lit("")).alias("repo"), text_of(text_col).alias("text"))
+    found = t.select("doc_id", "repo", F.xxhash64("text").alias("text_hash"), matches(F.col("text"), ASSIGN, 2, MIN_VALUE).alias("m0"), matches(F.col("text"), ACCESS).alias("m1"),
+                     matches(F.col("text"), HEX).alias("m2"), matches(F.col("text"), OWNED, live=True).alias("m3"))
+    per_kind = found.select("doc_id", "repo", "text_hash", F.array_sort(F.concat(*[spans(f"m{i}", i) for i in range(3)])).alias("base"),
+                            F.when(F.exists("m3", lambda x: x["fine"]), spans("m3", 3)).otherwise(F.array().cast(_SPAN)).alias("more"))
     clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     scanned = durable(per_kind.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", "repo", "text_hash", "base", clear.alias("more")), "scanned")
 
     cand = scanned.select("rid", "repo", F.explode(F.concat("base", "more")).alias("s")).select("rid", "repo", "s", F.col("s.hash").alias("hash"))
     owner = F.substring_index("repo", "/", 1)
-    held = cand.groupBy("hash", "repo").agg(F.count("*").alias("n")).groupBy("hash").agg(
-        F.sum("n").alias("n"), F.count("*").alias("n_repos"), F.count_distinct(owner).alias("n_owners"))
+    held = cand.groupBy("hash", "repo").agg(F.count("*").alias("n"), F.max(F.col("s.rank") < 3).alias("known")).groupBy("hash").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_repos"), F.count_distinct(owner).alias("n_owners"), F.max("known").alias("known"))
     held = durable(held, "held")
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy = F.col("n") >= max(1, -(-total // HEAVY_PARTS))
-    known = F.broadcast(held.filter(heavy).select("hash", "n_owners"))  # HEAVY_PARTS rows at most
-    common = cand.join(known, "hash")
-    rare = cand.join(known, "hash", "left_anti").join(held.filter(~heavy).select("hash", "n_owners"), "hash")
-    judged = common.unionByName(rare).withColumn("owned", F.col("n_owners") <= max_owners)
+    counts = ("hash", "n_owners", "n_repos", "known")
+    common_values = F.broadcast(held.filter(heavy).select(*counts))  # HEAVY_PARTS rows at most
+    common = cand.join(common_values, "hash")
+    rare = cand.join(common_values, "hash", "left_anti").join(held.filter(~heavy).select(*counts), "hash")
+    judged = common.unionByName(rare).filter(F.col("known") | F.col("s.live")).withColumn("owned", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    shown = F.struct("s.start", "s.rank", "s.end", "owned", "n_owners", "n_repos")
     verdict = judged.groupBy("rid").agg(
-        F.collect_list(F.when(F.col("owned") & (F.col("s.rank") == 3), F.col("s"))).alias("added"),
+        F.array_sort(F.collect_list(F.when((F.col("s.rank") < 3) | F.col("owned"), shown))).alias("told"),
         F.sum(F.col("owned").cast("long")).alias("n_owned"), F.sum((~F.col("owned")).cast("long")).alias("n_copied"))
-    return scanned.join(verdict, "rid", "left").select(
-        "doc_id", "text_hash", "base",
-        F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN)))).alias("spans"),
+    place = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,owned:boolean,n_owners:bigint,n_repos:bigint>>")
+    out = scanned.join(verdict, "rid", "left").withColumn("told", F.coalesce("told", none))
+    return out.select(
+        "doc_id", "text_hash", F.transform("base", place).alias("base"), F.transform("told", place).alias("spans"),
+        F.transform("told", lambda s: F.struct(s["owned"].alias("owned"), s["n_owners"].alias("n_owners"), s["n_repos"].alias("n_repos"))).alias("verdicts"),
         F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 
@@ -107,27 +125,39 @@ def listed(spans_col: str) -> Column:
 def redact(docs: DataFrame, repo_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """Every span, overlapping ones joined, replaced by ``mark``; all rows and columns stay, in the same schema."""
     found = scan(docs, repo_col).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    starts = F.sequence(F.lit(0), F.size("spans") - 1, F.lit(CHUNK))
+
+    def step(acc: Column, c: Column) -> Column:
+        """The text from the last span's end to the last end of the next ``CHUNK`` spans, as one piece (bound once, by an array of one)."""
+        part = F.slice("spans", c + 1, F.lit(CHUNK))
+        upto = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["end"])))
+
+        def marked(piece: Column) -> Column:
+            def one(b: Column, s: Column) -> Column:
+                gap = F.substr(piece, b["at"] - acc["at"] + 1, s["start"] - b["at"])
+                return F.struct(F.greatest(b["at"], s["end"]).alias("at"), F.when(s["start"] >= b["at"], F.concat(b["out"], gap, F.lit(mark))).otherwise(b["out"]).alias("out"))
+
+            return F.aggregate(part, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), one, lambda b: b["out"])
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr("text", acc["at"] + 1, s["start"] - acc["at"])
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+        made = F.transform(F.array(F.substr("text", acc["at"] + 1, upto - acc["at"])), marked)
+        return F.struct(upto.alias("at"), F.concat(acc["out"], made).alias("out"))
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
-    f = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    d = docs.withColumn("__text_hash", F.xxhash64(text_of()))
-    joined = d.join(f, (d["__text_hash"] == f["__hash"]) & d["doc_id"].eqNullSafe(f["__id"]), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean).alias("text")
-    return joined.select(*[text if c == "text" else d[c] for c in docs.columns])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate(starts, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["at"] + 1)))
+    # the document travels as one struct, so that no column of it can clash
+    d = docs.select(F.struct(*docs.columns).alias("kept"), F.col("doc_id").alias("id"), "text", F.xxhash64(text_of()).alias("hash"))
+    joined = d.join(found, (d["hash"] == found["text_hash"]) & d["id"].eqNullSafe(found["doc_id"]), "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
+    return joined.select(*[(text if c == "text" else F.col("kept")[c]).alias(c) for c in docs.columns])
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scan(table(spark, sf_dir, "documents"))
     count = lambda r: F.size(F.filter("base", lambda x: x["rank"] == r)).cast("long")
+    told = F.array_join(F.transform("verdicts", lambda v: F.concat(F.when(v["owned"], "owned").otherwise("copied"), F.lit(":"), v["n_owners"].cast("string"), F.lit(":"), v["n_repos"].cast("string"))), ",")
     return s.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), "n_owned", "n_copied")
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), told.alias("verdicts"), "n_owned", "n_copied")
 
 
 def _matches_sql(rank: int, pattern: str, value: str = "v") -> str:
@@ -141,18 +171,19 @@ def _matches_sql(rank: int, pattern: str, value: str = "v") -> str:
 
 OP1_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS repo, coalesce(text, '') AS t FROM documents),
-b AS (SELECT * FROM ({_matches_sql(0, ASSIGN, "regexp_extract(v, '" + ASSIGN.replace("'", "''") + "', 2)")}) q WHERE length(secret) >= {MIN_VALUE}
-  UNION ALL {_matches_sql(1, ACCESS)} UNION ALL {_matches_sql(2, HEX)}),
-o AS (SELECT * FROM ({_matches_sql(3, OWNED)}) q
-  WHERE regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
-    AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = q.rid AND b.st < q.en AND q.st < b.en)),
+b AS (SELECT *, true AS live FROM ({_matches_sql(0, ASSIGN, "regexp_extract(v, '" + ASSIGN.replace("'", "''") + "', 2)")}) q WHERE length(secret) >= {MIN_VALUE}
+  UNION ALL SELECT *, true FROM ({_matches_sql(1, ACCESS)}) q1 UNION ALL SELECT *, true FROM ({_matches_sql(2, HEX)}) q2),
+o AS (SELECT *, length(v) >= 20 AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
+      OR length(v) >= 32 AND regexp_full_match(v, '[0-9A-F]+') AND regexp_matches(v, '[A-F]') AND regexp_matches(v, '[0-9]') AS live FROM ({_matches_sql(3, OWNED)}) q
+  WHERE regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = q.rid AND b.st < q.en AND q.st < b.en)),
 s AS (SELECT * FROM b UNION ALL SELECT * FROM o),
-h AS (SELECT secret, count(DISTINCT split_part(repo, '/', 1)) <= {MAX_OWNERS} AS owned FROM s JOIN d USING (rid) GROUP BY secret),
-j AS (SELECT s.*, h.owned, ['assign', 'access', 'hex', 'owned'][rk + 1] || ':' || st || ':' || en AS l FROM s JOIN h USING (secret)),
+h AS (SELECT secret, count(DISTINCT split_part(repo, '/', 1)) AS no, count(DISTINCT repo) AS nr, bool_or(rk < 3) AS known FROM s JOIN d USING (rid) GROUP BY secret),
+j AS (SELECT s.*, no <= {MAX_OWNERS} AND nr <= {MAX_REPOS} AS owned, no, nr, ['assign', 'access', 'hex', 'owned'][rk + 1] || ':' || st || ':' || en AS l FROM s JOIN h USING (secret) WHERE known OR live),
 g AS (SELECT rid, count(*) FILTER (WHERE rk = 0) AS n_assign, count(*) FILTER (WHERE rk = 1) AS n_access, count(*) FILTER (WHERE rk = 2) AS n_hex,
   string_agg(l, ',' ORDER BY st, rk) FILTER (WHERE rk < 3) AS base, string_agg(l, ',' ORDER BY st, rk) FILTER (WHERE rk < 3 OR owned) AS spans,
+  string_agg(CASE WHEN owned THEN 'owned' ELSE 'copied' END || ':' || no || ':' || nr, ',' ORDER BY st, rk) FILTER (WHERE rk < 3 OR owned) AS verdicts,
   count(*) FILTER (WHERE owned) AS n_owned, count(*) FILTER (WHERE NOT owned) AS n_copied FROM j GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN g USING (rid)
 """

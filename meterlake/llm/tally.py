@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import ship
 
 #: Bytes of text in a batch (they grow with the fourth root of the input, so that blocks stay worth their row), batches' worth of text in a bucket.
-BATCH_BYTES, GROWS_FROM, BATCHES_IN_BUCKET, LEAST = 1 << 22, 1 << 35, 4, 64
+BATCH_BYTES, GROWS_FROM, BATCHES_IN_BUCKET, LEAST = 1 << 21, 1 << 34, 8, 64
 
 Tokens = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 

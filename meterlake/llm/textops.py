@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed at once, and bytes of text that callers should put in a batch.
-PIECE, BATCH_BYTES = 1 << 20, 1 << 22
+PIECE, BATCH_BYTES = 1 << 20, 1 << 21
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -1 +1 @@
-"""Spark-first usage analytics: parse, price, derive and report over append-only logs."""
+"""meterlake: what coding agents cost and how they perform, and operators for training data, on Spark."""

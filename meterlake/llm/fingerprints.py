@@ -30,7 +30,7 @@ from meterlake.llm.common import ship, table, text_bytes, text_of
 
 BINS, BITS, TRIES, SHINGLE = 512, 4, 64, 5
 #: Bytes of text in a bucket of neighbouring documents, and how many buckets there may be.
-BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 1 << 21, 512, 20_000
+BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 1 << 21, 512, 200_000
 BATCH_ROWS = 256
 
 _EMPTY = np.uint64(2**64 - 1)

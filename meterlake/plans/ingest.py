@@ -78,21 +78,23 @@ class Roots:
         return [self.projects_dir, self.sessions_dir, self.history_path]
 
 
-def ingest(store: Store, got: DataFrame, marks: DataFrame, card: rates.RateCard, stats: RunStats, max_skipped: int = 1000) -> None:
-    """Lines of files (path, end_offset, raw, and FILE's columns) into the tables, with the files' new ``marks`` (path, agent, source_kind, inode,
-    size_bytes, mtime_ns, byte_offset, reset, last_error), in one transaction."""
+def ingest(store: Store, read: DataFrame, files: DataFrame, marks: DataFrame, card: rates.RateCard, stats: RunStats, max_skipped: int = 1000) -> None:
+    """Lines (path, end_offset, raw) of ``files`` (FILE's columns; lines up to ``start`` count no more) into the tables, with the files' new ``marks``
+    (path, agent, source_kind, inode, size_bytes, mtime_ns, byte_offset, reset, last_error), in one transaction."""
     spark, now = store.spark, now_iso()
+    got, start = read.join(files, "path"), files.select("path", "start")
     seq = store._manifest()[0] + 1
     # parsed once for all tables; a lost executor parses its part again
     kinds = {"claude": F.col("kind").startswith("claude"), "pi": F.col("kind").isin("pi_session", "pi_subagent_session"), "history": F.col("kind") == "pi_run_history"}
     cc, pi, rh = (f(got.filter(kinds[k])).persist(StorageLevel.MEMORY_AND_DISK) for k, f in
                   (("claude", transcripts.claude_lines), ("pi", transcripts.pi_lines), ("history", transcripts.history_lines)))
-    start = got.select("path", "start").distinct()
     fresh = lambda df: df.join(start, "path").filter("end_offset > start").drop("start")
+    held = [cc, pi, rh]
     try:
         messages = priced(fresh(transcripts.claude_messages(cc).unionByName(transcripts.pi_messages(pi))), card)
         # a key that a file of this run holds, and that is stored or stands in an earlier file, is not new
-        messages = messages.withColumn("order_kind", F.col("source_kind")).withColumn("ingested_at", F.lit(now))
+        messages = messages.withColumn("order_kind", F.col("source_kind")).withColumn("ingested_at", F.lit(now)).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(messages)
         new = merge.first_wins(store.raw("messages"), messages.drop("source_kind", "path"), ["order_kind", "source_file", "end_offset"])
         told = {"seq": F.lit(seq), "ingested_at": F.lit(now)}
         calls = fresh(transcripts.claude_tool_calls(cc).unionByName(transcripts.pi_tool_calls(pi))).withColumns(told)
@@ -102,6 +104,7 @@ def ingest(store: Store, got: DataFrame, marks: DataFrame, card: rates.RateCard,
             c = transcripts.counters(fresh(part.select("path", "end_offset", "skipped")))
             counts = c if counts is None else counts.unionByName(c)
         counts = counts.persist()
+        held.append(counts)
         with store.transaction() as w:
             stats.messages_upserted += w.append("messages", new)
             stats.tool_calls_upserted += w.append("tool_calls", calls)
@@ -118,7 +121,7 @@ def ingest(store: Store, got: DataFrame, marks: DataFrame, card: rates.RateCard,
             stats.finished_at = now_iso()
             w.append("ingest_runs", spark.createDataFrame([stats.row()], SCHEMAS["ingest_runs"]))
     finally:
-        for df in (cc, pi, rh):
+        for df in held:
             df.unpersist()
 
 
@@ -158,9 +161,8 @@ def collect(store: Store, roots: Roots, card: rates.RateCard, max_files: int = 0
         stats.bytes_read += end - start
         marks.append((f["path"], f["agent"], f["kind"], f["inode"], f["size_bytes"], f["mtime_ns"], end, f["decision"] not in ("appended", "new") and error is None, error))
     if marks:
-        got = lines.read_lines(spark, ranges).join(spark.createDataFrame(info, FILE), "path")
         schema = "path string, agent string, source_kind string, inode bigint, size_bytes bigint, mtime_ns bigint, byte_offset bigint, reset boolean, last_error string"
-        ingest(store, got, spark.createDataFrame(marks, schema), card, stats, max_skipped)
+        ingest(store, lines.read_lines(spark, ranges), spark.createDataFrame(info, FILE), spark.createDataFrame(marks, schema), card, stats, max_skipped)
     else:
         stats.finished_at = now_iso()
         with store.transaction() as w:

@@ -1,8 +1,8 @@
 """Complete lines of files that are still being written (S6, S7), as batches and as a stream.
 
 A Python data source, since neither the text reader nor the file stream knows where in a file it stopped: a
-line counts once its newline is there, so what stands after the last newline stays for the next run.  A partition is a byte range of one
-file (large files are cut; a range begins after its first newline), read in blocks and sent as Arrow batches, so no task holds a file.
+line counts once its newline is there, so what stands after the last newline stays for the next run.  A partition is a byte range of a
+large file (which begins after its first newline), or several small files; it is read in blocks and sent as Arrow batches, so no task holds a file.
 
 The stream's offset is a map from path to inode, size, time of change and the place after the last complete line.  It
 is also what tells an appended file (read on) from one that was rotated, truncated or rewritten (read anew).
@@ -13,20 +13,44 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, end_offset bigint, raw string"
-BLOCK, BATCH_BYTES, SPLIT_BYTES = 1 << 20, 1 << 22, 128 << 20
+BLOCK, BATCH_BYTES, SPLIT_BYTES, PACK_BYTES = 1 << 20, 1 << 22, 128 << 20, 16 << 20
 
 
-class Range(InputPartition):
+class Range(NamedTuple):
     """Lines of ``path`` that begin in [start, stop) and end before ``limit``; ``first``: start is the beginning of a line."""
 
-    def __init__(self, path: str, start: int, stop: int, limit: int, first: bool) -> None:
-        self.path, self.start, self.stop, self.limit, self.first = path, start, stop, limit, first
+    path: str
+    start: int
+    stop: int
+    limit: int
+    first: bool
+
+
+class Pack(InputPartition):
+    """Ranges that one task reads."""
+
+    def __init__(self, ranges: list[Range]) -> None:
+        self.ranges = ranges
+
+
+def packed(ranges: list[Range], most: int = PACK_BYTES) -> list[InputPartition]:
+    """Small ranges together, in order, so that thousands of small files aren't as many tasks."""
+    out: list[list[Range]] = [[]]
+    held = 0
+    for r in ranges:
+        if out[-1] and held + r.stop - r.start > most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += r.stop - r.start
+    return [Pack(p) for p in out]
 
 
 def last_newline(path: str, start: int, size: int) -> int:
@@ -65,21 +89,24 @@ def complete_lines(path: str, start: int, stop: int, limit: int, first: bool = T
                 yield text, at
 
 
-def _batches(part: Range) -> Iterator[pa.RecordBatch]:
+def _batches(pack: Pack) -> Iterator[pa.RecordBatch]:
+    paths: list[str] = []
     ends: list[int] = []
     texts: list[str] = []
     held = 0
 
     def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part.path] * len(ends)), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=["path", "end_offset", "raw"])
-
-    for line, end in complete_lines(part.path, part.start, part.stop, part.limit, part.first):
-        ends.append(end)
-        texts.append(line.decode("utf-8", "replace"))
-        held += len(line)
-        if held >= BATCH_BYTES:
-            yield made()
-            ends, texts, held = [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=["path", "end_offset", "raw"])
+
+    for part in pack.ranges:
+        for line, end in complete_lines(*part):
+            paths.append(part.path)
+            ends.append(end)
+            texts.append(line.decode("utf-8", "replace"))
+            held += len(line)
+            if held >= BATCH_BYTES:
+                yield made()
+                paths, ends, texts, held = [], [], [], 0
     if ends:
         yield made()
 
@@ -89,10 +116,10 @@ class LineReader(DataSourceReader):
         self.files = files
 
     def partitions(self) -> list[InputPartition]:
-        return [r for path, start, limit in self.files for r in ranges(path, start, limit)] or [Range("", 0, 0, 0, True)]
+        return packed([r for path, start, limit in self.files for r in ranges(path, start, limit)])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return _batches(partition) if partition.limit > partition.start else iter(())
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
+        return _batches(partition)
 
 
 def stat_of(path: str) -> dict[str, int]:
@@ -147,15 +174,15 @@ class LineStream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         a, b = json.loads(start["files"]), json.loads(end["files"])
         self.known = b if not self.known else self.known
-        out: list[InputPartition] = []
+        out: list[Range] = []
         for path, mark in b.items():
             old = a.get(path)
             begin = old["offset"] if old and old["generation"] == mark["generation"] else 0
             if mark["offset"] > begin:
                 out += ranges(path, begin, mark["offset"])
-        return out
+        return packed(out)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
         return _batches(partition)
 
     def commit(self, end: dict) -> None:

@@ -49,7 +49,7 @@ def take_batch(store: Store, roots: ingest.Roots, card: rates.RateCard, batch: D
     files = spark.createDataFrame(info, ingest.FILE)
     got = batch.unionByName(lines.read_lines(spark, whole)) if whole else batch  # what was said before gives the session and the model
     schema = "path string, agent string, source_kind string, inode bigint, size_bytes bigint, mtime_ns bigint, byte_offset bigint, reset boolean, last_error string"
-    ingest.ingest(store, got.join(files, "path"), spark.createDataFrame(marks, schema), card, stats)
+    ingest.ingest(store, got, files, spark.createDataFrame(marks, schema), card, stats)
     ingest.rebuild(store, int(time.time() * 1000) - derive.RECENT_MS if number else None)
 
 

@@ -3,12 +3,12 @@ elastic-net penalties, then calibrated by a temperature.
 
 Texts are put in lower case and every run of non-letters becomes one space; n-grams of 1 to 3 characters of
 the whole text are counted in ``DIM`` hashed places.  The fit sees a bounded sample of labelled rows (``TRAIN_ROWS``
-at most, least hash of id and text first), of which only the hashed counts (``DIM`` places at most a row)
-reach the driver; a fifth of the sample fits the temperature alone.  The model is ``DIM`` weights a language and
+at most, as many of each language as far as it has them, least hash of id and text first), of which only the hashed counts (``DIM`` places at most a row)
+reach the driver; document frequencies are those of the sample; a fifth of it fits the temperature alone.  The model is ``DIM`` weights a language and
 is sent to the executors; prediction is one pass without a shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any row to learn from
-all are ``und``; a null label or id is not learned from; repeated rows count as they are; an empty table gives no
+all are ``und``; a null label or id is not learned from; repeated rows count as they are; of equal scores the first language by code points wins; an empty table gives no
 rows; all other columns are carried along.
 """
 

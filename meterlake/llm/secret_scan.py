@@ -34,8 +34,9 @@ ASSIGN = (
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # all failing matches are shorter; none hides a longer one
 HEX = r"[0-9a-f]{24,}"
-#: Tokens that may be secrets, and what makes one look live.
+#: Tokens that may be secrets (whole tokens with a digit and a letter, so that plain words are passed over by the pattern), and what makes one look live.
 OWNED = r"[A-Za-z0-9_-]{8,}"
+MIXED = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])" + OWNED
 LIVE = (r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9]).{20,}$", r"^(?=.*[A-F])(?=.*[0-9])[0-9A-F]{32,}$")
 KINDS = ("assign", "access", "hex", "owned")
 MIN_VALUE = 6
@@ -52,7 +53,7 @@ def matches(text: Column, pattern: str, value_group: int = 0, least: int = 0, li
 
     def of(gap: Column, match: Column) -> Column:
         value = F.regexp_extract(match, pattern, value_group) if value_group else match
-        fine = match.rlike("[0-9]") & match.rlike("[A-Za-z]") if live else F.length(value) >= least
+        fine = F.length(value) >= least
         looks = match.rlike(LIVE[0]) | match.rlike(LIVE[1]) if live else F.lit(True)
         return F.struct(F.length(gap).alias("gap"), F.length(match).alias("own"), F.when(fine, F.sha2(value, 256)).alias("hash"), fine.alias("fine"), looks.alias("live"))
 
@@ -84,7 +85,7 @@ def scan(docs: DataFrame, repo_col: str = "source", max_owners: int = MAX_OWNERS
     """
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(repo_col), F.lit("")).alias("repo"), text_of(text_col).alias("text"))
     found = t.select("doc_id", "repo", F.xxhash64("text").alias("text_hash"), matches(F.col("text"), ASSIGN, 2, MIN_VALUE).alias("m0"), matches(F.col("text"), ACCESS).alias("m1"),
-                     matches(F.col("text"), HEX).alias("m2"), matches(F.col("text"), OWNED, live=True).alias("m3"))
+                     matches(F.col("text"), HEX).alias("m2"), matches(F.col("text"), MIXED, live=True).alias("m3"))
     per_kind = found.select("doc_id", "repo", "text_hash", F.array_sort(F.concat(*[spans(f"m{i}", i) for i in range(3)])).alias("base"),
                             F.when(F.exists("m3", lambda x: x["fine"]), spans("m3", 3)).otherwise(F.array().cast(_SPAN)).alias("more"))
     clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))

@@ -296,3 +296,22 @@ def test_lattice_components_against_brute_force(spark):
 
 def test_language_quotas():
     assert langid.quotas({"a": 5, "b": 10_000, "c": 10_000}, 2000) == {"a": 5, "b": 997, "c": 998} and langid.quotas({}, 10) == {}
+
+
+@pytest.mark.parametrize("name", ["op1_secret_scans", "op2_chat_formatting"])
+def test_queries_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from meterlake.llm.queries import ORACLES, QUERIES
+
+    data = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{data}/{f}'")
+    want = con.execute(ORACLES[name])
+    cols = sorted(c[0] for c in want.description)
+    got = QUERIES[name](spark, data)
+    assert sorted(got.columns) == cols
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(dict(zip([c[0] for c in want.description], r))[c] for c in cols)) for r in want.fetchall())

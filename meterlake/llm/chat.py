@@ -7,7 +7,7 @@ A log row is one event of a conversation.  ``op`` is one of
 * ``edit``        replaces what the message says by ``text``
 * ``regenerate``  drops what was said so far; ``text`` (may be empty) begins the new attempt
 
-``seq`` orders the messages of a conversation and, with ``part``, the events of a message.  Events of one message are folded first (by conversation and message), so a stream of many small
+``seq`` orders the messages of a conversation and, with ``part`` (a column that may be missing), the events of a message.  Events of one message are folded first (by conversation and message), so a stream of many small
 deltas is condensed before messages meet; then messages are put in order of their first event.
 All of it is DataFrame functions over ONE exchange by conversation.
 
@@ -28,7 +28,7 @@ from meterlake.llm.common import table
 #: Fixed values of the template.
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|br|>"
 RESETS = ("message", "edit", "regenerate")
-EVENTS = "conv_id bigint, seq bigint, part int, op string, message_id string, role string, text string"
+EVENTS = "conv_id bigint, seq bigint, op string, message_id string, role string, text string"
 
 
 def escape(c: Column) -> Column:
@@ -51,6 +51,7 @@ def unescape_role(c: Column) -> Column:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """Events to final messages: conv_id, seq (of the first event), message_id, role, text."""
+    events = events if "part" in events.columns else events.withColumn("part", F.lit(None).cast("int"))
     e = events.select(
         "conv_id", "seq", "part", "message_id", "role",
         F.when(F.col("op").isin(*RESETS), F.col("op")).otherwise("delta").alias("op"),

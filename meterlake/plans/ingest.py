@@ -78,16 +78,19 @@ class Roots:
         return [self.projects_dir, self.sessions_dir, self.history_path]
 
 
-def ingest(store: Store, read: DataFrame, files: DataFrame, marks: DataFrame, card: rates.RateCard, stats: RunStats, max_skipped: int = 1000) -> None:
-    """Lines (path, end_offset, raw) of ``files`` (FILE's columns; lines up to ``start`` count no more) into the tables, with the files' new ``marks``
+#: Which parser reads which kinds of files.
+DIALECTS = {"claude": ("claude_session", "claude_subagent"), "pi": ("pi_session", "pi_subagent_session"), "history": ("pi_run_history",)}
+
+
+def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, marks: DataFrame, card: rates.RateCard, stats: RunStats, max_skipped: int = 1000) -> None:
+    """Lines (path, end_offset, raw) of each dialect's ``files`` (FILE's columns; lines up to ``start`` count no more) into the tables, with the files' new ``marks``
     (path, agent, source_kind, inode, size_bytes, mtime_ns, byte_offset, reset, last_error), in one transaction."""
     spark, now = store.spark, now_iso()
-    got, start = read.join(files, "path"), files.select("path", "start")
+    start = files.select("path", "start")
     seq = store._manifest()[0] + 1
     # parsed once for all tables; a lost executor parses its part again
-    kinds = {"claude": F.col("kind").startswith("claude"), "pi": F.col("kind").isin("pi_session", "pi_subagent_session"), "history": F.col("kind") == "pi_run_history"}
-    cc, pi, rh = (f(got.filter(kinds[k])).persist(StorageLevel.MEMORY_AND_DISK) for k, f in
-                  (("claude", transcripts.claude_lines), ("pi", transcripts.pi_lines), ("history", transcripts.history_lines)))
+    parse = {"claude": transcripts.claude_lines, "pi": transcripts.pi_lines, "history": transcripts.history_lines}
+    cc, pi, rh = (f(read[k].join(files.filter(F.col("kind").isin(*DIALECTS[k])), "path")).persist(StorageLevel.MEMORY_AND_DISK) for k, f in parse.items())
     fresh = lambda df: df.join(start, "path").filter("end_offset > start").drop("start")
     held = [cc, pi, rh]
     try:
@@ -162,7 +165,9 @@ def collect(store: Store, roots: Roots, card: rates.RateCard, max_files: int = 0
         marks.append((f["path"], f["agent"], f["kind"], f["inode"], f["size_bytes"], f["mtime_ns"], end, f["decision"] not in ("appended", "new") and error is None, error))
     if marks:
         schema = "path string, agent string, source_kind string, inode bigint, size_bytes bigint, mtime_ns bigint, byte_offset bigint, reset boolean, last_error string"
-        ingest(store, lines.read_lines(spark, ranges), spark.createDataFrame(info, FILE), spark.createDataFrame(marks, schema), card, stats, max_skipped)
+        kind = {i[0]: i[2] for i in info}
+        read = {k: lines.read_lines(spark, [r for r in ranges if kind[r[0]] in kinds]) for k, kinds in DIALECTS.items()}
+        ingest(store, read, spark.createDataFrame(info, FILE), spark.createDataFrame(marks, schema), card, stats, max_skipped)
     else:
         stats.finished_at = now_iso()
         with store.transaction() as w:

@@ -49,7 +49,12 @@ def take_batch(store: Store, roots: ingest.Roots, card: rates.RateCard, batch: D
     files = spark.createDataFrame(info, ingest.FILE)
     got = batch.unionByName(lines.read_lines(spark, whole)) if whole else batch  # what was said before gives the session and the model
     schema = "path string, agent string, source_kind string, inode bigint, size_bytes bigint, mtime_ns bigint, byte_offset bigint, reset boolean, last_error string"
-    ingest.ingest(store, got, files, spark.createDataFrame(marks, schema), card, stats)
+    kept = got.persist()  # each dialect takes its lines of it
+    try:
+        of_kind = lambda kinds: kept.join(files.filter(F.col("kind").isin(*kinds)).select("path"), "path", "left_semi")
+        ingest.ingest(store, {k: of_kind(kinds) for k, kinds in ingest.DIALECTS.items()}, files, spark.createDataFrame(marks, schema), card, stats)
+    finally:
+        kept.unpersist()
     ingest.rebuild(store, int(time.time() * 1000) - derive.RECENT_MS if number else None)
 
 

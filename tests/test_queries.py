@@ -7,7 +7,7 @@ import pytest
 
 from meterlake.plans.queries import ORACLES, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def rows(cols, values):

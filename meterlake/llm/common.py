@@ -73,8 +73,8 @@ def arrow_batches(spark: SparkSession, rows: int, size: str = "16m") -> Iterator
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def durable(df: DataFrame, name: str, batch_rows: int = 2048) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def durable(df: DataFrame, name: str, batch_rows: int = 2048, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (a subfolder for each value of ``by``) and read it back.
 
     Cuts the lineage like ``checkpoint()``, but columnar and compressed; a lost executor
     costs no recomputation of what was written.
@@ -82,7 +82,8 @@ def durable(df: DataFrame, name: str, batch_rows: int = 2048) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meterlake/{name}-{uuid.uuid4().hex}"
     with arrow_batches(spark, batch_rows):
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._durable_path = path
     return made
@@ -92,9 +93,12 @@ def forget(*tables: DataFrame) -> None:
     """Delete what ``durable`` wrote, once nothing that is still to be computed reads it."""
     for t in tables:
         if path := t.__dict__.pop("_durable_path", None):
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            remove(t.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], count: str) -> DataFrame:

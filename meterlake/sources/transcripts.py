@@ -1,6 +1,8 @@
 """Lines of the two transcript dialects and of the run history to normalized rows.
 
-A line is parsed once, to a VARIANT, and only the fields below are taken out of it: what people and models said is never carried on (P26).
+A line is parsed once, into a struct that names only the fields below: what people and models said is never carried on (P26).
+The struct comes out of a generator, as filters above one aren't pushed below it, where each would parse the line again; what no struct can
+hold (lists of mixed kinds, lines without a type) is looked at as a VARIANT, on these lines alone.
 What one line needs from the lines before it (a response's first line, the running session and model) are windows over
 the file's lines, so a file is the unit of work and files run side by side.
 
@@ -21,7 +23,7 @@ from meterlake.functions import keys
 ORDER = ("kind", "path", "end_offset")
 FILE = ("path", "end_offset", "kind", "agent", "project_slug")
 TOKENS = ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens", "cache_write_tokens", "total_tokens")
-#: The columns of the three tables, in order.
+#: The columns of the three tables, in order.
 MESSAGE = ("dedup_key", "agent", "kind", "session_id", "agent_run_id", "subagent_type", "is_sidechain", "parent_session_id", "spawn_depth", "source_file",
            "source_entry_id", "provider_msg_id", "request_id", "parent_entry_id", "cwd", "project_slug", "git_branch", "agent_version", "ts", "ts_epoch_ms", "model",
            "response_model", "provider", "api", "stop_reason", *TOKENS, "context_tokens", "retry_count", "cache_miss_reason", "reported_cost_usd")
@@ -45,12 +47,9 @@ def _some(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _tokens(path: str) -> Column:
-    return F.coalesce(_get(path, "bigint"), F.lit(0).cast("bigint"))
-
-
-def _is_object(path: str) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get("v", f"$.{path}", "variant")), F.lit("OBJECT<")), F.lit(False))
+def _tokens(c: str) -> Column:
+    """A count that stands there as a number, or as a string of one; else 0."""
+    return F.coalesce(F.col(c).try_cast("bigint"), F.col(c).try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def epoch_ms(ts: Column) -> Column:
@@ -58,35 +57,63 @@ def epoch_ms(ts: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(ts))
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """Adds v (VARIANT) and object (whether the line is a JSON object)."""
-    v = lines.withColumn("v", F.try_parse_json("raw")).drop("raw")
-    return v.withColumn("object", F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT<")), F.lit(False)))
+def _is_object(raw: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(raw)), F.lit("OBJECT<")), F.lit(False))
+
+
+#: JSON as the agents write it.
+STRICT = {"allowSingleQuotes": "false"}
+
 
+def parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """Adds the fields of ``schema`` as columns, and object (whether the line is a JSON object)."""
+    named = lines.select("raw", *[F.col(c).alias(f"of_{c}") for c in lines.columns if c != "raw"])  # fields and files share names
+    made = named.select("*", F.inline(F.array(F.from_json("raw", schema, STRICT))))
+    typed = F.col("type").isNotNull() & F.endswith(F.rtrim("raw"), F.lit("}"))
+    return made.withColumn("object", F.when(typed, True).otherwise(_is_object("raw")))
 
-def _blocks(path: str, kind: str, **fields: str) -> Column:
-    """The blocks of one kind in a content list, as structs; none where it is no list."""
-    blocks = F.coalesce(_get(path, "array<variant>"), F.array().cast("array<variant>"))
-    wanted = F.filter(blocks, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == kind, F.lit(False)))
-    return F.transform(wanted, lambda b: F.struct(*[F.try_variant_get(b, f"$.{p}", "boolean" if n == "is_error" else "string").alias(n) for n, p in fields.items()]))
+
+def _blocks(content: str, mark: str, **fields: str) -> Column:
+    """The blocks of kind ``mark`` in a content list, as structs; none where it is no list."""
+    flag = lambda c, n: c.try_cast("boolean") if n == "is_error" else c
+    plain = F.transform(F.filter(F.col(content), lambda b: b["type"] == mark), lambda b: F.struct(*[flag(b[p], n).alias(n) for n, p in fields.items()]))
+    # a list that holds other things than objects
+    mixed = F.coalesce(F.try_variant_get(F.try_parse_json("raw"), f"$.{content}", "array<variant>"), F.array().cast("array<variant>"))
+    wanted = F.filter(mixed, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == mark, F.lit(False)))
+    slow = F.transform(wanted, lambda b: F.struct(*[F.try_variant_get(b, f"$.{p}", "boolean" if n == "is_error" else "string").alias(n) for n, p in fields.items()]))
+    return F.when(F.col(content).isNotNull(), plain).when(F.contains("raw", F.lit(f'"{mark}"')), slow)
 
 
 # The first dialect: a response is several lines, one content block each, that all repeat its usage.
 
 
+#: The fields of a line that are read. Counts are text first, as any JSON value may stand there.
+CLAUDE = """type string, sessionId string, timestamp string, requestId string, agentId string, attributionAgent string, isSidechain string, uuid string, parentUuid string, cwd string,
+  gitBranch string, version string, diagnostics struct<cache_miss_reason string>, message struct<id string, model string, stop_reason string,
+  content array<struct<type string, id string, name string, tool_use_id string, is_error string>>, usage struct<input_tokens string, output_tokens string,
+  cache_read_input_tokens string, cache_creation_input_tokens string, iterations array<string>, cache_creation map<string, string>>>"""
+PI_USAGE = "struct<input string, output string, reasoning string, cacheRead string, cacheWrite string, cacheWrite1h string, totalTokens string, cost struct<total double>>"
+PI = f"""type string, id string, timestamp string, cwd string, modelId string, provider string, parentId string, tokensBefore string, usage {PI_USAGE},
+  details struct<readFiles array<string>, modifiedFiles array<string>>, message struct<role string, model string, provider string, responseModel string, api string, stopReason string,
+  toolCallId string, toolName string, isError string, usage {PI_USAGE}, content array<struct<type string, id string, name string>>>"""
+
+
+def _of(*names: str) -> list[Column]:
+    return [F.col(f"of_{n}").alias(n) for n in names]
+
+
 def claude_lines(lines: DataFrame) -> DataFrame:
     u = "message.usage."
-    typed = parsed(lines).withColumn("type", F.when(F.col("object"), _get("type"))).select(
-        *FILE, "object", "type", _some(_get("sessionId")).alias("session_id"), _get("timestamp").alias("ts"), _some(_get("message.id")).alias("provider_msg_id"),
-        _get("requestId").alias("request_id"), _get("message.model").alias("model"), _get("message.stop_reason").alias("stop_reason"), _get("agentId").alias("agent_run_id"),
-        _get("attributionAgent").alias("subagent_type"), F.coalesce(_get("isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), _get("uuid").alias("source_entry_id"),
-        _get("parentUuid").alias("parent_entry_id"), _get("cwd").alias("cwd"), _get("gitBranch").alias("git_branch"), _get("version").alias("agent_version"),
-        _get("diagnostics.cache_miss_reason").alias("cache_miss_reason"),
-        F.greatest(F.size(F.coalesce(_get(u + "iterations", "array<variant>"), F.array().cast("array<variant>"))) - 1, F.lit(0)).alias("retry_count"),
+    held = F.col(u + "cache_creation")
+    typed = parsed(lines, CLAUDE).withColumns({"written_5m_text": held["ephemeral_5m_input_tokens"], "written_1h_text": held["ephemeral_1h_input_tokens"]}).select(
+        *_of(*FILE), "object", F.when(F.col("object"), F.col("type")).alias("type"), _some(F.col("sessionId")).alias("session_id"), F.col("timestamp").alias("ts"),
+        _some(F.col("message.id")).alias("provider_msg_id"), F.col("requestId").alias("request_id"), "message.model", "message.stop_reason", F.col("agentId").alias("agent_run_id"),
+        F.col("attributionAgent").alias("subagent_type"), F.coalesce(F.col("isSidechain").try_cast("boolean"), F.lit(False)).alias("is_sidechain"), F.col("uuid").alias("source_entry_id"),
+        F.col("parentUuid").alias("parent_entry_id"), "cwd", F.col("gitBranch").alias("git_branch"), F.col("version").alias("agent_version"), "diagnostics.cache_miss_reason",
+        F.greatest(F.coalesce(F.size(u + "iterations"), F.lit(0)) - 1, F.lit(0)).alias("retry_count"),
         _tokens(u + "input_tokens").alias("input_tokens"), _tokens(u + "output_tokens").alias("output_tokens"), _tokens(u + "cache_read_input_tokens").alias("cache_read_tokens"),
-        _tokens(u + "cache_creation_input_tokens").alias("written"),
-        (_is_object(u + "cache_creation") & (F.schema_of_variant(F.try_variant_get("v", f"$.{u}cache_creation", "variant")) != "OBJECT<>")).alias("split"),
-        _tokens(u + "cache_creation.ephemeral_5m_input_tokens").alias("written_5m"), _tokens(u + "cache_creation.ephemeral_1h_input_tokens").alias("written_1h"),
+        _tokens(u + "cache_creation_input_tokens").alias("written"), F.coalesce(F.size(held) > 0, F.lit(False)).alias("split"),
+        _tokens("written_5m_text").alias("written_5m"), _tokens("written_1h_text").alias("written_1h"),
         _blocks("message.content", "tool_use", id="id", name="name").alias("uses"), _blocks("message.content", "tool_result", id="tool_use_id", is_error="is_error").alias("results"))
     return typed.withColumn("ts_epoch_ms", epoch_ms(F.col("ts"))).withColumns({
         "mine": F.coalesce(F.col("type").isin("assistant", "user"), F.lit(False)) & F.col("session_id").isNotNull(),
@@ -150,25 +177,23 @@ def claude_subagent_runs(typed: DataFrame) -> DataFrame:
 
 
 def pi_lines(lines: DataFrame) -> DataFrame:
-    kept = ("path", "end_offset", "kind", "agent", "project_slug", "parent_session_id", "agent_run_id", F.col("session_id").alias("fallback"))
     u = "message.usage."
-    p = parsed(lines).withColumn("type", F.when(F.col("object"), _get("type")))
+    p = parsed(lines, PI).withColumn("type", F.when(F.col("object"), F.col("type")))
     compaction = F.col("type") == "compaction"
     at = lambda name: F.when(compaction, _tokens(f"usage.{name}")).otherwise(_tokens(u + name))
-    cost = F.when(compaction, F.try_variant_get("v", "$.usage.cost.total", "variant")).otherwise(F.try_variant_get("v", "$.message.usage.cost.total", "variant"))
-    number = F.schema_of_variant(cost).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    many = lambda path: F.size(F.coalesce(_get(path, "array<variant>"), F.array().cast("array<variant>")))
+    many = lambda path: F.coalesce(F.size(path), F.lit(0))
     typed = p.select(
-        *kept, "object", "type", _get("id").alias("source_entry_id"), _get("timestamp").alias("ts"), _get("cwd").alias("header_cwd"), _some(_get("modelId")).alias("new_model"),
-        F.when(F.col("type") == "model_change", _some(_get("provider"))).alias("new_provider"), _get("parentId").alias("parent_entry_id"), _is_object("message").alias("has_message"),
-        F.when(F.col("type") == "message", _get("message.role")).alias("role"), _some(_get("message.model")).alias("own_model"), _some(_get("message.provider")).alias("own_provider"),
-        _get("message.responseModel").alias("response_model"), _get("message.api").alias("api"), _get("message.stopReason").alias("stop_reason"), _is_object("message.usage").alias("has_usage"),
+        *_of("path", "end_offset", "kind", "agent", "project_slug", "parent_session_id", "agent_run_id"), F.col("of_session_id").alias("fallback"), "object", "type",
+        F.col("id").alias("source_entry_id"), F.col("timestamp").alias("ts"), F.col("cwd").alias("header_cwd"), _some(F.col("modelId")).alias("new_model"),
+        F.when(F.col("type") == "model_change", _some(F.col("provider"))).alias("new_provider"), F.col("parentId").alias("parent_entry_id"), F.col("message").isNotNull().alias("has_message"),
+        F.when(F.col("type") == "message", F.col("message.role")).alias("role"), _some(F.col("message.model")).alias("own_model"), _some(F.col("message.provider")).alias("own_provider"),
+        F.col("message.responseModel").alias("response_model"), "message.api", F.col("message.stopReason").alias("stop_reason"), F.col("message.usage").isNotNull().alias("has_usage"),
         at("input").alias("input_tokens"), at("output").alias("output_tokens"), at("reasoning").alias("reasoning_tokens"), at("cacheRead").alias("cache_read_tokens"),
         at("cacheWrite").alias("written"), at("cacheWrite1h").alias("cache_write_1h_tokens"), at("totalTokens").alias("total_tokens"),
-        F.when(F.coalesce(number, F.lit(False)), F.try_variant_get(cost, "$", "double")).alias("reported_cost_usd"),
-        _get("tokensBefore").alias("tokens_before"), many("details.readFiles").alias("n_read"), many("details.modifiedFiles").alias("n_modified"),
-        _some(_get("message.toolCallId")).alias("result_id"), _get("message.toolName").alias("result_name"), F.coalesce(_get("message.isError", "boolean"), F.lit(False)).alias("is_error"),
-        _blocks("message.content", "toolCall", id="id", name="name").alias("uses"))
+        F.when(compaction, F.col("usage.cost.total")).otherwise(F.col(u + "cost.total")).alias("reported_cost_usd"),
+        F.col("tokensBefore").alias("tokens_before"), many("details.readFiles").alias("n_read"), many("details.modifiedFiles").alias("n_modified"),
+        _some(F.col("message.toolCallId")).alias("result_id"), F.col("message.toolName").alias("result_name"),
+        F.coalesce(F.col("message.isError").try_cast("boolean"), F.lit(False)).alias("is_error"), _blocks("message.content", "toolCall", id="id", name="name").alias("uses"))
     so_far = Window.partitionBy("path").orderBy("end_offset").rowsBetween(Window.unboundedPreceding, 0)
     header = F.col("type") == "session"
     running = lambda c, when: F.last(F.when(when, c), ignorenulls=True).over(so_far)
@@ -217,10 +242,12 @@ def pi_tool_calls(typed: DataFrame) -> DataFrame:
 def history_lines(lines: DataFrame) -> DataFrame:
     numeric = lambda c: F.schema_of_variant(c).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     ts, duration, code = (F.try_variant_get("v", f"$.{k}", "variant") for k in ("ts", "duration", "exit"))
-    typed = parsed(lines).select(
-        "path", "end_offset", "kind", "agent", "object", _get("agent").alias("agent_type"), F.when(numeric(ts), F.try_variant_get("v", "$.ts", "double")).alias("at"), F.to_json(ts).alias("raw_ts"),
+    fields = F.struct(
+        F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT<")), F.lit(False)).alias("object"), _get("agent").alias("agent_type"),
+        F.when(numeric(ts), F.try_variant_get("v", "$.ts", "double")).alias("at"), F.to_json(ts).alias("raw_ts"),
         F.when(numeric(duration), F.try_variant_get("v", "$.duration", "double")).alias("took"), F.to_json(duration).alias("raw_duration"), _get("status").alias("status"),
         F.when(F.startswith(F.schema_of_variant(code), F.lit("BIGINT")), F.try_variant_get("v", "$.exit", "int")).alias("exit_code"), keys.digest(_get("task")).alias("task"))
+    typed = lines.withColumn("v", F.try_parse_json("raw")).select("path", "end_offset", "kind", "agent", F.inline(F.array(fields)))
     return typed.withColumn("skipped", ~F.col("object") | F.col("at").isNull())
 
 

@@ -163,7 +163,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--max-seconds", type=int)
     c.add_argument("--max-files", type=int)
     c.add_argument("--quiet", action="store_true")
-    c.add_argument("--full-rebuild", action=argparse.BooleanOptionalAction, default=True)
+    c.add_argument("--full-rebuild", action=argparse.BooleanOptionalAction, default=False)
     r = command("report", _report)
     for k in ("daily", "models", "sessions", "tools", "json"):
         r.add_argument(f"--{k}", action="store_true")

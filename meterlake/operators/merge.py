@@ -17,9 +17,12 @@ def first_wins(existing: DataFrame, incoming: DataFrame, order: Sequence[str], k
 
     A partially aggregated ``min_by``, so thousands of repeats of a key are one row per task.
     """
+    return first_of(incoming, order, key).join(existing.select(key), key, "left_anti").select(*incoming.columns)
+
+
+def first_of(incoming: DataFrame, order: Sequence[str], key: str = "dedup_key") -> DataFrame:
     rest = [c for c in incoming.columns if c != key]
-    first = incoming.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
-    return first.join(existing.select(key), key, "left_anti").select(*incoming.columns)
+    return incoming.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
 def coalesced(rows: DataFrame, order: Sequence[str], newest: Sequence[str], oldest: Sequence[str] = (), key: str = "dedup_key") -> DataFrame:

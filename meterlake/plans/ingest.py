@@ -4,8 +4,11 @@ Files are listed and compared with their marks; those with something new are rea
 there now.  Lines become rows, rows are priced and merged, and all tables, marks included, change in one transaction.  A second run over
 the same files reads nothing; a run over rewritten files reads them anew and adds no row twice.
 
-Files of the second dialect are read from their beginning where they have grown, as what was appended needs the session and model named
-before; only lines past the mark count.
+A file is a row from listing to mark, and never one of the driver's.  A mark holds what the file has named so far (session, model), so a grown file is read from where it ended.
+A file that can't be read gets a mark with the error, and the rest is stored.
+
+What is derived follows what came: the sessions that the new messages and calls belong to, whatever their age, are read again (their buckets only), and their rollups, latencies and
+nothing else are written in the same transaction.
 """
 
 from __future__ import annotations
@@ -15,17 +18,20 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.operators import derive, merge, pricing, watermarks
-from meterlake.plans.store import SCHEMAS, Store
+from meterlake.plans.store import MANY, SCHEMAS, TOLD, Store
 from meterlake.sources import discovery, lines, rates, transcripts
 
 MISSING = "<missing>"
-FILE = "path string, agent string, kind string, session_id string, parent_session_id string, agent_run_id string, project_slug string, start bigint"
+#: Bytes that a task reads at least, and files that are taken up at once under a time budget.
+TASK_BYTES, WAVE = 8 << 20, 256
+TODO = "path string, inode bigint, size_bytes bigint, mtime_ns bigint, agent string, kind string, session_id string, parent_session_id string, agent_run_id string, project_slug string, decision string, start bigint"
 
 
 @dataclass
@@ -46,12 +52,19 @@ class RunStats:
     unknown_models: list[str] = field(default_factory=list)
     partial: bool = False
     duration_ms: int = 0
+    query_id: str | None = None
+    batch: int | None = None
+    began: float = field(default_factory=time.monotonic)
 
     def row(self) -> dict:
         out = asdict(self) | {"unknown_models": json.dumps(self.unknown_models), "partial": int(self.partial)}
         out.pop("files_skipped")
+        out.pop("began")
         return out
 
+    def end(self) -> None:
+        self.finished_at, self.duration_ms = now_iso(), max(1, int((time.monotonic() - self.began) * 1000))
+
 
 def now_iso() -> str:
     return datetime.now(UTC).isoformat()
@@ -82,97 +95,138 @@ class Roots:
 DIALECTS = {"claude": ("claude_session", "claude_subagent"), "pi": ("pi_session", "pi_subagent_session"), "history": ("pi_run_history",)}
 
 
-def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, marks: DataFrame, card: rates.RateCard, stats: RunStats, max_skipped: int = 1000) -> None:
-    """Lines (path, end_offset, raw) of each dialect's ``files`` (FILE's columns; lines up to ``start`` count no more) into the tables, with the files' new ``marks``
-    (path, agent, source_kind, inode, size_bytes, mtime_ns, byte_offset, reset, last_error), in one transaction."""
+def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, card: rates.RateCard, stats: RunStats, max_skipped: int = 1000) -> None:
+    """Lines (path, end_offset, raw) of each dialect's ``files`` into the tables, in one transaction.
+
+    ``files``: path, agent, kind, session_id, parent_session_id, agent_run_id, project_slug, inode, size_bytes, mtime_ns, start (from where on the file was read), reset (it was read anew).
+    """
     spark, now = store.spark, now_iso()
-    start = files.select("path", "start")
     seq = store._manifest()[0] + 1
-    # parsed once for all tables; a lost executor parses its part again
-    parse = {"claude": transcripts.claude_lines, "pi": transcripts.pi_lines, "history": transcripts.history_lines}
-    cc, pi, rh = (f(read[k].join(files.filter(F.col("kind").isin(*DIALECTS[k])), "path")).persist(StorageLevel.MEMORY_AND_DISK) for k, f in parse.items())
-    fresh = lambda df: df.join(start, "path").filter("end_offset > start").drop("start")
-    held = [cc, pi, rh]
+    held: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))  # a lost executor makes its part again
+        return held[-1]
+
     try:
-        messages = priced(fresh(transcripts.claude_messages(cc).unionByName(transcripts.pi_messages(pi))), card)
-        # a key that a file of this run holds, and that is stored or stands in an earlier file, is not new
-        messages = messages.withColumn("order_kind", F.col("source_kind")).withColumn("ingested_at", F.lit(now)).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(messages)
-        new = merge.first_wins(store.raw("messages"), messages.drop("source_kind", "path"), ["order_kind", "source_file", "end_offset"])
+        paths = store.buckets_of("ingest_files", files)
+        marks = store.raw("ingest_files", paths)
+        seeds = marks.select("path", F.col("seed").alias("before"))
+        of = files.join(seeds, "path", "left").withColumn("seed", F.when(F.col("start") > 0, F.col("before"))).drop("before", "inode", "size_bytes", "mtime_ns", "reset", "start")
+        parse = {"claude": transcripts.claude_lines, "pi": transcripts.pi_lines, "history": transcripts.history_lines}
+        typed = {k: kept(f(read[k].join(of.filter(F.col("kind").isin(*DIALECTS[k])), "path"))) for k, f in parse.items()}
+        bad = kept(reduce(DataFrame.unionByName, [t.filter("error IS NOT NULL").select("path", "error") for t in typed.values()]).groupBy("path").agg(F.min("error").alias("error")))
+        failed = bad.count()
+        if failed:  # nothing of a file that was read in part
+            typed = {k: t.join(bad, "path", "left_anti") for k, t in typed.items()}
+        cc, pi, rh = typed["claude"], typed["pi"], typed["history"]
+        ends = [t.groupBy("path").agg(F.max("end_offset").alias("byte_offset"), F.count_if("line").alias("lines_ingested"), F.count_if("skipped").alias("lines_skipped")) for t in typed.values()]
+
+        # of the copies of a key the first in order is new, if none is stored; only buckets that may hold one of these keys are read
+        messages = priced(transcripts.claude_messages(cc).unionByName(transcripts.pi_messages(pi)), card).withColumnsRenamed({"source_kind": "order_kind"})
+        first = kept(merge.first_of(messages.drop("path"), ["order_kind", "source_file", "end_offset"]))
+        stored = store.raw("message_keys", store.buckets_of("message_keys", first))
+        new = kept(first.join(stored, "dedup_key", "left_anti").withColumn("ingested_at", F.lit(now)))
         told = {"seq": F.lit(seq), "ingested_at": F.lit(now)}
-        calls = fresh(transcripts.claude_tool_calls(cc).unionByName(transcripts.pi_tool_calls(pi))).withColumns(told)
-        runs = fresh(transcripts.claude_subagent_runs(cc).unionByName(transcripts.history_runs(rh))).withColumns(told)
-        counts = None
-        for part in (cc, pi, rh):
-            c = transcripts.counters(fresh(part.select("path", "end_offset", "skipped")))
-            counts = c if counts is None else counts.unionByName(c)
-        counts = counts.persist()
-        held.append(counts)
+        calls = kept(transcripts.claude_tool_calls(cc).unionByName(transcripts.pi_tool_calls(pi)).withColumns(told))
+        runs = transcripts.claude_subagent_runs(cc).unionByName(transcripts.history_runs(rh)).withColumns(told)
+        touched = kept(new.select("agent", "session_id").unionByName(calls.select("agent", "session_id")).distinct())
+        made = derived(store, new, calls, touched)
+        zero = F.lit(0).cast("long")
+        many = F.when(F.col("lines_skipped") > max_skipped, F.concat(F.col("lines_skipped").cast("string"), F.lit(" lines could not be parsed")))
+        marked = files.join(reduce(DataFrame.unionByName, ends), "path", "left").join(transcripts.pi_state(pi), "path", "left").join(bad, "path", "left").join(seeds, "path", "left")
+        marked = kept(marked.withColumns({
+            "byte_offset": F.coalesce("byte_offset", "start"), "lines_ingested": F.coalesce("lines_ingested", zero), "lines_skipped": F.coalesce("lines_skipped", zero),
+            "last_error": F.coalesce("error", many), "reset": F.col("reset") & F.col("error").isNull(), "source_kind": F.col("kind"),
+            "seed": F.when(F.col("error").isNull(), F.coalesce("seed", F.when(F.col("start") > 0, F.col("before")))).otherwise(F.col("before")),
+            "first_ingested_at": F.lit(now), "last_ingested_at": F.lit(now)}))
         with store.transaction() as w:
-            stats.messages_upserted += w.append("messages", new)
+            stats.messages_upserted += w.append("messages", made["messages"])
+            w.append("message_keys", new.select("dedup_key"))
+            w.append("latency_fixes", made["fixes"].withColumn("seq", F.lit(seq)))
             stats.tool_calls_upserted += w.append("tool_calls", calls)
             stats.subagent_runs_upserted += w.append("subagent_runs", runs)
-            many = F.when(F.col("lines_skipped") > max_skipped, F.concat(F.col("lines_skipped").cast("string"), F.lit(" lines could not be parsed")))
-            zero = F.lit(0).cast("long")
-            m = marks.join(counts, "path", "left").withColumns({
-                "lines_ingested": F.coalesce("lines_read", zero), "lines_skipped": F.coalesce("lines_skipped", zero), "last_error": F.coalesce("last_error", many),
-                "first_ingested_at": F.lit(now), "last_ingested_at": F.lit(now)})
-            w.replace("ingest_files", merge.merge_marks(store.raw("ingest_files"), m))
-            total = counts.agg(F.coalesce(F.sum("lines_read"), F.lit(0)), F.coalesce(F.sum("lines_skipped"), F.lit(0))).first()
-            stats.lines_read, stats.lines_skipped = stats.lines_read + total[0], stats.lines_skipped + total[1]
-            stats.unknown_models = sorted({*stats.unknown_models, *[r["model"] for r in unknown_models(messages).limit(1000).collect()]})
-            stats.finished_at = now_iso()
+            if made["buckets"]:
+                w.replace_buckets("sessions", made["sessions"], made["buckets"])
+            w.replace_buckets("ingest_files", merge.merge_marks(marks, marked), paths)
+            sums = marked.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("lines_ingested", "lines_skipped")], F.coalesce(F.sum(F.col("byte_offset") - F.col("start")), F.lit(0))).first()
+            stats.lines_read, stats.lines_skipped, stats.bytes_read = stats.lines_read + sums[0], stats.lines_skipped + sums[1] + failed, stats.bytes_read + sums[2]
+            stats.unknown_models = sorted({*stats.unknown_models, *[r["model"] for r in unknown_models(messages).collect()]})  # names of models, each once
+            stats.end()
             w.append("ingest_runs", spark.createDataFrame([stats.row()], SCHEMAS["ingest_runs"]))
     finally:
         for df in held:
             df.unpersist()
 
 
-def rebuild(store: Store, since_ms: int | None = None) -> None:
-    """Session rows of all sessions, or of those with a message since then, recomputed whole."""
-    m, calls = store.raw("messages"), store.table("tool_calls")
-    made = derive.sessions(m if since_ms is None else derive.recent(m, since_ms), calls).withColumn("updated_at", F.lit(now_iso()))
-    made = made.withColumn("shipped_at", F.lit(None).cast("string")).select(*store.raw("sessions").columns)
+def derived(store: Store, new: DataFrame, calls: DataFrame, touched: DataFrame) -> dict:
+    """What ``new`` messages and halves of ``calls`` change: messages (``new`` with latency_ms), fixes (stored messages whose latency is another now), sessions (all rows of ``buckets``), buckets.
+
+    Stored rows of the ``touched`` sessions (agent, session_id) are read, from their buckets alone.
+    """
+    keys = ["agent", "session_id"]
+    buckets = store.buckets_of("sessions", touched)
+    now = F.lit(now_iso())
+    of = lambda df: df.join(touched, keys, "left_semi")
+    if not buckets:
+        return {"messages": new, "fixes": store.raw("latency_fixes").limit(0), "buckets": []}
+    old = of(store.table("messages", buckets)).withColumns({"was": F.col("latency_ms"), "stored": F.lit(True)})
+    every = old.unionByName(new.withColumn("stored", F.lit(False)), allowMissingColumns=True)
+    timed = derive.latency(every)
+    halves = of(store.raw("tool_calls", buckets)).unionByName(calls, allowMissingColumns=True)
+    sessions = derive.sessions(every, merge.merge_calls(halves, TOLD)).withColumns({"updated_at": now, "shipped_at": F.lit(None).cast("string")})
+    kept = store.raw("sessions", buckets)
+    return {"messages": timed.filter("NOT stored"), "fixes": timed.filter("stored AND NOT latency_ms <=> was").select(*keys, "dedup_key", "latency_ms"), "buckets": buckets,
+            "sessions": merge.replace_rows(kept, sessions.select(*kept.columns), keys)}
+
+
+def rebuild(store: Store) -> None:
+    """All session rows and latencies anew, from all messages."""
+    m, calls = store.table("messages"), store.table("tool_calls")
+    made = derive.sessions(m, calls).withColumns({"updated_at": F.lit(now_iso()), "shipped_at": F.lit(None).cast("string")}).select(*store.raw("sessions").columns)
+    timed = derive.latency(m.withColumn("was", F.col("latency_ms"))).filter("NOT latency_ms <=> was")
     with store.transaction() as w:
-        w.replace("sessions", merge.replace_rows(store.raw("sessions"), made, ["agent", "session_id"]))
+        w.replace_buckets("sessions", merge.replace_rows(store.raw("sessions"), made, ["agent", "session_id"]), list(range(store.buckets)))
+        w.append("latency_fixes", timed.select("agent", "session_id", "dedup_key", "latency_ms").withColumn("seq", F.lit(store._manifest()[0] + 1)))
 
 
-def collect(store: Store, roots: Roots, card: rates.RateCard, max_files: int = 0, max_seconds: int = 0, full_rebuild: bool = True, max_skipped: int = 1000) -> RunStats:
-    """One run. With ``max_files`` it reads a prefix of the files in order; with ``max_seconds`` it stops taking up files."""
-    spark, began = store.spark, time.monotonic()
+def collect(store: Store, roots: Roots, card: rates.RateCard, max_files: int = 0, max_seconds: int = 0, full_rebuild: bool = False, max_skipped: int = 1000) -> RunStats:
+    """One run. With ``max_files`` it reads a prefix of the files in order; with ``max_seconds`` it stops taking up files, ``WAVE`` at a time."""
+    spark = store.spark
     stats = RunStats(f"run_{uuid.uuid4().hex[:16]}", now_iso())
     listed = discovery.classify(discovery.listing(spark, *roots.all()), roots.projects_dir, roots.sessions_dir, roots.history_path)
-    todo = watermarks.decide(listed, store.raw("ingest_files"))
-    files = discovery.ordered(listed.join(todo, "path")).collect()  # a row a file, as the listing
-    stats.files_scanned, stats.files_skipped = len(files), sum(f["decision"] == "unchanged" for f in files)
-    ranges, marks, info = [], [], []
-    for f in (f for f in files if f["decision"] != "unchanged"):
-        if (max_files and stats.files_read >= max_files) or (max_seconds and time.monotonic() - began >= max_seconds):
-            stats.partial = True
-            break
-        stats.files_read += 1
-        stats.files_rotated += f["decision"] == "rotated"
-        start, error = f["start"], None
-        try:
-            end = lines.last_newline(f["path"], start, f["size_bytes"])
-            if end > start:
-                ranges.append((f["path"], 0 if f["kind"].startswith("pi_s") else start, end))
-                info.append((f["path"], f["agent"], f["kind"], f["session_id"], f["parent_session_id"], f["agent_run_id"], f["project_slug"], start))
-        except OSError as e:  # one bad file is no failed run
-            end, error = start, f"{type(e).__name__}: {e}"
-            stats.lines_skipped += 1
-        stats.bytes_read += end - start
-        marks.append((f["path"], f["agent"], f["kind"], f["inode"], f["size_bytes"], f["mtime_ns"], end, f["decision"] not in ("appended", "new") and error is None, error))
-    if marks:
-        schema = "path string, agent string, source_kind string, inode bigint, size_bytes bigint, mtime_ns bigint, byte_offset bigint, reset boolean, last_error string"
-        kind = {i[0]: i[2] for i in info}
-        read = {k: lines.read_lines(spark, [r for r in ranges if kind[r[0]] in kinds]) for k, kinds in DIALECTS.items()}
-        ingest(store, read, spark.createDataFrame(info, FILE), spark.createDataFrame(marks, schema), card, stats, max_skipped)
-    else:
-        stats.finished_at = now_iso()
-        with store.transaction() as w:
-            w.append("ingest_runs", spark.createDataFrame([stats.row()], SCHEMAS["ingest_runs"]))
-    if marks or full_rebuild:
-        rebuild(store, None if full_rebuild else int(time.time() * 1000) - derive.RECENT_MS)
-    stats.duration_ms = int((time.monotonic() - began) * 1000)
+    at = f"{store.root}/_todo/{stats.run_id}"
+    listed.join(watermarks.decide(listed, store.raw("ingest_files")), "path").select(*[c.split()[0] for c in TODO.split(", ")]).coalesce(4).write.parquet(at)
+    try:
+        seen = spark.read.schema(TODO).parquet(at)  # one state of the file system for all that follows
+        n = {r["decision"]: (r["n"], r["bytes"]) for r in seen.groupBy("decision").agg(F.count("*").alias("n"), F.sum(F.col("size_bytes") - F.col("start")).alias("bytes")).collect()}
+        stats.files_scanned, stats.files_skipped = sum(x for x, _ in n.values()), n.pop("unchanged", (0, 0))[0]
+        due, size = sum(x for x, _ in n.values()), sum(x for _, x in n.values())
+        todo = seen.filter("decision != 'unchanged'")
+        most = min(due, max_files or due)
+        waves = range(0, most, WAVE) if max_seconds else [0] if due else []
+        for a in waves:
+            if max_seconds and time.monotonic() - stats.began >= max_seconds:
+                break
+            b = min(most, a + WAVE) if max_seconds else most
+            files = todo if b - a == due else discovery.ordered(todo).offset(a).limit(b - a)
+            files = files.withColumn("reset", ~F.col("decision").isin("appended", "new"))
+            if b - a < due:
+                files = files.persist()
+            stats.files_read = b
+            stats.files_rotated += files.filter("decision = 'rotated'").count() if n.get("rotated") else 0
+            stats.partial = b < due
+            tasks = max(1, min(-(-size // TASK_BYTES), 1 << 16))
+            read = {k: lines.read_files(files.filter(F.col("kind").isin(*kinds)), tasks) for k, kinds in DIALECTS.items()}
+            ingest(store, read, files.drop("decision"), card, stats, max_skipped)
+        stats.partial = stats.files_read < due
+        if not stats.files_read:
+            stats.end()
+            with store.transaction() as w:
+                w.append("ingest_runs", spark.createDataFrame([stats.row()], SCHEMAS["ingest_runs"]))
+    finally:
+        store._fs.delete(store._path(at), True)
+    if full_rebuild:
+        rebuild(store)
+    store.compact(MANY)
     return stats

@@ -1,6 +1,6 @@
 """Which files hold transcripts, of what kind, and in which order.
 
-``listing`` walks the folders and gives a path with what the file system says of it; ``classify`` is column expressions over the path
+``listing`` has tasks walk the folders and gives a path with what the file system says of it; ``classify`` is column expressions over the path
 alone, so it does the same for a listing that comes from anywhere else.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,31 +23,63 @@ PI_SESSION = r"^([^/]+)/((?i:\d{4}-\d{2}-\d{2}T[\d-]+Z_[0-9a-f-]+))\.jsonl$"
 PI_NESTED = r"^([^/]+)/([^/]+)/([^/]+)/run-[^/]*/session\.jsonl$"
 
 
-def _walk(root: str) -> Iterator[tuple[str, int, int, int]]:
-    for top, _, names in os.walk(root):
-        for name in names:
-            if name.endswith(".jsonl"):
-                path = os.path.join(top, name)
-                try:
-                    s = os.stat(path)
-                except OSError:  # it went away meanwhile
-                    continue
-                yield path, s.st_ino, s.st_size, s.st_mtime_ns
+def _entries(folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, is a folder) of what lies in ``folder``; nothing where it is missing or went away."""
+    try:
+        with os.scandir(folder) as found:
+            for e in found:
+                yield e.path, e.is_dir(follow_symlinks=False)
+    except OSError:
+        return
+
+
+def _stat(path: str) -> tuple[int, int, int] | None:
+    try:
+        s = os.stat(path)
+    except OSError:
+        return None
+    return s.st_ino, s.st_size, s.st_mtime_ns
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One level down: folders become what lies in them."""
+    for b in batches:
+        out = [x for path, folder in zip(b.column("path").to_pylist(), b.column("folder").to_pylist()) for x in (_entries(path) if folder else [(path, False)])]
+        yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in out], pa.string()), "folder": pa.array([d for _, d in out], pa.bool_())})
+
+
+def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All JSONL files at or below each path, with what the file system says of them."""
+    for b in batches:
+        found: list[tuple[str, int, int, int]] = []
+        for path, folder in zip(b.column("path").to_pylist(), b.column("folder").to_pylist()):
+            files = (os.path.join(top, n) for top, _, names in os.walk(path) for n in names) if folder else [path]
+            found += [(f, *s) for f in files if f.endswith(".jsonl") and (s := _stat(f))]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["path", "inode", "size_bytes", "mtime_ns"])
 
 
 def listing(spark: SparkSession, *roots: str) -> DataFrame:
     """path, inode, size_bytes, mtime_ns of every JSONL file below (or at) ``roots``; a root that is missing has none.
 
-    The driver holds a row a file, as any reader of files does; their contents are read by the executors.
+    Tasks list the folders: two levels are spread over all tasks, which walk what lies below, so a project with most sessions is many tasks.  No file is a row of the driver.
     """
-    found: list[tuple[str, int, int, int]] = []
-    for root in roots:
-        if os.path.isfile(root):
-            s = os.stat(root)
-            found.append((os.path.abspath(root), s.st_ino, s.st_size, s.st_mtime_ns))
-        else:
-            found += _walk(os.path.abspath(root))
-    return spark.createDataFrame(sorted(set(found)), FILES)
+    tops = sorted({os.path.abspath(r) for r in roots})
+    rows = spark.createDataFrame([(r, not r.endswith(".jsonl")) for r in tops], "path string, folder boolean").coalesce(1)
+    n = spark.sparkContext.defaultParallelism
+    for _ in range(2):
+        rows = rows.mapInArrow(_spread, "path string, folder boolean").repartition(n)
+    return rows.mapInArrow(_below, FILES).dropDuplicates(["path"])
+
+
+def stats(files: DataFrame) -> DataFrame:
+    """Adds inode, size_bytes and mtime_ns, as they are now, to ``files`` (path); null for a file that went away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_stat(p) or (None, None, None) for p in b.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), *[pa.array([f[i] for f in found], pa.int64()) for i in range(3)]], names=["path", "inode", "size_bytes", "mtime_ns"])
+
+    return files.join(files.select("path").mapInArrow(run, FILES), "path")
 
 
 def pi_session_id(name: Column) -> Column:

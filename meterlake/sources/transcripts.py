@@ -6,7 +6,9 @@ hold (lists of mixed kinds, lines without a type) is looked at as a VARIANT, on
 What one line needs from the lines before it (a response's first line, the running session and model) are windows over
 the file's lines, so a file is the unit of work and files run side by side.
 
-``lines`` holds path, end_offset (the order within a file), raw, and what ``discovery.classify`` says of the path.
+``lines`` holds path, end_offset (the order within a file), raw, and what ``discovery.classify`` says of the path.  A row without raw says only how far its
+file was read, and one without end_offset holds in raw why its file couldn't be read.  Where a file of the second dialect is read on, ``seed`` (session_id, cwd, model, provider)
+is what was named before.
 Each dialect gives typed lines first; ``messages``, ``tool_calls``, ``subagent_runs`` and ``counters`` are projections of these.
 
 Tokens that aren't numbers count as 0; a line that isn't a JSON object counts as skipped, and never stops a run.
@@ -68,7 +70,7 @@ STRICT = {"allowSingleQuotes": "false"}
 def parsed(lines: DataFrame, schema: str) -> DataFrame:
     """Adds the fields of ``schema`` as columns, and object (whether the line is a JSON object)."""
     named = lines.select("raw", *[F.col(c).alias(f"of_{c}") for c in lines.columns if c != "raw"])  # fields and files share names
-    made = named.select("*", F.inline(F.array(F.from_json("raw", schema, STRICT))))
+    made = named.select("*", F.inline(F.array(F.from_json(F.coalesce("raw", F.lit("")), schema, STRICT))))
     typed = F.col("type").isNotNull() & F.endswith(F.rtrim("raw"), F.lit("}"))
     return made.withColumn("object", F.when(typed, True).otherwise(_is_object("raw")))
 
@@ -92,6 +94,7 @@ CLAUDE = """type string, sessionId string, timestamp string, requestId string, a
   gitBranch string, version string, diagnostics struct<cache_miss_reason string>, message struct<id string, model string, stop_reason string,
   content array<struct<type string, id string, name string, tool_use_id string, is_error string>>, usage struct<input_tokens string, output_tokens string,
   cache_read_input_tokens string, cache_creation_input_tokens string, iterations array<string>, cache_creation map<string, string>>>"""
+SEED = "struct<session_id: string, cwd: string, model: string, provider: string>"
 PI_USAGE = "struct<input string, output string, reasoning string, cacheRead string, cacheWrite string, cacheWrite1h string, totalTokens string, cost struct<total double>>"
 PI = f"""type string, id string, timestamp string, cwd string, modelId string, provider string, parentId string, tokensBefore string, usage {PI_USAGE},
   details struct<readFiles array<string>, modifiedFiles array<string>>, message struct<role string, model string, provider string, responseModel string, api string, stopReason string,
@@ -99,7 +102,9 @@ PI = f"""type string, id string, timestamp string, cwd string, modelId string, p
 
 
 def _of(*names: str) -> list[Column]:
-    return [F.col(f"of_{n}").alias(n) for n in names]
+    """Columns of the line's file, and whether there is a line."""
+    end = F.col("of_end_offset")
+    return [*[F.col(f"of_{n}").alias(n) for n in names], (F.col("raw").isNotNull() & end.isNotNull()).alias("line"), F.when(end.isNull(), F.col("raw")).alias("error")]
 
 
 def claude_lines(lines: DataFrame) -> DataFrame:
@@ -118,8 +123,8 @@ def claude_lines(lines: DataFrame) -> DataFrame:
     return typed.withColumn("ts_epoch_ms", epoch_ms(F.col("ts"))).withColumns({
         "mine": F.coalesce(F.col("type").isin("assistant", "user"), F.lit(False)) & F.col("session_id").isNotNull(),
         # other types are no errors, whatever they lack
-        "skipped": ~F.col("object") | (F.coalesce(F.col("type").isin("assistant", "user"), F.lit(False)) & F.col("session_id").isNull())
-        | F.coalesce((F.col("type") == "assistant") & F.col("session_id").isNotNull() & (F.col("provider_msg_id").isNull() | F.col("ts_epoch_ms").isNull()), F.lit(False))})
+        "skipped": F.col("line") & (~F.col("object") | (F.coalesce(F.col("type").isin("assistant", "user"), F.lit(False)) & F.col("session_id").isNull())
+        | F.coalesce((F.col("type") == "assistant") & F.col("session_id").isNotNull() & (F.col("provider_msg_id").isNull() | F.col("ts_epoch_ms").isNull()), F.lit(False)))})
 
 
 def claude_messages(typed: DataFrame) -> DataFrame:
@@ -146,21 +151,19 @@ def with_defaults(m: DataFrame) -> DataFrame:
 
 def claude_tool_calls(typed: DataFrame) -> DataFrame:
     """A call from every assistant line, valid or not, and a result from every user line."""
-    use = typed.filter("mine AND type = 'assistant'").select("*", F.explode("uses").alias("b")).withColumns(
-        {"tool_use_id": F.col("b.id"), "tool_name": F.col("b.name"), "source_file": F.col("path")}).withColumn("result_ts_epoch_ms", F.lit(None))
-    result = typed.filter("mine AND type = 'user'").select("path", "end_offset", "kind", "agent", "session_id", F.col("ts_epoch_ms").alias("result_ts_epoch_ms"), F.explode("results").alias("b"))
-    result = result.withColumns({"tool_use_id": F.col("b.id"), "is_error": F.coalesce("b.is_error", F.lit(False)), "source_file": F.col("path")})
-    return _calls(use, result)
+    use = F.transform("uses", lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"), F.lit(None).cast("boolean").alias("is_error")))
+    result = F.transform("results", lambda b: F.struct(b["id"].alias("id"), F.lit(None).cast("string").alias("name"), F.coalesce(b["is_error"], F.lit(False)).alias("is_error")))
+    return _calls(typed.filter("mine").withColumns({"call": F.col("type") == "assistant", "b": F.explode(F.when(F.col("type") == "assistant", use).otherwise(result))}), "agent_run_id")
 
 
-def _calls(*parts: DataFrame) -> DataFrame:
-    """Halves of calls with their keys, in one order; those without an id go."""
-    out = None
-    for p in parts:
-        key = p.withColumns({"dedup_key": keys.tool_call_key("agent", "session_id", "tool_use_id"), "source_kind": F.col("kind")}).filter("dedup_key IS NOT NULL")
-        made = _shaped(key, CALL, "source_kind", "path", "end_offset")
-        out = made if out is None else out.unionByName(made)
-    return out
+def _calls(halves: DataFrame, *of_calls: str) -> DataFrame:
+    """Halves of calls with their keys (``call``: the first half; b: id, name, is_error); those without an id go. Columns ``of_calls`` are known of first halves only."""
+    call = F.col("call")
+    key = halves.withColumns({
+        "tool_use_id": F.col("b.id"), "tool_name": F.col("b.name"), "is_error": F.col("b.is_error"), "source_file": F.col("path"), "source_kind": F.col("kind"),
+        "result_ts_epoch_ms": F.when(~call, F.col("ts_epoch_ms")), **{c: F.when(call, F.col(c)) for c in ("ts", "ts_epoch_ms", "project_slug", *of_calls)}})
+    key = key.withColumn("dedup_key", keys.tool_call_key("agent", "session_id", "tool_use_id")).filter("dedup_key IS NOT NULL")
+    return _shaped(key, CALL, "source_kind", "path", "end_offset")
 
 
 def claude_subagent_runs(typed: DataFrame) -> DataFrame:
@@ -178,12 +181,13 @@ def claude_subagent_runs(typed: DataFrame) -> DataFrame:
 
 def pi_lines(lines: DataFrame) -> DataFrame:
     u = "message.usage."
+    lines = lines if "seed" in lines.columns else lines.withColumn("seed", F.lit(None).cast(SEED))
     p = parsed(lines, PI).withColumn("type", F.when(F.col("object"), F.col("type")))
     compaction = F.col("type") == "compaction"
     at = lambda name: F.when(compaction, _tokens(f"usage.{name}")).otherwise(_tokens(u + name))
     many = lambda path: F.coalesce(F.size(path), F.lit(0))
     typed = p.select(
-        *_of("path", "end_offset", "kind", "agent", "project_slug", "parent_session_id", "agent_run_id"), F.col("of_session_id").alias("fallback"), "object", "type",
+        *_of("path", "end_offset", "kind", "agent", "project_slug", "parent_session_id", "agent_run_id", "seed"), F.col("of_session_id").alias("fallback"), "object", "type",
         F.col("id").alias("source_entry_id"), F.col("timestamp").alias("ts"), F.col("cwd").alias("header_cwd"), _some(F.col("modelId")).alias("new_model"),
         F.when(F.col("type") == "model_change", _some(F.col("provider"))).alias("new_provider"), F.col("parentId").alias("parent_entry_id"), F.col("message").isNotNull().alias("has_message"),
         F.when(F.col("type") == "message", F.col("message.role")).alias("role"), _some(F.col("message.model")).alias("own_model"), _some(F.col("message.provider")).alias("own_provider"),
@@ -196,18 +200,24 @@ def pi_lines(lines: DataFrame) -> DataFrame:
         F.coalesce(F.col("message.isError").try_cast("boolean"), F.lit(False)).alias("is_error"), _blocks("message.content", "toolCall", id="id", name="name").alias("uses"))
     so_far = Window.partitionBy("path").orderBy("end_offset").rowsBetween(Window.unboundedPreceding, 0)
     header = F.col("type") == "session"
-    running = lambda c, when: F.last(F.when(when, c), ignorenulls=True).over(so_far)
-    typed = typed.withColumns({"session_id": F.coalesce(running(_some(F.col("source_entry_id")), header), _some(F.col("fallback"))), "cwd": running(_some(F.col("header_cwd")), header),
+    running = lambda c, when, before: F.coalesce(F.last(F.when(when, c), ignorenulls=True).over(so_far), F.col(f"seed.{before}"))
+    typed = typed.withColumns({"session_id": F.coalesce(running(_some(F.col("source_entry_id")), header, "session_id"), _some(F.col("fallback"))), "cwd": running(_some(F.col("header_cwd")), header, "cwd"),
                                "ts_epoch_ms": epoch_ms(F.col("ts"))})
     whole = F.col("session_id").isNotNull() & (F.coalesce("source_entry_id", F.lit("")) != "") & F.col("ts_epoch_ms").isNotNull()
     entry = F.coalesce(F.col("type").isin("message", "compaction"), F.lit(False))
     typed = typed.withColumns({
         "mine": entry & whole & (compaction | F.col("has_message")),
-        "skipped": ~F.col("object") | (entry & ~whole) | F.coalesce((F.col("type") == "message") & whole & ~F.col("has_message"), F.lit(False))})
+        "skipped": F.col("line") & (~F.col("object") | (entry & ~whole) | F.coalesce((F.col("type") == "message") & whole & ~F.col("has_message"), F.lit(False)))})
     billed = F.col("mine") & F.coalesce(F.col("role") == "assistant", F.lit(False)) & F.col("has_usage")
     change = F.coalesce(F.col("type") == "model_change", F.lit(False))
-    return typed.withColumns({"model": running(F.when(change, F.col("new_model")).otherwise(F.col("own_model")), change | billed), "active_provider": running(F.col("new_provider"), change),
-                              "billed": billed})
+    return typed.withColumns({"model": running(F.when(change, F.col("new_model")).otherwise(F.col("own_model")), change | billed, "model"),
+                              "active_provider": running(F.col("new_provider"), change, "provider"), "billed": billed})
+
+
+def pi_state(typed: DataFrame) -> DataFrame:
+    """What each file has named so far, as the seed of its next lines."""
+    said = F.struct("session_id", "cwd", "model", F.col("active_provider").alias("provider"))
+    return typed.filter("end_offset IS NOT NULL").groupBy("path").agg(F.max_by(said, "end_offset").alias("seed"))
 
 
 def pi_messages(typed: DataFrame) -> DataFrame:
@@ -228,12 +238,10 @@ def pi_messages(typed: DataFrame) -> DataFrame:
 
 
 def pi_tool_calls(typed: DataFrame) -> DataFrame:
-    use = typed.filter("mine AND role = 'assistant'").select("*", F.explode("uses").alias("b")).withColumns(
-        {"tool_use_id": F.col("b.id"), "tool_name": F.col("b.name"), "source_file": F.col("path")}).withColumn("is_error", F.lit(None))
-    result = typed.filter("mine AND role = 'toolResult'").select(
-        "path", "end_offset", "kind", "agent", "session_id", "agent_run_id", F.col("result_id").alias("tool_use_id"), F.col("result_name").alias("tool_name"), "is_error",
-        F.col("ts_epoch_ms").alias("result_ts_epoch_ms"), F.col("path").alias("source_file"))
-    return _calls(use, result)
+    use = F.transform("uses", lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"), F.lit(None).cast("boolean").alias("is_error")))
+    result = F.array(F.struct(F.col("result_id").alias("id"), F.col("result_name").alias("name"), F.col("is_error").alias("is_error")))
+    of = F.when(F.col("role") == "assistant", use).when(F.col("role") == "toolResult", result)
+    return _calls(typed.filter("mine AND role IN ('assistant', 'toolResult')").withColumns({"call": F.col("role") == "assistant", "b": F.explode(of)}))
 
 
 # The run history: one line a run of a helper, with its task, which is told by a digest only.
@@ -247,8 +255,9 @@ def history_lines(lines: DataFrame) -> DataFrame:
         F.when(numeric(ts), F.try_variant_get("v", "$.ts", "double")).alias("at"), F.to_json(ts).alias("raw_ts"),
         F.when(numeric(duration), F.try_variant_get("v", "$.duration", "double")).alias("took"), F.to_json(duration).alias("raw_duration"), _get("status").alias("status"),
         F.when(F.startswith(F.schema_of_variant(code), F.lit("BIGINT")), F.try_variant_get("v", "$.exit", "int")).alias("exit_code"), keys.digest(_get("task")).alias("task"))
-    typed = lines.withColumn("v", F.try_parse_json("raw")).select("path", "end_offset", "kind", "agent", F.inline(F.array(fields)))
-    return typed.withColumn("skipped", ~F.col("object") | F.col("at").isNull())
+    known = (F.col("raw").isNotNull() & F.col("end_offset").isNotNull()).alias("line"), F.when(F.col("end_offset").isNull(), F.col("raw")).alias("error")
+    typed = lines.withColumn("v", F.try_parse_json("raw")).select("path", "end_offset", "kind", "agent", *known, F.inline(F.array(fields)))
+    return typed.withColumn("skipped", F.col("line") & (~F.col("object") | F.col("at").isNull()))
 
 
 def _iso(seconds: Column) -> Column:
@@ -260,7 +269,7 @@ def _iso(seconds: Column) -> Column:
 def history_runs(typed: DataFrame) -> DataFrame:
     took = F.col("took").cast("bigint")
     plain = lambda c: F.regexp_replace(c, r'^"|"$', "")
-    r = typed.filter("NOT skipped").withColumns({
+    r = typed.filter("line AND NOT skipped").withColumns({
         "dedup_key": keys.run_history_key("agent_type", plain(F.col("raw_ts")), plain(F.col("raw_duration")), "status"), "source": F.lit("pi-run-history"), "source_file": F.col("path"),
         "source_kind": F.col("kind"), "task_sha256": F.col("task.sha256"), "task_len": F.col("task.length"), "started_at": _iso(F.col("at")), "duration_ms": took,
         "ended_at": F.when(took.isNotNull(), _iso(F.col("at") + took / 1000))})
@@ -269,7 +278,7 @@ def history_runs(typed: DataFrame) -> DataFrame:
 
 def counters(typed: DataFrame) -> DataFrame:
     """Lines read and skipped of each file."""
-    return typed.groupBy("path").agg(F.count("*").alias("lines_read"), F.count_if("skipped").alias("lines_skipped"))
+    return typed.groupBy("path").agg(F.count_if("line").alias("lines_read"), F.count_if("skipped").alias("lines_skipped"))
 
 
 def meta(raw: Column) -> Column:

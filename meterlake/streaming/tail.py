@@ -1,66 +1,65 @@
 """Micro-batches over files that grow.
 
 The stream's checkpoint holds a byte offset for each file (not an event time): no line is too late, and state that must
-outlive a batch lies in the tables.  Each batch is one transaction of merges that change nothing when they are repeated, so a batch
-that is run again after a failure has the effect of one.  Spark lets one query run per checkpoint, which guards against overlap (T6).
+outlive a batch lies in the tables.  Each batch is one transaction, which also stores the checkpoint's id and the batch's number: a batch that is run again, after a
+failure between its commit and the checkpoint's, finds itself there and does nothing.  A late line changes its session's rollup and its successor's latency in the batch that brings
+it, whatever its age.  Spark lets one query run per checkpoint, which guards against overlap (T6).
+
+A batch takes a bounded share of a backlog (``max_files``, ``max_bytes``); its files are rows, of which the driver sees none.
 """
 
 from __future__ import annotations
 
 import json
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import derive
 from meterlake.plans import ingest
-from meterlake.plans.store import Store
+from meterlake.plans.store import MANY, Store
 from meterlake.sources import discovery, lines, rates
 
 
-def stream_lines(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """path, end_offset, raw of every complete line, as it comes."""
+def stream_lines(spark: SparkSession, roots: list[str], state: str, max_files: int = 0, max_bytes: int = 0) -> DataFrame:
+    """path, end_offset, raw, start of every complete line, as it comes; ``state``: the folder of the offsets' side files."""
     spark.dataSource.register(lines.TranscriptLines)
-    return spark.readStream.format("transcript_lines").option("roots", json.dumps(roots)).load()
+    options = {"roots": json.dumps(roots), "state": state, "max_files": str(max_files), "max_bytes": str(max_bytes)}
+    return spark.readStream.format("transcript_lines").options(**options).load()
 
 
-def take_batch(store: Store, roots: ingest.Roots, card: rates.RateCard, batch: DataFrame, number: int) -> None:
-    """One micro-batch into the tables."""
-    spark = batch.sparkSession
-    span = batch.groupBy("path").agg(F.min("end_offset").alias("first"), F.max("end_offset").alias("byte_offset"))
-    of = discovery.classify(span, roots.projects_dir, roots.sessions_dir, roots.history_path).collect()  # a row a file of the batch
-    if not of:
+def take_batch(store: Store, roots: ingest.Roots, card: rates.RateCard, batch: DataFrame, number: int, query_id: str) -> None:
+    """One micro-batch (lines with ``start``, from where on their file is read) into the tables, once."""
+    if store.took(query_id, number):
         return
-    stats = ingest.RunStats(f"batch_{number}", ingest.now_iso(), files_scanned=len(of), files_read=len(of))
-    known = {r["path"]: r["byte_offset"] for r in store.raw("ingest_files").join(span.select("path"), "path", "left_semi").collect()}
-    info, marks, whole = [], [], []
-    for f in of:
-        start = known.get(f["path"], 0)
-        start = 0 if f["first"] <= start else start  # read anew after a rotation
-        info.append((f["path"], f["agent"], f["kind"], f["session_id"], f["parent_session_id"], f["agent_run_id"], f["project_slug"], start))
-        try:
-            now = lines.stat_of(f["path"])
-        except OSError:
-            now = {"inode": None, "size": f["byte_offset"], "mtime_ns": None}
-        marks.append((f["path"], f["agent"], f["kind"], now["inode"], now["size"], now["mtime_ns"], f["byte_offset"], start == 0 and f["path"] in known, None))
-        if f["kind"].startswith("pi_s") and start:
-            whole.append((f["path"], 0, start))
-    files = spark.createDataFrame(info, ingest.FILE)
-    got = batch.unionByName(lines.read_lines(spark, whole)) if whole else batch  # what was said before gives the session and the model
-    schema = "path string, agent string, source_kind string, inode bigint, size_bytes bigint, mtime_ns bigint, byte_offset bigint, reset boolean, last_error string"
-    kept = got.persist()  # each dialect takes its lines of it
+    got = batch.persist()  # each dialect takes its lines of it
     try:
-        of_kind = lambda kinds: kept.join(files.filter(F.col("kind").isin(*kinds)).select("path"), "path", "left_semi")
-        ingest.ingest(store, {k: of_kind(kinds) for k, kinds in ingest.DIALECTS.items()}, files, spark.createDataFrame(marks, schema), card, stats)
+        span = got.groupBy("path").agg(F.min("start").alias("start"))
+        files = discovery.stats(discovery.classify(span, roots.projects_dir, roots.sessions_dir, roots.history_path)).withColumn("reset", F.col("start") == 0).persist()
+        n = files.count()
+        if n:
+            stats = ingest.RunStats(f"batch_{number}", ingest.now_iso(), files_scanned=n, files_read=n, query_id=query_id, batch=number)
+            of_kind = lambda kinds: got.drop("start").join(files.filter(F.col("kind").isin(*kinds)).select("path"), "path", "left_semi")
+            ingest.ingest(store, {k: of_kind(kinds) for k, kinds in ingest.DIALECTS.items()}, files, card, stats)
+        files.unpersist()
     finally:
-        kept.unpersist()
-    ingest.rebuild(store, int(time.time() * 1000) - derive.RECENT_MS if number else None)
+        got.unpersist()
+    store.compact(MANY)
+
+
+def query_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint gives its query, the same after every restart."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def collect_available(spark: SparkSession, store: Store, roots: ingest.Roots, card: rates.RateCard, checkpoint: str) -> int:
-    """Takes what is there and ends (T1); returns the number of batches."""
-    q = (stream_lines(spark, roots.all()).writeStream.foreachBatch(lambda df, n: take_batch(store, roots, card, df, n))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sum(p["numInputRows"] > 0 for p in q.recentProgress)
+def collect_available(spark: SparkSession, store: Store, roots: ingest.Roots, card: rates.RateCard, checkpoint: str, max_files: int = 0, max_bytes: int = 0) -> int:
+    """Takes what is there, in batches of bounded size, and ends (T1); returns the number of batches."""
+    taken = 0
+    while True:
+        query = (stream_lines(spark, roots.all(), f"{checkpoint}/files", max_files, max_bytes).writeStream
+                 .foreachBatch(lambda df, n: take_batch(store, roots, card, df, n, query_of(df.sparkSession, checkpoint)))
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
+        got = sum(p["numInputRows"] > 0 for p in query.recentProgress)
+        taken += got
+        if not got:
+            return taken

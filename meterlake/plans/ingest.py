@@ -91,8 +91,10 @@ class Roots:
         return [self.projects_dir, self.sessions_dir, self.history_path]
 
 
-#: Which parser reads which kinds of files.
+#: Which parser reads which kinds of files: typed lines, then messages, halves of calls and helper runs of these.
 DIALECTS = {"claude": ("claude_session", "claude_subagent"), "pi": ("pi_session", "pi_subagent_session"), "history": ("pi_run_history",)}
+PARSERS = {"claude": (transcripts.claude_lines, transcripts.claude_messages, transcripts.claude_tool_calls, transcripts.claude_subagent_runs),
+           "pi": (transcripts.pi_lines, transcripts.pi_messages, transcripts.pi_tool_calls, None), "history": (transcripts.history_lines, None, None, transcripts.history_runs)}
 
 
 def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, card: rates.RateCard, stats: RunStats, max_skipped: int = 1000) -> None:
@@ -109,46 +111,43 @@ def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, card: rat
         return held[-1]
 
     try:
-        paths = store.buckets_of("ingest_files", files)
+        at = files.agg(F.collect_set(store.bucket("ingest_files")).alias("paths"), F.collect_set("kind").alias("kinds")).first()
+        paths, kinds = at["paths"], {*at["kinds"]}
         marks = store.raw("ingest_files", paths)
         seeds = marks.select("path", F.col("seed").alias("before"))
         of = files.join(seeds, "path", "left").withColumn("seed", F.when(F.col("start") > 0, F.col("before"))).drop("before", "inode", "size_bytes", "mtime_ns", "reset", "start")
-        parse = {"claude": transcripts.claude_lines, "pi": transcripts.pi_lines, "history": transcripts.history_lines}
-        typed = {k: kept(f(read[k].join(of.filter(F.col("kind").isin(*DIALECTS[k])), "path"))) for k, f in parse.items()}
+        typed = {k: kept(f(read[k].join(of.filter(F.col("kind").isin(*DIALECTS[k])), "path"))) for k, (f, *_) in PARSERS.items() if kinds & {*DIALECTS[k]}}
         bad = kept(reduce(DataFrame.unionByName, [t.filter("error IS NOT NULL").select("path", "error") for t in typed.values()]).groupBy("path").agg(F.min("error").alias("error")))
         failed = bad.count()
         if failed:  # nothing of a file that was read in part
             typed = {k: t.join(bad, "path", "left_anti") for k, t in typed.items()}
-        cc, pi, rh = typed["claude"], typed["pi"], typed["history"]
         ends = [t.groupBy("path").agg(F.max("end_offset").alias("byte_offset"), F.count_if("line").alias("lines_ingested"), F.count_if("skipped").alias("lines_skipped")) for t in typed.values()]
 
         # of the copies of a key the first in order is new, if none is stored; only buckets that may hold one of these keys are read
-        messages = priced(transcripts.claude_messages(cc).unionByName(transcripts.pi_messages(pi)), card).withColumnsRenamed({"source_kind": "order_kind"})
+        rows = lambda i, schema: reduce(DataFrame.unionByName, [PARSERS[k][i](t) for k, t in typed.items() if PARSERS[k][i]] or [spark.createDataFrame([], schema)])
+        messages = priced(rows(1, transcripts.MESSAGE_ROW), card).withColumnsRenamed({"source_kind": "order_kind"})
         first = kept(merge.first_of(messages.drop("path"), ["order_kind", "source_file", "end_offset"]))
         stored = store.raw("message_keys", store.buckets_of("message_keys", first))
         new = kept(first.join(stored, "dedup_key", "left_anti").withColumn("ingested_at", F.lit(now)))
         told = {"seq": F.lit(seq), "ingested_at": F.lit(now)}
-        calls = kept(transcripts.claude_tool_calls(cc).unionByName(transcripts.pi_tool_calls(pi)).withColumns(told))
-        runs = transcripts.claude_subagent_runs(cc).unionByName(transcripts.history_runs(rh)).withColumns(told)
+        calls = kept(rows(2, transcripts.CALL_ROW).withColumns(told))
+        runs = rows(3, transcripts.RUN_ROW).withColumns(told)
         touched = kept(new.select("agent", "session_id").unionByName(calls.select("agent", "session_id")).distinct())
         made = derived(store, new, calls, touched)
         zero = F.lit(0).cast("long")
         many = F.when(F.col("lines_skipped") > max_skipped, F.concat(F.col("lines_skipped").cast("string"), F.lit(" lines could not be parsed")))
-        marked = files.join(reduce(DataFrame.unionByName, ends), "path", "left").join(transcripts.pi_state(pi), "path", "left").join(bad, "path", "left").join(seeds, "path", "left")
+        marked = files.join(reduce(DataFrame.unionByName, ends), "path", "left").join(transcripts.pi_state(typed["pi"]) if "pi" in typed else seeds.select("path", F.lit(None).cast(transcripts.SEED).alias("seed")), "path", "left").join(bad, "path", "left").join(seeds, "path", "left")
         marked = kept(marked.withColumns({
             "byte_offset": F.coalesce("byte_offset", "start"), "lines_ingested": F.coalesce("lines_ingested", zero), "lines_skipped": F.coalesce("lines_skipped", zero),
             "last_error": F.coalesce("error", many), "reset": F.col("reset") & F.col("error").isNull(), "source_kind": F.col("kind"),
             "seed": F.when(F.col("error").isNull(), F.coalesce("seed", F.when(F.col("start") > 0, F.col("before")))).otherwise(F.col("before")),
             "first_ingested_at": F.lit(now), "last_ingested_at": F.lit(now)}))
         with store.transaction() as w:
-            stats.messages_upserted += w.append("messages", made["messages"])
-            w.append("message_keys", new.select("dedup_key"))
-            w.append("latency_fixes", made["fixes"].withColumn("seq", F.lit(seq)))
-            stats.tool_calls_upserted += w.append("tool_calls", calls)
-            stats.subagent_runs_upserted += w.append("subagent_runs", runs)
-            if made["buckets"]:
-                w.replace_buckets("sessions", made["sessions"], made["buckets"])
-            w.replace_buckets("ingest_files", merge.merge_marks(marks, marked), paths)
+            messages_n, _, _, calls_n, runs_n, *_ = w.together(
+                lambda: w.append("messages", made["messages"]), lambda: w.append("message_keys", new.select("dedup_key")), lambda: w.append("latency_fixes", made["fixes"].withColumn("seq", F.lit(seq))),
+                lambda: w.append("tool_calls", calls), lambda: w.append("subagent_runs", runs), lambda: w.replace_buckets("ingest_files", merge.merge_marks(marks, marked), paths),
+                *([lambda: w.replace_buckets("sessions", made["sessions"], made["buckets"])] if made["buckets"] else []))
+            stats.messages_upserted, stats.tool_calls_upserted, stats.subagent_runs_upserted = stats.messages_upserted + messages_n, stats.tool_calls_upserted + calls_n, stats.subagent_runs_upserted + runs_n
             sums = marked.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("lines_ingested", "lines_skipped")], F.coalesce(F.sum(F.col("byte_offset") - F.col("start")), F.lit(0))).first()
             stats.lines_read, stats.lines_skipped, stats.bytes_read = stats.lines_read + sums[0], stats.lines_skipped + sums[1] + failed, stats.bytes_read + sums[2]
             stats.unknown_models = sorted({*stats.unknown_models, *[r["model"] for r in unknown_models(messages).collect()]})  # names of models, each once

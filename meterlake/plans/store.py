@@ -16,10 +16,13 @@ import contextlib
 import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meterlake.operators import merge
 from meterlake.operators.experiments import EXPERIMENTS
@@ -95,7 +98,7 @@ class Store:
 
     def buckets_of(self, table: str, rows: DataFrame) -> list[int]:
         """The buckets of ``table`` that hold the keys of ``rows``: at most as many as there are."""
-        return [r[0] for r in rows.select(self.bucket(table).alias("b")).distinct().collect()]
+        return rows.agg(F.array_sort(F.collect_set(self.bucket(table)))).first()[0]
 
     def raw(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         """The table as it lies there; of ``buckets`` only, if they are given."""
@@ -185,11 +188,11 @@ class Writer:
 
     def _write(self, table: str, df: DataFrame) -> tuple[str, int]:
         """Folder and number of rows, which the job that writes them observes."""
-        columns = self.store.spark.createDataFrame([], SCHEMAS[table]).schema
+        columns = StructType.fromDDL(SCHEMAS[table])
         folder = f"{table}/run={self.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         self.new.append(folder)
         have, counted = set(df.columns), Observation()
-        df = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
+        df = df.selectExpr(*[f"CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in columns])
         path = f"{self.store.root}/{folder}"
         if table in BUCKETED:  # adaptive execution joins small buckets and splits large ones
             laid = df.withColumn("bucket", self.store.bucket(table)).hint("rebalance", "bucket")
@@ -217,6 +220,11 @@ class Writer:
         gone = {f"bucket={b}" for b in buckets}
         self.made[table] = [f for f in self.made.get(table, []) if f.split("/")[-1] not in gone] + sorted(f"{folder}/{b}" for b in gone & there)
 
+    def together(self, *writes: Callable[[], object]) -> list:
+        """Writes of several tables, whose jobs run side by side."""
+        with ThreadPoolExecutor(len(writes)) as pool:
+            return [f.result() for f in [pool.submit(inheritable_thread_target(self.store.spark)(w)) for w in writes]]
+
     def commit(self) -> None:
         s = self.store
         top = f"{s.root}/_manifests"

@@ -36,9 +36,18 @@ _LONG = {"ts_epoch_ms", "result_ts_epoch_ms", "context_tokens", "spawn_depth", "
 _KIND = {"is_error": "boolean", "is_sidechain": "boolean", "exit_code": "int", "cost_usd": "double", "reported_cost_usd": "double"}
 
 
+def _row(columns: tuple[str, ...]) -> str:
+    """What a parser gives, as a schema."""
+    return ", ".join(f"{c} {_KIND.get(c, 'bigint' if c in _LONG else 'string')}" for c in columns) + ", source_kind string, path string, end_offset bigint"
+
+
+MESSAGE_ROW, CALL_ROW, RUN_ROW = _row(MESSAGE), _row(CALL), _row(RUN)
+
+
 def _shaped(df: DataFrame, columns: tuple[str, ...], *more: str) -> DataFrame:
     kind = lambda c: _KIND.get(c, "bigint" if c in _LONG else "string")
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind(c)).alias(c) for c in columns], *more)
+    have = set(df.columns)
+    return df.selectExpr(*[f"CAST({c if c in have else 'NULL'} AS {kind(c)}) AS {c}" for c in columns], *more)
 
 
 def _get(path: str, kind: str = "string", of: str = "v") -> Column:

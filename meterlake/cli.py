@@ -11,9 +11,9 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 
 from meterlake.functions import milliseconds, number, percent, since_ms, usd
-from meterlake.operators import derive, experiments, reports
+from meterlake.operators import experiments, reports, watermarks
 from meterlake.plans import ingest
-from meterlake.plans.store import SCHEMAS, Store
+from meterlake.plans.store import Store
 from meterlake.settings import Settings
 from meterlake.sources import rates
 
@@ -49,7 +49,7 @@ def _rows(df: DataFrame) -> Rows:
 def messages(store: Store) -> DataFrame:
     from pyspark.sql import functions as F
 
-    m = derive.latency(store.raw("messages"))
+    m = store.table("messages")
     return m.withColumn("day", F.to_date(F.timestamp_millis("ts_epoch_ms")))
 
 
@@ -105,7 +105,8 @@ def _report(args: argparse.Namespace) -> int:
 def _status(args: argparse.Namespace) -> int:
     s = _open(args)
     got = reports.status(s.raw("messages"), s.raw("sessions"), s.table("tool_calls"), s.table("subagent_runs"), s.raw("ingest_files"), s.raw("experiments"), s.raw("ingest_runs"))
-    print(as_json(_rows(got)[0]))
+    marks = _rows(watermarks.summary(s.raw("ingest_files")))[0]
+    print(as_json(_rows(got)[0] | {"bytes_ingested": marks["bytes"], "lines_ingested": marks["lines"], "unparseable_lines": marks["skipped"]}))
     return 0
 
 
@@ -132,15 +133,12 @@ def _experiment(args: argparse.Namespace) -> int:
 def _pricing(args: argparse.Namespace) -> int:
     folder = Settings.load().rates_dir
     if args.action == "update":
-        if args.dry_run:
-            print("a dry run is not built", file=sys.stderr)
-            return 2
         with open(args.upstream, "rb") as f:
             raw = f.read()
         import hashlib
 
-        made = rates.update(folder, json.loads(raw), hashlib.sha256(raw).hexdigest(), args.upstream)
-        print(made.diff if made.changed else "nothing has changed")
+        made = rates.update(folder, json.loads(raw), hashlib.sha256(raw).hexdigest(), args.upstream, dry_run=args.dry_run)
+        print(made.diff + "(a dry run: nothing is written)\n" * args.dry_run if made.changed else "nothing has changed")
         return 0
     card = rates.load(session(), folder)
     rows = _rows(card.rates.orderBy("model"))
@@ -193,6 +191,3 @@ def main(argv: Sequence[str] | None = None) -> int:
         print(f"error: {e}", file=sys.stderr)
         return 1
 
-
-#: The tables that ``db init`` makes.
-TABLES = tuple(SCHEMAS)

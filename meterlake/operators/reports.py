@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens")
 
@@ -78,26 +79,50 @@ def _in_window(m: DataFrame, e: DataFrame) -> Column:
     return (m["ts_epoch_ms"] >= e["start_ms"]) & (e["end_ms"].isNull() | (m["ts_epoch_ms"] <= e["end_ms"]))
 
 
-#: Windows up to so many are broadcast to the messages; more are met by day.
-MAX_WINDOWS, DAY_MS = 10_000, 86_400_000
+#: Windows up to so many are broadcast to the messages; of more, sums up to their ends are taken.
+MAX_WINDOWS, HOUR_MS = 10_000, 3_600_000
+#: Costs add up without rounding errors, so that differences of large sums are right.
+EXACT = "decimal(38, 15)"
 
 
 def experiments(e: DataFrame, m: DataFrame) -> DataFrame:
     """Messages and cost of each window; a message counts in every window that covers it.
 
-    Windows are made by hand, so there are few, which is checked: they are broadcast to the range join.  Beyond ``MAX_WINDOWS`` a
-    window is taken apart by days (up to the last message's), and meets the messages of its days.
+    Windows are made by hand, so there are few, which is checked: they are broadcast to the range join.  However many more there are and however they overlap, a window is a
+    difference of two running sums (``_by_sums``).
     """
-    found = [F.count("*").alias("messages"), F.sum("cost_usd").alias("cost_usd")]
     if e.limit(MAX_WINDOWS + 1).count() <= MAX_WINDOWS:
-        hit = m.join(F.broadcast(e), _in_window(m, e)).groupBy("name").agg(*found)
+        hit = m.join(F.broadcast(e), _in_window(m, e)).groupBy("name").agg(F.count("*").alias("messages"), F.sum("cost_usd").alias("cost_usd"))
+        made = e.join(hit, "name", "left").withColumn("messages", F.coalesce("messages", F.lit(0).cast("long")))
     else:
-        last = m.agg(F.max("ts_epoch_ms").alias("last")).first()["last"] or 0
-        day = lambda c: F.floor(c / DAY_MS)
-        days = e.filter(F.col("start_ms") <= last).withColumn("__day", F.explode(F.sequence(day(F.col("start_ms")), F.greatest(day(F.col("start_ms")), day(F.least(F.coalesce("end_ms", F.lit(last)), F.lit(last)))))))
-        by_day = m.select("ts_epoch_ms", "cost_usd", day(F.col("ts_epoch_ms")).alias("__day"))
-        hit = by_day.join(days, "__day").filter((F.col("ts_epoch_ms") >= F.col("start_ms")) & (F.col("end_ms").isNull() | (F.col("ts_epoch_ms") <= F.col("end_ms")))).groupBy("name").agg(*found)
-    return e.join(hit, "name", "left").withColumn("messages", F.coalesce("messages", F.lit(0).cast("long"))).orderBy(F.desc("start_ms"), "name")
+        made = _by_sums(e, m)
+    return made.orderBy(F.desc("start_ms"), "name")
+
+
+def _by_sums(e: DataFrame, m: DataFrame) -> DataFrame:
+    """What came before a window's start, taken off what came before its end.
+
+    Messages are summed by millisecond, the places where windows begin and end stand among them, and running sums go over the milliseconds of an hour and over the hours:
+    an hour has 3.6 million milliseconds at most, whatever the number of messages, and a century 876,600 hours.
+    """
+    sums = ("messages", "priced", "cost")
+    told = m.groupBy(F.col("ts_epoch_ms").alias("at")).agg(F.count("*").alias("messages"), F.count("cost_usd").alias("priced"), F.coalesce(F.sum(F.col("cost_usd").cast(EXACT)), F.lit(0)).cast(EXACT).alias("cost"))
+    zero = F.lit(0).cast("long")
+    asked = e.select(F.explode(F.array("start_ms", F.col("end_ms") + 1)).alias("at")).filter("at IS NOT NULL").distinct()
+    rows = told.withColumn("asked", F.lit(False)).unionByName(asked.select("at", zero.alias("messages"), zero.alias("priced"), F.lit(0).cast(EXACT).alias("cost"), F.lit(True).alias("asked")))
+    rows = rows.withColumn("hour", F.floor(F.col("at") / HOUR_MS))
+    so_far = lambda w: [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c in sums]
+    hours = rows.groupBy("hour").agg(*[F.sum(c).alias(c) for c in sums])
+    before = hours.select("hour", *so_far(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = rows.select("hour", "at", "asked", *so_far(Window.partitionBy("hour").orderBy("at", F.desc("asked")).rowsBetween(Window.unboundedPreceding, -1))).filter("asked")
+    upto = inside.alias("i").join(before.alias("b"), "hour").select("at", *[(F.col(f"i.before_{c}") + F.col(f"b.before_{c}")).alias(c) for c in sums])
+    whole = told.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in sums])
+    of = lambda side: F.struct(*sums).alias(side)
+    w = e.join(upto.select(F.col("at").alias("start_ms"), of("low")), "start_ms", "left").withColumn("until", F.col("end_ms") + 1).join(upto.select(F.col("at").alias("until"), of("high")), "until", "left")
+    w = w.join(F.broadcast(whole), how="left")  # one row
+    fine = F.col("end_ms").isNull() | (F.col("end_ms") >= F.col("start_ms"))
+    took = lambda c: F.when(fine, F.when(F.col("end_ms").isNull(), F.col(f"all_{c}")).otherwise(F.col(f"high.{c}")) - F.col(f"low.{c}"))
+    return w.select(*e.columns, F.coalesce(took("messages"), zero).alias("messages"), F.when(took("priced") > 0, took("cost").cast("double")).alias("cost_usd"))
 
 
 def experiment_report(e: DataFrame, m: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where the dialects differ.
@@ -35,13 +37,13 @@ VERSION = "v1"
 EXPERIMENTS = """SELECT name, CAST(start_ms AS bigint) AS start_ms, CAST(end_ms AS bigint) AS end_ms FROM (VALUES
   ('closed', 1704067200000, 1704672000000), ('overlap', 1704400000000, 1705400000000), ('open', 1705500000000, NULL),
   ('empty', 946684800000, 946684900000)) AS e(name, start_ms, end_ms)"""
-MARKS = """SELECT path, CAST(inode AS bigint) AS inode, CAST(size_bytes AS bigint) AS size_bytes, CAST(mtime_ns AS bigint) AS mtime_ns,
-  CAST(byte_offset AS bigint) AS byte_offset, CAST(lines_ingested AS bigint) AS lines_ingested, CAST(lines_ingested - 7 AS bigint) AS lines_skipped FROM (VALUES ('rot', 1, 100, 5, 100, 9), ('trunc', 2, 100, 5, 100, 9),
-  ('same', 3, 100, 5, 100, 9), ('rewrite', 4, 100, 5, 100, 9), ('grow', 5, 100, 5, 100, 9), ('tail', 6, 100, 5, 90, 9)) AS m(path, inode, size_bytes, mtime_ns, byte_offset, lines_ingested)"""
+#: A file for each event, in one of eight states: new, rotated, truncated, unchanged, rewritten, grown, without an end of its last line, gone.
+MARKS = f"""SELECT path, inode, size_bytes, mtime_ns, CASE WHEN event_id % 8 = 6 THEN size_bytes - 10 ELSE size_bytes END AS byte_offset, k + 9 AS lines_ingested, k % 3 AS lines_skipped FROM
+  (SELECT 'f' || event_id AS path, event_id, k, CAST(event_id AS bigint) AS inode, 100 + k AS size_bytes, ts_epoch_ms AS mtime_ns FROM ({_BASE}) base) files WHERE event_id % 8 <> 0"""
 RUNS = "SELECT run_id, finished_at FROM (VALUES ('r1', '2024-01-01T00:00:00Z'), ('r3', '2024-02-01T00:00:00Z'), ('r2', '2024-01-15T00:00:00Z')) AS r(run_id, finished_at)"
-LISTING = """SELECT path, CAST(inode AS bigint) AS inode, CAST(size_bytes AS bigint) AS size_bytes, CAST(mtime_ns AS bigint) AS mtime_ns
-  FROM (VALUES ('rot', 9, 120, 6), ('trunc', 2, 50, 6), ('same', 3, 100, 5), ('rewrite', 4, 100, 6), ('grow', 5, 140, 6), ('tail', 6, 100, 5), ('fresh', 7, 10, 1))
-  AS l(path, inode, size_bytes, mtime_ns)"""
+LISTING = f"""SELECT path, CASE WHEN event_id % 8 = 1 THEN inode + 1000000000 ELSE inode END AS inode,
+  CASE event_id % 8 WHEN 1 THEN size_bytes + 20 WHEN 2 THEN size_bytes - 50 WHEN 5 THEN size_bytes + 40 ELSE size_bytes END AS size_bytes, CASE WHEN event_id % 8 IN (3, 6) THEN mtime_ns ELSE mtime_ns + 1 END AS mtime_ns FROM
+  (SELECT 'f' || event_id AS path, event_id, k, CAST(event_id AS bigint) AS inode, 100 + k AS size_bytes, ts_epoch_ms AS mtime_ns FROM ({_BASE}) base) files WHERE event_id % 8 <> 7"""
 
 
 #: Transcript lines as texts, made of events: whole, broken, without what they need, copied, and split into blocks. Times are of one day, by arithmetic.
@@ -81,11 +83,13 @@ HISTORY_LINES = f"""SELECT 'run-history.jsonl' AS path, event_id AS end_offset,
   CASE WHEN event_id % 41 = 0 THEN 'nothing' ELSE '{{"agent":"' || event_type || '","task":"CANARY ' || k || '","ts":' || CASE WHEN event_id % 11 = 0 THEN '"late"' ELSE CAST(1704067200 + event_id AS {{text}}) END
     || ',"status":"' || CASE WHEN k % 2 = 0 THEN 'ok' ELSE 'failed' END || '"' || CASE WHEN event_id % 6 = 0 THEN '' ELSE ',"duration":' || (k * 1000) END
     || CASE WHEN event_id % 5 = 0 THEN ',"exit":' || (k % 3) ELSE ',"exit":"none"' END || '}}' END AS raw FROM ({_BASE}) lines"""
-#: Paths of all shapes.
-PATHS = """SELECT path FROM (VALUES ('/c/slug/9b1.jsonl'), ('/c/slug/9b1/subagents/agent-7.jsonl'), ('/c/slug/9b1/subagents/workflows/wf_1/agent-x-y.jsonl'), ('/c/slug/9b1/subagents/journal.jsonl'),
-  ('/c/slug/9b1/notes/agent-7.jsonl'), ('/c/slug/readme.md'), ('/c/top.jsonl'), ('/c/slug/9b1/subagents/Agent-8.jsonl'), ('/s/slug/2026-07-01T10-00-00-000Z_019f-ab.jsonl'), ('/s/slug/other.jsonl'),
-  ('/s/slug/2026-07-01T10-00-00-000Z_019f-ab/call_1/run-0/session.jsonl'), ('/s/slug/claude-code-artifacts/call_1/run-0/session.jsonl'), ('/s/slug/plain/call_1/run-2/session.jsonl'),
-  ('/s/slug/x/call_1/run/session.jsonl'), ('/h/run-history.jsonl'), ('/h/other.jsonl')) AS p(path)"""
+#: A path for each event, in one of thirteen shapes.
+PATHS = f"""SELECT CASE event_id % 13 WHEN 0 THEN '/c/slug' || (user_id % 3) || '/s' || event_id || '.jsonl' WHEN 1 THEN '/c/slug' || (user_id % 3) || '/s' || event_id || '/subagents/agent-' || k || '.jsonl'
+  WHEN 2 THEN '/c/slug' || (user_id % 3) || '/s' || event_id || '/subagents/workflows/wf_1/agent-x-' || k || '.jsonl' WHEN 3 THEN '/c/slug' || (user_id % 3) || '/s' || event_id || '/subagents/journal.jsonl'
+  WHEN 4 THEN '/c/slug' || (user_id % 3) || '/s' || event_id || '/notes/agent-7.jsonl' WHEN 5 THEN '/c/top' || event_id || '.jsonl' WHEN 6 THEN '/c/slug' || (user_id % 3) || '/s' || event_id || '/subagents/Agent-' || k || '.jsonl'
+  WHEN 7 THEN '/s/slug' || (user_id % 3) || '/2026-07-01T10-00-00-000Z_019f-' || event_id || '.jsonl' WHEN 8 THEN '/s/slug' || (user_id % 3) || '/other' || event_id || '.jsonl'
+  WHEN 9 THEN '/s/slug' || (user_id % 3) || '/2026-07-01T10-00-00-000Z_019f-' || event_id || '/call_' || k || '/run-0/session.jsonl' WHEN 10 THEN '/s/slug' || (user_id % 3) || '/claude-code-artifacts/call_' || event_id || '/run-0/session.jsonl'
+  WHEN 11 THEN '/s/slug' || (user_id % 3) || '/plain/call_' || event_id || '/run-2/session.jsonl' ELSE '/h/other' || event_id || '.jsonl' END AS path, event_id, user_id, k FROM ({_BASE}) base"""
 
 
 def fill(sql: str, dialect: dict[str, str]) -> str:
@@ -96,7 +100,7 @@ def fill(sql: str, dialect: dict[str, str]) -> str:
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the views above, read from the events of ``sf_dir`` and from no other table."""
-    name = f"meterlake_events_{abs(hash(sf_dir))}"
+    name = f"meterlake_events_{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView(name)
     return spark.sql(fill(sql, SPARK).replace("FROM events", f"FROM {name}"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions import keys
-from meterlake.operators import derive, merge, reports
+from meterlake.operators import derive, merge, reports, watermarks
 from meterlake.plans import bridge as b
 from meterlake.plans import ingest
 from meterlake.sources import discovery
@@ -65,16 +65,22 @@ def u4_replace(s: SparkSession, d: str) -> DataFrame:
 
 
 def u5_marks(s: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    old = b.constant(s, b.MARKS).withColumns({"agent": F.lit("pi"), "source_kind": F.lit("pi_session"), "lines_skipped": F.lit(1).cast("bigint"), "first_ingested_at": F.lit("t0"), "last_ingested_at": F.lit("t0"), "last_error": none})
-    new = b.constant(s, b.LISTING).withColumns({"agent": F.lit("pi"), "source_kind": F.lit("pi_session"), "byte_offset": F.col("size_bytes"), "lines_ingested": F.lit(5).cast("bigint"), "lines_skipped": F.lit(2).cast("bigint"),
-                                                "first_ingested_at": F.lit("t1"), "last_ingested_at": F.lit("t1"), "last_error": none, "reset": F.col("path").isin("rot", "trunc", "rewrite")})
-    return merge.merge_marks(old.filter("path != 'tail'"), new.filter("path != 'same'")).select("path", "inode", "byte_offset", "lines_ingested", "lines_skipped", "first_ingested_at", "last_ingested_at")
+    """Marks of a second run over files in all states; of those without an end of the last line there is no mark yet, and nothing is said of unchanged ones."""
+    said = lambda df, at, lines, skipped: df.withColumns({
+        "agent": F.lit("pi"), "source_kind": F.lit("pi_session"), "lines_ingested": lines, "lines_skipped": skipped, "first_ingested_at": F.lit(at), "last_ingested_at": F.lit(at), "last_error": F.lit(None).cast("string")})
+    old = said(b.view(s, d, b.MARKS), "t0", F.col("lines_ingested"), F.col("lines_skipped"))
+    listing = b.view(s, d, b.LISTING)
+    new = said(listing.join(watermarks.decide(listing, old), "path").withColumns({"byte_offset": F.col("size_bytes"), "reset": F.col("decision").isin("rotated", "truncated", "rewritten")}), "t1",
+               F.lit(5).cast("bigint"), F.lit(2).cast("bigint"))
+    held = old.filter("byte_offset = size_bytes")
+    return merge.merge_marks(held, new.filter("decision != 'unchanged'")).select("path", "inode", "byte_offset", "lines_ingested", "lines_skipped", "first_ingested_at", "last_ingested_at")
 
 
 def u6_meta(s: SparkSession, d: str) -> DataFrame:
-    kv = "key string, value string"
-    return merge.replace_rows(s.createDataFrame([("schema_version", "0"), ("kept", "x")], kv), s.createDataFrame([("schema_version", "1")], kv), ["key"])
+    """A key a user; those with an error have a later value."""
+    m = b.view(s, d, b.MESSAGES).groupBy("session_id").agg(F.max("dedup_key").alias("last"), F.max(F.when(F.col("kind") == "compaction", F.col("dedup_key"))).alias("late"))
+    kv = lambda c: m.filter(F.col(c).isNotNull()).select(F.concat(F.lit("k"), "session_id").alias("key"), F.concat(F.lit(c), F.col(c)).alias("value"))
+    return merge.replace_rows(kv("last"), kv("late"), ["key"])
 
 
 def keys_of(s: SparkSession, d: str) -> DataFrame:
@@ -112,7 +118,7 @@ def f10_leaks(s: SparkSession, d: str) -> DataFrame:
 
 
 def paths(s: SparkSession, d: str) -> DataFrame:
-    return discovery.classify(b.constant(s, b.PATHS), "/c", "/s", "/h/run-history.jsonl")
+    return discovery.classify(b.view(s, d, b.PATHS).select("path"), "/c", "/s", "/h/run-history.jsonl")
 
 
 QUERIES = {
@@ -127,7 +133,7 @@ QUERIES = {
     "p17_pi_calls": lambda s, d: t.pi_tool_calls(pi(s, d)).select("dedup_key", "session_id", "agent_run_id", "tool_use_id", "tool_name", "ts_epoch_ms", "result_ts_epoch_ms", "is_error", "end_offset"),
     "p21_run_history": lambda s, d: t.history_runs(history(s, d)).select("dedup_key", "agent_type", "task_sha256", "task_len", "started_at", "ended_at", "duration_ms", "status", "exit_code"),
     "s5_discover": paths,
-    "o3_budget": lambda s, d: discovery.prefix(paths(s, d), 5).select("kind", "path"),
+    "o3_budget": lambda s, d: discovery.prefix(paths(s, d), 50).select("kind", "path"),
     "u2_merge_calls": u2_merge_calls,
     "u3_merge_runs": u3_merge_runs,
     "u4_replace": u4_replace,
@@ -171,6 +177,11 @@ def _oracles() -> dict[str, str]:
       CASE WHEN event_type = 'view' THEN k % 8 ELSE 0 END AS r, CASE WHEN event_type = 'view' AND event_id % 7 <> 1 THEN k * 11 ELSE 0 END AS tt FROM ps WHERE billed OR (entry AND whole AND event_type = 'error')),
     pn AS (SELECT *, CASE WHEN w1 <> 0 THEN greatest(w - w1, 0) ELSE w END AS w5 FROM pm),
     po AS (SELECT *, CASE WHEN w = 0 THEN w5 + w1 ELSE w END AS cw FROM pn), pp AS (SELECT *, CASE WHEN tt = 0 THEN i + o + r + cw ELSE tt END AS total FROM po)"""
+    found = f"""WITH ps AS ({f(b.PATHS)}), found AS (SELECT path, CASE WHEN st < 7 THEN 'claude-code' ELSE 'pi' END AS agent,
+      CASE st WHEN 0 THEN 'claude_session' WHEN 7 THEN 'pi_session' WHEN 9 THEN 'pi_subagent_session' WHEN 11 THEN 'pi_subagent_session' ELSE 'claude_subagent' END AS kind,
+      CASE WHEN st < 7 THEN 's' || event_id WHEN st = 7 THEN '019f-' || event_id END AS session_id, CASE WHEN st IN (1, 2, 6) THEN 's' || event_id WHEN st = 9 THEN '019f-' || event_id END AS parent_session_id,
+      CASE st WHEN 1 THEN '' || k WHEN 2 THEN 'x-' || k WHEN 6 THEN 'Agent-' || k WHEN 9 THEN 'call_' || k WHEN 11 THEN 'call_' || event_id END AS agent_run_id, 'slug' || (user_id % 3) AS project_slug
+      FROM (SELECT *, event_id % 13 AS st FROM ps) x WHERE st IN (0, 1, 2, 6, 7, 9, 11))"""
     msg, call = f"WITH msg AS ({f(b.MESSAGES)})", f"WITH tc AS ({f(b.TOOL_CALLS)})"
     out = {
         "p3_claude_counters": claude + " SELECT path, count(*) AS lines_read, count(*) FILTER (WHERE bad OR (NOT other AND (NOT sess OR (n <> 3 AND NOT timed)))) AS lines_skipped FROM cf GROUP BY path",
@@ -207,26 +218,17 @@ def _oracles() -> dict[str, str]:
           CAST(CASE WHEN event_id % 5 = 0 THEN k % 3 END AS integer) AS exit_code FROM g""",
         "p10_meta": msg + """ SELECT dedup_key, CASE WHEN agent <> 'pi' THEN kind END AS agent_type, CASE WHEN agent <> 'pi' THEN 't1' END AS tool_use_id, CAST(CASE WHEN agent <> 'pi' THEN 2 END AS bigint) AS spawn_depth,
           CAST(NULL AS varchar) AS model, CASE WHEN agent <> 'pi' THEN left(sha256('CANARY' || session_id), 16) END AS task_sha256, CAST(CASE WHEN agent <> 'pi' THEN 6 + length(session_id) END AS bigint) AS task_len FROM msg""",
-        "s5_discover": """SELECT CAST(path AS varchar) AS path, CAST(agent AS varchar) AS agent, CAST(kind AS varchar) AS kind, CAST(session_id AS varchar) AS session_id, CAST(parent_session_id AS varchar) AS parent_session_id,
-          CAST(agent_run_id AS varchar) AS agent_run_id, CAST(project_slug AS varchar) AS project_slug FROM (VALUES
-          ('/c/slug/9b1.jsonl', 'claude-code', 'claude_session', '9b1', NULL, NULL, 'slug'), ('/c/slug/9b1/subagents/agent-7.jsonl', 'claude-code', 'claude_subagent', '9b1', '9b1', '7', 'slug'),
-          ('/c/slug/9b1/subagents/workflows/wf_1/agent-x-y.jsonl', 'claude-code', 'claude_subagent', '9b1', '9b1', 'x-y', 'slug'),
-          ('/c/slug/9b1/subagents/Agent-8.jsonl', 'claude-code', 'claude_subagent', '9b1', '9b1', 'Agent-8', 'slug'),
-          ('/s/slug/2026-07-01T10-00-00-000Z_019f-ab.jsonl', 'pi', 'pi_session', '019f-ab', NULL, NULL, 'slug'),
-          ('/s/slug/2026-07-01T10-00-00-000Z_019f-ab/call_1/run-0/session.jsonl', 'pi', 'pi_subagent_session', NULL, '019f-ab', 'call_1', 'slug'),
-          ('/s/slug/plain/call_1/run-2/session.jsonl', 'pi', 'pi_subagent_session', NULL, NULL, 'call_1', 'slug'), ('/h/run-history.jsonl', 'pi', 'pi_run_history', NULL, NULL, NULL, NULL))
-          AS p(path, agent, kind, session_id, parent_session_id, agent_run_id, project_slug)""",
-        "o3_budget": """SELECT * FROM (VALUES ('claude_session', '/c/slug/9b1.jsonl'), ('claude_subagent', '/c/slug/9b1/subagents/Agent-8.jsonl'), ('claude_subagent', '/c/slug/9b1/subagents/agent-7.jsonl'),
-          ('claude_subagent', '/c/slug/9b1/subagents/workflows/wf_1/agent-x-y.jsonl'), ('pi_run_history', '/h/run-history.jsonl')) AS p(kind, path)""",
+        "s5_discover": found + " SELECT path, agent, kind, session_id, parent_session_id, agent_run_id, project_slug FROM found",
+        "o3_budget": found + " SELECT kind, path FROM found ORDER BY kind, path LIMIT 50",
         "u2_merge_calls": call + """ SELECT dedup_key, agent, CASE WHEN id % 10 <> 1 THEN session_id END AS session_id, CASE WHEN duration_ms IS NOT NULL THEN 'run' || (id % 3) END AS agent_run_id,
           coalesce(tool_name, CASE WHEN id % 10 = 1 THEN 'old' END) AS tool_name, ts_epoch_ms, ts_epoch_ms + duration_ms AS result_ts_epoch_ms, CASE WHEN duration_ms IS NOT NULL THEN is_error END AS is_error,
           coalesce(duration_ms, CASE WHEN id % 10 = 1 THEN 7 END) AS duration_ms FROM tc""",
         "u4_replace": msg + """ SELECT agent, session_id, CAST(sum(total_tokens) AS bigint) AS total_tokens FROM msg WHERE agent = 'pi' OR ts_epoch_ms % 3 <> 0 GROUP BY agent, session_id""",
-        "u5_marks": f"""WITH l AS ({b.LISTING}), m AS ({b.MARKS})
-          SELECT path, l.inode, l.size_bytes AS byte_offset, CAST(5 + CASE WHEN path IN ('grow') THEN 9 ELSE 0 END AS bigint) AS lines_ingested, CAST(2 + CASE WHEN path IN ('grow') THEN 1 ELSE 0 END AS bigint) AS lines_skipped,
-          CASE WHEN path IN ('fresh', 'tail') THEN 't1' ELSE 't0' END AS first_ingested_at, 't1' AS last_ingested_at FROM l WHERE path <> 'same'
-          UNION ALL SELECT path, inode, byte_offset, lines_ingested, CAST(1 AS bigint), 't0', 't0' FROM m WHERE path = 'same'""",
-        "u6_meta": "SELECT * FROM (VALUES ('schema_version', '1'), ('kept', 'x')) AS m(key, value)",
+        "u5_marks": f"""WITH f AS ({f(b._BASE)}), g AS (SELECT *, event_id % 8 AS st, 'f' || event_id AS path, CAST(100 + k AS bigint) AS size FROM f)
+          SELECT path, CASE WHEN st = 1 THEN event_id + 1000000000 ELSE event_id END AS inode, CASE st WHEN 1 THEN size + 20 WHEN 2 THEN size - 50 WHEN 5 THEN size + 40 ELSE size END AS byte_offset,
+            CAST(CASE WHEN st IN (3, 7) THEN k + 9 WHEN st = 5 THEN k + 14 ELSE 5 END AS bigint) AS lines_ingested, CAST(CASE WHEN st IN (3, 7) THEN k % 3 WHEN st = 5 THEN 2 + k % 3 ELSE 2 END AS bigint) AS lines_skipped,
+            CASE WHEN st IN (0, 6) THEN 't1' ELSE 't0' END AS first_ingested_at, CASE WHEN st IN (3, 7) THEN 't0' ELSE 't1' END AS last_ingested_at FROM g""",
+        "u6_meta": msg + """ SELECT 'k' || session_id AS key, coalesce('late' || max(CASE WHEN kind = 'compaction' THEN dedup_key END), 'last' || max(dedup_key)) AS value FROM msg GROUP BY session_id""",
         "k_dedup_keys": msg + f""" SELECT dedup_key, 'cc:' || dedup_key || '|' || coalesce(agent_run_id, '') AS message, 'pi:' || {_hash('dedup_key', 'ts', 'model', 'total_tokens')} AS pi_message,
           'pic:' || {_hash('dedup_key', 'ts', 'model')} AS pi_compaction, CASE WHEN agent_run_id IS NOT NULL THEN 'tc:pi|' || session_id || '|' || agent_run_id END AS tool_call,
           'rh:' || {_hash('agent_run_id', 'ts', 'total_tokens', 'model')} AS run_history, CASE WHEN agent_run_id IS NOT NULL THEN 'sa:' || session_id || '|' || agent_run_id END AS subagent,

@@ -29,8 +29,8 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return derive.sessions(priced(spark, d), calls(spark, d))
 
 
-def marks(spark: SparkSession) -> DataFrame:
-    return b.constant(spark, b.MARKS)
+def marks(spark: SparkSession, d: str) -> DataFrame:
+    return b.view(spark, d, b.MARKS)
 
 
 def fan_out(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def runs(spark: SparkSession) -> DataFrame:
 
 
 def status(spark: SparkSession, d: str) -> DataFrame:
-    return reports.status(priced(spark, d), sessions(spark, d), calls(spark, d), ingestion.u3_merge_runs(spark, d), marks(spark), b.constant(spark, b.EXPERIMENTS), runs(spark))
+    return reports.status(priced(spark, d), sessions(spark, d), calls(spark, d), ingestion.u3_merge_runs(spark, d), marks(spark, d), b.constant(spark, b.EXPERIMENTS), runs(spark))
 
 
 def broken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -64,7 +64,7 @@ def broken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
         "provider_msg_id": F.expr("CASE WHEN id % 50 = 0 THEN 'm-twice' || id % 4 ELSE provider_msg_id END"),
         "cost_usd": F.expr("CASE WHEN cost_source = 'unknown' AND id % 10 = 3 THEN 1.0D WHEN cost_source = 'zero-rated' AND id % 3 = 0 THEN CAST(NULL AS double) WHEN cost_source = 'zero-rated' AND id % 4 = 0 THEN 0.125D ELSE cost_usd END"),
         "pricing_version": F.expr("CASE WHEN id % 3 = 1 THEN NULL ELSE pricing_version END"), "session_id": F.expr("CASE WHEN id % 101 = 0 THEN '' WHEN id % 101 = 1 THEN NULL ELSE session_id END")})
-    return bad, sessions(spark, d), marks(spark).withColumn("size_bytes", F.expr("CASE WHEN path IN ('rot', 'same') THEN 99 ELSE size_bytes END"))
+    return bad, sessions(spark, d), marks(spark, d).withColumn("size_bytes", F.expr("CASE WHEN CAST(substr(path, 2) AS bigint) % 8 = 3 THEN 9 ELSE size_bytes END"))
 
 
 QUERIES = {
@@ -83,9 +83,9 @@ QUERIES = {
     "a8_experiment_report": lambda s, d: rounded(reports.experiment_report(b.constant(s, b.EXPERIMENTS), messages(s, d), "overlap")),
     "a9_duplicates": lambda s, d: reports.duplicates(fan_out(s, d)),
     "u1_first_wins": u1_first_wins,
-    "s9_decide": lambda s, d: watermarks.decide(b.constant(s, b.LISTING), marks(s)),
-    "s12_summary": lambda s, d: watermarks.summary(marks(s)),
-    "d8_doctor": lambda s, d: reports.doctor(priced(s, d), sessions(s, d), marks(s)),
+    "s9_decide": lambda s, d: watermarks.decide(b.view(s, d, b.LISTING), marks(s, d)),
+    "s12_summary": lambda s, d: watermarks.summary(marks(s, d)),
+    "d8_doctor": lambda s, d: reports.doctor(priced(s, d), sessions(s, d), marks(s, d)),
     "d8_doctor_violations": lambda s, d: reports.doctor(*broken(s, d)),
     **ingestion.QUERIES,
 }
@@ -93,7 +93,7 @@ QUERIES = {
 
 def _oracles() -> dict[str, str]:
     m, t = b.fill(b.MESSAGES, b.DUCK), b.fill(b.TOOL_CALLS, b.DUCK)
-    base = f"""WITH raw AS ({m}), tc AS ({t}), rates AS ({b.RATES}), aliases AS ({b.ALIASES}), exps AS ({b.EXPERIMENTS}), past AS ({b.RUNS}), marks AS ({b.MARKS}), listing AS ({b.LISTING}),
+    base = f"""WITH raw AS ({m}), tc AS ({t}), rates AS ({b.RATES}), aliases AS ({b.ALIASES}), exps AS ({b.EXPERIMENTS}), past AS ({b.RUNS}), marks AS ({b.fill(b.MARKS, b.DUCK)}), files AS ({b.fill(b._BASE, b.DUCK)}),
     src AS (SELECT raw.*, ts_epoch_ms - lag(ts_epoch_ms) OVER (PARTITION BY agent, session_id, coalesce(agent_run_id, '') ORDER BY ts_epoch_ms, dedup_key) AS gap,
       CASE WHEN reported_cost_usd IS NOT NULL THEN 'reported' WHEN agent = 'pi' THEN 'unknown' WHEN raw.model = '<synthetic>' THEN 'zero-rated'
         WHEN r.model IS NOT NULL THEN 'derived' ELSE 'unknown' END AS cost_source,
@@ -114,7 +114,7 @@ def _oracles() -> dict[str, str]:
       bad AS (SELECT * REPLACE (CASE WHEN id % 50 = 0 THEN 'm-twice' || id % 4 ELSE provider_msg_id END AS provider_msg_id,
         CASE WHEN cost_source = 'unknown' AND id % 10 = 3 THEN 1.0 WHEN cost_source = 'zero-rated' AND id % 3 = 0 THEN NULL WHEN cost_source = 'zero-rated' AND id % 4 = 0 THEN 0.125 ELSE cost_usd END AS cost_usd,
         CASE WHEN id % 3 = 1 THEN NULL ELSE pricing_version END AS pricing_version, CASE WHEN id % 101 = 0 THEN '' WHEN id % 101 = 1 THEN NULL ELSE session_id END AS session_id) FROM b0),
-      worse AS (SELECT * REPLACE (CASE WHEN path IN ('rot', 'same') THEN 99 ELSE size_bytes END AS size_bytes) FROM marks) """
+      worse AS (SELECT * REPLACE (CASE WHEN CAST(substr(path, 2) AS bigint) % 8 = 3 THEN 9 ELSE size_bytes END AS size_bytes) FROM marks) """
     five = ", ".join(f"CAST(sum({c}) AS bigint) AS {c}" for c in reports.TOKENS)
     cost = "round(sum(cost_usd), 9) AS cost_usd, count(*) FILTER (WHERE cost_usd IS NULL) AS unpriced"
     none = "coalesce(model, '(none)') AS model, agent"
@@ -145,9 +145,8 @@ def _oracles() -> dict[str, str]:
           WHERE ts_epoch_ms BETWEEN 1704400000000 AND 1705400000000 GROUP BY msg.model, agent""",
         "a9_duplicates": f"SELECT dedup_key, count(*) AS n FROM ({calls3}) q GROUP BY dedup_key HAVING count(*) > 1",
         "u1_first_wins": f"SELECT * FROM ({calls3}) q WHERE line_no = 1 AND dedup_key NOT IN (SELECT dedup_key FROM raw WHERE ts_epoch_ms % 4 = 0)",
-        "s9_decide": """SELECT path, CASE WHEN byte_offset IS NULL THEN 'new' WHEN l.inode <> m.inode THEN 'rotated' WHEN l.size_bytes < byte_offset THEN 'truncated'
-          WHEN l.size_bytes = m.size_bytes AND l.mtime_ns = m.mtime_ns AND byte_offset >= l.size_bytes THEN 'unchanged' WHEN byte_offset >= l.size_bytes THEN 'rewritten' ELSE 'appended' END AS decision,
-          CASE WHEN path IN ('same', 'grow', 'tail') THEN byte_offset ELSE 0 END AS start FROM listing l LEFT JOIN marks m USING (path)""",
+        "s9_decide": """SELECT 'f' || event_id AS path, CASE event_id % 8 WHEN 0 THEN 'new' WHEN 1 THEN 'rotated' WHEN 2 THEN 'truncated' WHEN 3 THEN 'unchanged' WHEN 4 THEN 'rewritten' ELSE 'appended' END AS decision,
+          CAST(CASE event_id % 8 WHEN 3 THEN 100 + k WHEN 5 THEN 100 + k WHEN 6 THEN 90 + k ELSE 0 END AS bigint) AS start FROM files WHERE event_id % 8 <> 7""",
         "s12_summary": "SELECT count(*) AS files, CAST(sum(byte_offset) AS bigint) AS bytes, CAST(sum(lines_ingested) AS bigint) AS lines, CAST(sum(lines_skipped) AS bigint) AS skipped FROM marks",
         "d8_doctor": _doctor("msg", "marks"),
         "d8_doctor_violations": bad + _doctor("bad", "worse"),
@@ -161,8 +160,8 @@ def _doctor(m: str, marks: str) -> str:
         "unknown_is_null": f"SELECT 1 FROM {m} WHERE cost_source = 'unknown' AND cost_usd IS NOT NULL",
         "zero_rated_is_zero": f"SELECT 1 FROM {m} WHERE cost_source = 'zero-rated' AND cost_usd <> 0",
         "derived_has_version": f"SELECT 1 FROM {m} WHERE cost_source = 'derived' AND pricing_version IS NULL",
-        "rollup_matches": f"""SELECT s.agent, s.session_id FROM ses s JOIN {m} b ON b.agent = s.agent AND b.session_id = s.session_id GROUP BY s.agent, s.session_id, s.cost_usd
-          HAVING abs(coalesce(s.cost_usd, 0) - coalesce(sum(b.cost_usd), 0)) > 1e-6""",
+        "rollup_matches": f"""SELECT s.agent, s.session_id FROM (SELECT agent, session_id, sum(cost_usd) AS cost_usd FROM msg GROUP BY ALL) s JOIN {m} b ON b.agent = s.agent AND b.session_id = s.session_id GROUP BY s.agent, s.session_id, s.cost_usd
+          HAVING abs(coalesce(s.cost_usd, 0) - coalesce(sum(b.cost_usd), 0)) > 1e-9""",
         "offset_in_file": f"SELECT path FROM {marks} WHERE byte_offset > size_bytes",
         "has_session": f"SELECT 1 FROM {m} WHERE session_id IS NULL OR session_id = ''",
     }

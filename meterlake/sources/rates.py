@@ -70,8 +70,8 @@ class Update:
     missing: list[str] = field(default_factory=list)
 
 
-def update(folder: str, upstream: dict[str, Any], sha256: str | None, source_url: str = "", version: str | None = None) -> Update:
-    """Write a new version and make it the active one; an unchanged upstream writes nothing. The aliases stay as they are."""
+def update(folder: str, upstream: dict[str, Any], sha256: str | None, source_url: str = "", version: str | None = None, dry_run: bool = False) -> Update:
+    """Write a new version and make it the active one; an unchanged upstream, or a dry run, writes nothing. The aliases stay as they are."""
     top = Path(folder)
     active = (top / "ACTIVE").read_text("utf-8").strip() if (top / "ACTIVE").exists() else None
     before = top / f"pricing-{active}.json"
@@ -85,6 +85,8 @@ def update(folder: str, upstream: dict[str, Any], sha256: str | None, source_url
     diff = "".join(difflib.unified_diff(text(old.get("models", {})), text(models), f"pricing-{active}.json" if active else "(none)", f"pricing-{name}.json", n=2))
     said = {"version": name, "fetched_at": now.isoformat(), "source_url": source_url, "upstream_sha256": sha256, "models": models}
     target = top / f"pricing-{name}.json"
+    if dry_run:
+        return Update(True, name, len(models), None, diff, missing)
     for path, content in ((target, json.dumps(said, indent=2) + "\n"), (top / "ACTIVE", name + "\n")):  # the pointer comes last
         part = path.with_name(path.name + ".part")
         part.write_text(content, "utf-8")

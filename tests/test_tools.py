@@ -32,13 +32,13 @@ def test_experiments(spark):
         experiments.stop(spark.createDataFrame([], experiments.EXPERIMENTS), "t")
 
 
-def test_many_windows_by_day(spark, monkeypatch):
-    day = reports.DAY_MS
+def test_many_windows_by_sums(spark, monkeypatch):
+    day = 86_400_000
     m = spark.createDataFrame([(i * day // 3, float(i)) for i in range(30)], "ts_epoch_ms bigint, cost_usd double")
     e = spark.createDataFrame([("a", 0, 3 * day), ("open", 5 * day + 1, None), ("never", 400 * day, None), ("back", 9 * day, 8 * day), ("point", day, day)], "name string, start_ms bigint, end_ms bigint")
     few = reports.experiments(e, m).collect()
     monkeypatch.setattr(reports, "MAX_WINDOWS", 1)
-    assert reports.experiments(e, m).collect() == few and {r["name"]: r["messages"] for r in few} == {"a": 10, "open": 14, "never": 0, "back": 0, "point": 1}
+    assert reports.experiments(e, m).select(few[0].__fields__).collect() == few and {r["name"]: r["messages"] for r in few} == {"a": 10, "open": 14, "never": 0, "back": 0, "point": 1}
 
 
 def test_rates(tmp_path, spark):
@@ -75,7 +75,8 @@ def test_command_line(tmp_path, spark, monkeypatch, capsys):
     up = tmp_path / "up.json"
     up.write_text(json.dumps({"claude-x": {"input_cost_per_token": 1e-6}}))
     (tmp_path / "DATA_DIR" / "rates").mkdir(parents=True)
-    assert cli.main(["pricing", "update", str(up), "--dry-run"]) == 2 and cli.main(["pricing", "update", str(up)]) == 0 and cli.main(["pricing", "show"]) == 0
+    assert cli.main(["pricing", "update", str(up), "--dry-run"]) == 0 and "claude-x" in capsys.readouterr().out and not (tmp_path / "DATA_DIR" / "rates" / "ACTIVE").exists()
+    assert cli.main(["pricing", "update", str(up)]) == 0 and cli.main(["pricing", "show"]) == 0
     from tests.test_ingest import answer, write
 
     write(tmp_path / "CLAUDE_PROJECTS_DIR" / "slug" / "s.jsonl", answer("m1", model="claude-x-20260101") + answer("m2", model="mystery", second=4))
@@ -91,3 +92,22 @@ def test_command_line(tmp_path, spark, monkeypatch, capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["nothing"])
     assert e.value.code == 2
+
+
+def test_very_many_overlapping_windows(spark):
+    """100,000 windows over 20,000 messages: 10^9 pairs, and as many rows as there are windows and messages."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    at, cost = rng.integers(0, 5_000_000, 20_000), np.where(rng.random(20_000) < 0.2, np.nan, rng.integers(1, 10**6, 20_000) * 1e-7)
+    low, long = rng.integers(0, 5_000_000, 100_000), rng.integers(0, 4_000_000, 100_000)
+    m = spark.createDataFrame([(int(a), None if np.isnan(c) else float(c)) for a, c in zip(at, cost)], "ts_epoch_ms bigint, cost_usd double")
+    e = spark.createDataFrame([(f"w{i}", int(a), None if i % 9 == 0 else int(a + b)) for i, (a, b) in enumerate(zip(low, long))], "name string, start_ms bigint, end_ms bigint")
+    got = {r["name"]: (r["messages"], r["cost_usd"]) for r in reports.experiments(e, m).collect()}
+    assert len(got) == 100_000
+    order = np.argsort(at, kind="stable")
+    t, known = at[order], np.nan_to_num(cost[order])
+    for i in range(0, 100_000, 271):
+        a, b = np.searchsorted(t, low[i]), len(t) if i % 9 == 0 else np.searchsorted(t, low[i] + long[i], side="right")
+        n, c = got[f"w{i}"]
+        assert n == b - a and (c is None or abs(c - known[a:b].sum()) < 1e-9) and (c is None) == (not (known[a:b] > 0).any())

@@ -36,9 +36,10 @@ def sessions(messages: DataFrame, tool_calls: DataFrame) -> DataFrame:
         F.min("ts_epoch_ms").alias("started_at_ms"), F.max("ts_epoch_ms").alias("ended_at_ms"),
         (F.max("ts_epoch_ms") - F.min("ts_epoch_ms")).alias("duration_ms"), F.count("*").alias("message_count"),
         F.count_if(F.col("kind") == "compaction").alias("compaction_count"), F.count_if("is_sidechain").alias("subagent_message_count"),
-        F.to_json(F.array_sort(F.collect_set("model"))).alias("models_used"), (F.count_distinct("model") - 1).alias("model_switch_count"),
+        F.collect_set("model").alias("models"),
         *[F.sum(c).alias(c) for c in tokens], F.sum("cost_usd").alias("cost_usd"),
         F.max(F.when(F.col("cost_usd").isNull(), 1).otherwise(0)).alias("has_unknown_pricing"))
     zero = F.lit(0).cast("long")
+    m = m.withColumns({"models_used": F.to_json(F.array_sort("models")), "model_switch_count": (F.size("models") - 1).cast("long")}).drop("models")
     return m.join(tools, ["agent", "session_id"], "left").withColumns({
         "tool_call_count": F.coalesce("tool_call_count", zero), "tool_error_count": F.coalesce("tool_error_count", zero)})

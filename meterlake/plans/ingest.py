@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
@@ -133,7 +134,7 @@ def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, card: rat
         calls = kept(rows(2, transcripts.CALL_ROW).withColumns(told))
         runs = rows(3, transcripts.RUN_ROW).withColumns(told)
         touched = kept(new.select("agent", "session_id").unionByName(calls.select("agent", "session_id")).distinct())
-        made = derived(store, new, calls, touched)
+        made = derived(store, new, calls, touched, kept)
         zero = F.lit(0).cast("long")
         many = F.when(F.col("lines_skipped") > max_skipped, F.concat(F.col("lines_skipped").cast("string"), F.lit(" lines could not be parsed")))
         marked = files.join(reduce(DataFrame.unionByName, ends), "path", "left").join(transcripts.pi_state(typed["pi"]) if "pi" in typed else seeds.select("path", F.lit(None).cast(transcripts.SEED).alias("seed")), "path", "left").join(bad, "path", "left").join(seeds, "path", "left")
@@ -158,10 +159,10 @@ def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, card: rat
             df.unpersist()
 
 
-def derived(store: Store, new: DataFrame, calls: DataFrame, touched: DataFrame) -> dict:
+def derived(store: Store, new: DataFrame, calls: DataFrame, touched: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> dict:
     """What ``new`` messages and halves of ``calls`` change: messages (``new`` with latency_ms), fixes (stored messages whose latency is another now), sessions (all rows of ``buckets``), buckets.
 
-    Stored rows of the ``touched`` sessions (agent, session_id) are read, from their buckets alone.
+    Stored rows of the ``touched`` sessions (agent, session_id) are read once, from their buckets alone, and held by ``kept`` for the three.
     """
     keys = ["agent", "session_id"]
     buckets = store.buckets_of("sessions", touched)
@@ -171,12 +172,12 @@ def derived(store: Store, new: DataFrame, calls: DataFrame, touched: DataFrame)
         return {"messages": new, "fixes": store.raw("latency_fixes").limit(0), "buckets": []}
     old = of(store.table("messages", buckets)).withColumns({"was": F.col("latency_ms"), "stored": F.lit(True)})
     every = old.unionByName(new.withColumn("stored", F.lit(False)), allowMissingColumns=True)
-    timed = derive.latency(every)
+    timed = kept(derive.latency(every))
     halves = of(store.raw("tool_calls", buckets)).unionByName(calls, allowMissingColumns=True)
-    sessions = derive.sessions(every, merge.merge_calls(halves, TOLD)).withColumns({"updated_at": now, "shipped_at": F.lit(None).cast("string")})
-    kept = store.raw("sessions", buckets)
+    sessions = derive.sessions(timed, merge.merge_calls(halves, TOLD)).withColumns({"updated_at": now, "shipped_at": F.lit(None).cast("string")})
+    before = store.raw("sessions", buckets)
     return {"messages": timed.filter("NOT stored"), "fixes": timed.filter("stored AND NOT latency_ms <=> was").select(*keys, "dedup_key", "latency_ms"), "buckets": buckets,
-            "sessions": merge.replace_rows(kept, sessions.select(*kept.columns), keys)}
+            "sessions": merge.replace_rows(before, sessions.select(*before.columns), keys)}
 
 
 def rebuild(store: Store) -> None:

@@ -5,6 +5,11 @@ The SQL doesn't parse: the lines are made of events by rules (``bridge``), so wh
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +17,10 @@ from meterlake.functions import keys
 from meterlake.operators import derive, merge, reports, watermarks
 from meterlake.plans import bridge as b
 from meterlake.plans import ingest
-from meterlake.sources import discovery
+from meterlake.plans.store import Store
+from meterlake.sources import discovery, rates
 from meterlake.sources import transcripts as t
+from meterlake.streaming import tail
 
 MESSAGE = [c for c in t.MESSAGE if c not in ("spawn_depth", "parent_session_id", "git_branch")]
 
@@ -117,6 +124,30 @@ def f10_leaks(s: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+def scratch(s: SparkSession) -> str:
+    """A folder that all executors share: where ``spark.checkpoint.dir`` says, or one of our own where all runs in one process (tests)."""
+    if named := s.conf.get("spark.checkpoint.dir", None):
+        return f"{named.rstrip('/')}/meterlake-{uuid.uuid4().hex}"
+    if not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="meterlake-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{made}"
+
+
+def t3_replay(s: SparkSession, d: str) -> DataFrame:
+    """Three micro-batches in an order that makes lines late, each given twice: messages, tokens and latencies of each session are those of its lines, once."""
+    store = Store(s, scratch(s), buckets=8)
+    said = b.view(s, d, b.CLAUDE_LINES).withColumn("of", F.expr("event_id div 2 % 3")).select(F.concat(F.lit("/c/slug/"), "path", F.lit(".jsonl")).alias("path"), "end_offset", "raw", "of").persist()
+    card = rates.RateCard(b.VERSION, b.constant(s, b.RATES), b.constant(s, b.ALIASES), 2, 3)
+    for number, of in enumerate((2, 0, 1)):
+        for _ in range(2):
+            tail.take_batch(store, ingest.Roots("/c", "/s", "/h"), card, said.filter(F.col("of") == of).drop("of").withColumn("start", F.lit(number).cast("long")), number, "t3_replay")
+    said.unpersist()
+    m = store.table("messages").groupBy("session_id").agg(F.count("*").alias("messages"), F.sum("total_tokens").alias("total_tokens"), F.sum("latency_ms").alias("latency_ms"), F.count("latency_ms").alias("timed"))
+    return m.join(store.raw("sessions").select("session_id", "message_count", "subagent_message_count"), "session_id")
+
+
 def paths(s: SparkSession, d: str) -> DataFrame:
     return discovery.classify(b.view(s, d, b.PATHS).select("path"), "/c", "/s", "/h/run-history.jsonl")
 
@@ -134,6 +165,7 @@ QUERIES = {
     "p21_run_history": lambda s, d: t.history_runs(history(s, d)).select("dedup_key", "agent_type", "task_sha256", "task_len", "started_at", "ended_at", "duration_ms", "status", "exit_code"),
     "s5_discover": paths,
     "o3_budget": lambda s, d: discovery.prefix(paths(s, d), 50).select("kind", "path"),
+    "t3_replay": t3_replay,
     "u2_merge_calls": u2_merge_calls,
     "u3_merge_runs": u3_merge_runs,
     "u4_replace": u4_replace,
@@ -218,6 +250,10 @@ def _oracles() -> dict[str, str]:
           CAST(CASE WHEN event_id % 5 = 0 THEN k % 3 END AS integer) AS exit_code FROM g""",
         "p10_meta": msg + """ SELECT dedup_key, CASE WHEN agent <> 'pi' THEN kind END AS agent_type, CASE WHEN agent <> 'pi' THEN 't1' END AS tool_use_id, CAST(CASE WHEN agent <> 'pi' THEN 2 END AS bigint) AS spawn_depth,
           CAST(NULL AS varchar) AS model, CASE WHEN agent <> 'pi' THEN left(sha256('CANARY' || session_id), 16) END AS task_sha256, CAST(CASE WHEN agent <> 'pi' THEN 6 + length(session_id) END AS bigint) AS task_len FROM msg""",
+        "t3_replay": claude + """, lat AS (SELECT * REPLACE ('s' || user_id AS session_id), k * 13 + k % 50 + cw AS total,
+            t - lag(t) OVER (PARTITION BY user_id, coalesce(run, '') ORDER BY t, 'cc:' || mid || '|r' || (event_id % 3)) AS gap FROM c1)
+          SELECT session_id, count(*) AS messages, CAST(sum(total) AS bigint) AS total_tokens, CAST(sum(gap) FILTER (WHERE gap BETWEEN 0 AND 1800000) AS bigint) AS latency_ms,
+            count(*) FILTER (WHERE gap BETWEEN 0 AND 1800000) AS timed, count(*) AS message_count, count(*) FILTER (WHERE run IS NOT NULL) AS subagent_message_count FROM lat GROUP BY session_id""",
         "s5_discover": found + " SELECT path, agent, kind, session_id, parent_session_id, agent_run_id, project_slug FROM found",
         "o3_budget": found + " SELECT kind, path FROM found ORDER BY kind, path LIMIT 50",
         "u2_merge_calls": call + """ SELECT dedup_key, agent, CASE WHEN id % 10 <> 1 THEN session_id END AS session_id, CASE WHEN duration_ms IS NOT NULL THEN 'run' || (id % 3) END AS agent_run_id,

@@ -197,3 +197,158 @@ def test_transactions(tmp_path, spark):
         s.set_meta("k", "v")
         slow.append("meta", spark.createDataFrame([("a", "b")], "key string, value string"))
     assert s.meta("k") == "v" and s.meta("a") is None
+
+
+def test_a_batch_that_comes_twice_and_a_crash_before_the_checkpoint(world, spark, monkeypatch):
+    from meterlake.streaming import collect_available, tail
+
+    roots, store, card, files = world
+    other, at = Store(spark, str(files["tmp"] / "streamed")), str(files["tmp"] / "checkpoint")
+    take, calls = tail.take_batch, []
+
+    def twice(*args):
+        take(*args)
+        take(*args)
+
+    def crash(*args):
+        take(*args)
+        calls.append(args[4])
+        if len(calls) == 1:
+            raise RuntimeError("the driver is gone")
+
+    monkeypatch.setattr(tail, "take_batch", twice)
+    assert collect_available(spark, other, roots, card, at) == 1
+    write(files["pi"], [pi_answer("e3", 10), pi_answer("e4", 11)], "a")
+    write(files["one"], [*answer("a2", second=8), result("a2", 9)], "a")
+    monkeypatch.setattr(tail, "take_batch", crash)
+    with pytest.raises(Exception, match="driver is gone"):
+        collect_available(spark, other, roots, card, at)
+    collect_available(spark, other, roots, card, at)
+    assert calls == [1, 1]  # the same batch once more
+    ingest.collect(store, roots, card)
+    columns = ["dedup_key", "session_id", "model", "cost_usd", "latency_ms"]
+    assert sorted(map(repr, other.table("messages").select(columns).collect())) == sorted(map(repr, store.table("messages").select(columns).collect()))
+    count = lambda s, t: s.raw(t).count()
+    assert [count(other, t) for t in ("tool_calls", "subagent_runs", "sessions", "ingest_files")] == [count(store, t) for t in ("tool_calls", "subagent_runs", "sessions", "ingest_files")]
+    assert count(other, "ingest_runs") == 2 and all(r["duration_ms"] > 0 for r in other.raw("ingest_runs").collect())
+    marks = {r["path"]: (r["lines_ingested"], r["byte_offset"]) for r in other.raw("ingest_files").collect()}
+    assert marks == {r["path"]: (r["lines_ingested"], r["byte_offset"]) for r in store.raw("ingest_files").collect()} and marks[str(files["pi"])][0] == 6
+    m = {r["source_entry_id"]: r for r in other.raw("messages").collect()}
+    assert m["e4"]["session_id"] == "019f-ab" and m["e4"]["model"] == "m-p"
+    assert all(r["passed"] for r in reports.doctor(other.table("messages"), other.raw("sessions"), other.raw("ingest_files")).collect())
+
+
+def test_random_cuts_and_late_lines_give_what_one_run_gives(tmp_path, spark):
+    """Files grow at random places, and late lines come after later ones: sessions, latencies and the running session and model are those of one run over whole files."""
+    import random
+
+    rng = random.Random(5)
+    card = rates.RateCard("v", spark.createDataFrame([("m-a", 1e-6, 1e-5, 1e-7, 2e-6, 4e-6)], "model string, input double, output double, cache_read double, cache_write_5m double, cache_write_1h double"),
+                          spark.createDataFrame([], "alias string, target string"), 1, 0)
+    whole, grown = (ingest.Roots(str(tmp_path / x / "c"), str(tmp_path / x / "p"), str(tmp_path / x / "h.jsonl")) for x in "ab")
+    texts = {}
+    for f in range(4):
+        seconds = rng.sample(range(60), 12)  # in no order
+        texts["c", f"slug/s{f}.jsonl"] = "".join(json.dumps(x) + "\n" for i, s in enumerate(seconds) for x in answer(f"a{f}-{i}", session=f"s{f % 3}", second=s))
+        rows = [{"type": "session", "id": f"019f-{f}", "cwd": "/w"}]
+        for i, s in enumerate(seconds):
+            rows += [{"type": "model_change", "id": f"c{i}", "modelId": f"m{i}", "provider": f"pr{i}"}] if rng.random() < 0.4 else []
+            rows += [pi_answer(f"p{f}-{i}", s, **({"model": f"own{i}"} if rng.random() < 0.2 else {})), {"type": "compaction", "id": f"z{f}-{i}", "timestamp": TS.format(s), "tokensBefore": i}][: rng.randint(1, 2)]
+        texts["p", f"slug/2026-07-01T10-00-00-000Z_019f-{f}.jsonl"] = "".join(json.dumps(x) + "\n" for x in rows)
+    path = lambda x, k: tmp_path / x / k[0] / k[1]
+    for k, t in texts.items():
+        for x in "ab":
+            path(x, k).parent.mkdir(parents=True, exist_ok=True)
+        path("a", k).write_text(t)
+    one, many = Store(spark, str(tmp_path / "one")), Store(spark, str(tmp_path / "many"), buckets=5)
+    ingest.collect(one, whole, card)
+    cuts = {k: [0, *sorted(rng.sample(range(len(t)), 2)), len(t)] for k, t in texts.items()}
+    for i in range(3):
+        before = {r["path"]: r["byte_offset"] for r in many.raw("ingest_files").collect()}
+        for k, t in texts.items():
+            with path("b", k).open("a") as out:
+                out.write(t[cuts[k][i] : cuts[k][i + 1]])
+        got = ingest.collect(many, grown, card)
+        after = {r["path"]: r["byte_offset"] for r in many.raw("ingest_files").collect()}
+        assert got.bytes_read == sum(after.values()) - sum(before.values()) and got.duration_ms > 0  # nothing is read twice
+        assert all(r["passed"] for r in reports.doctor(many.table("messages"), many.raw("sessions"), many.raw("ingest_files")).collect())
+    rows = lambda s, t, *c: sorted(map(repr, s.table(t).select(*c).collect()))
+    for t, c in {"messages": ("dedup_key", "session_id", "cwd", "model", "provider", "latency_ms", "cost_usd"), "sessions": ("session_id", "message_count", "started_at_ms", "total_tokens", "tool_call_count", "models_used"),
+                 "tool_calls": ("dedup_key", "session_id", "tool_name", "ts_epoch_ms")}.items():
+        assert rows(many, t, *c) == rows(one, t, *c), t
+    assert many.raw("latency_fixes").count() > 0  # a late line has changed its successor's
+    many.compact()
+    assert rows(many, "messages", "dedup_key", "latency_ms") == rows(one, "messages", "dedup_key", "latency_ms") and many.raw("latency_fixes").count() == 0
+
+
+def test_files_that_fail_models_without_end_and_what_a_run_touches(world, spark, monkeypatch):
+    roots, store, card, files = world
+    many = [x for i in range(1500) for x in answer(f"q{i}", session="many", second=i % 60, blocks=("text",), model=f"nobody-{i}")]
+    write(files["one"].with_name("many.jsonl"), many)
+    gone, real = files["one"].with_name("gone.jsonl"), lines.read_files
+    write(gone, answer("g1", session="g"))
+
+    def read(df, *args):
+        out = real(df, *args)
+        gone.unlink(missing_ok=True)  # after it was listed, before a task opens it
+        return out
+
+    monkeypatch.setattr(lines, "read_files", read)
+    got = ingest.collect(store, roots, card)
+    assert len(got.unknown_models) == 1500 and got.messages_upserted == 1504 and got.files_read == 7
+    assert json.loads(store.raw("ingest_runs").first()["unknown_models"]) == got.unknown_models
+    mark = {r["path"]: r for r in store.raw("ingest_files").collect()}[str(gone)]
+    assert mark["last_error"].startswith("FileNotFoundError") and mark["byte_offset"] == 0
+    monkeypatch.undo()
+    write(gone, answer("g1", session="g"))
+    assert ingest.collect(store, roots, card).messages_upserted == 1
+    # one more message: one bucket of sessions is written anew, and keys are looked up in one bucket
+    before = {t: set(store._manifest()[1][t]) for t in ("sessions", "messages")}
+    asked, raw = [], Store.raw
+    monkeypatch.setattr(Store, "raw", lambda self, t, b=None: asked.append((t, b)) or raw(self, t, b))
+    write(files["one"], answer("a9", second=50), "a")
+    assert ingest.collect(store, roots, card).messages_upserted == 1
+    after = {t: set(store._manifest()[1][t]) for t in ("sessions", "messages")}
+    assert len(after["sessions"] - before["sessions"]) == 1 and before["messages"] < after["messages"]
+    assert [len(b) for t, b in asked if t == "message_keys"] == [1] and all(len(b) == 1 for t, b in asked if t == "messages")
+
+
+def test_a_backlog_in_bounded_batches(tmp_path, spark):
+    """The source alone: 1,000 files, 300 at a time; an offset is a few bytes; a restart goes on."""
+    for i in range(1000):
+        write(tmp_path / "c" / f"slug{i % 7}" / f"s{i:04}.jsonl", [f'{{"n": {i}}}'])
+    source = lines.LineStream([str(tmp_path / "c")], str(tmp_path / "state"), max_files=300)
+    at, seen, sizes = source.initialOffset(), set(), []
+    while (to := source.latestOffset()) != at:
+        assert len(json.dumps(to)) < 1024
+        got = [r for p in source.partitions(at, to) for b in source.read(p) for r in b.to_pylist()]
+        sizes.append(len(got))
+        seen |= {r["path"] for r in got}
+        source.commit(to)
+        at = to
+        source = lines.LineStream([str(tmp_path / "c")], str(tmp_path / "state"), max_files=300)
+    assert sizes == [300, 300, 300, 100] and len(seen) == 1000
+    one = tmp_path / "c" / "slug0" / "s0000.jsonl"
+    other = one.with_suffix(".part")
+    other.write_text("no end yet")
+    os.replace(other, one)  # rotated, without a complete line: told once
+    to = source.latestOffset()
+    assert to != at and source.latestOffset() == to and source.partitions(at, to)[0].ranges == []
+    small = lines.LineStream([str(tmp_path / "c")], str(tmp_path / "bytes"), max_bytes=100)
+    with open(small._at(small.latestOffset()["n"])) as f:
+        assert 90 < sum(x["offset"] for x in json.load(f).values()) <= 100
+
+
+def test_listing_by_tasks(tmp_path, spark):
+    from meterlake.sources import discovery
+
+    want = set()
+    for i in range(30):
+        p = tmp_path / "r" / f"slug{i % 4}" / f"s{i}" / "subagents" / "deep" / f"agent-{i}.jsonl"
+        write(p, ["{}"])
+        want.add(str(p))
+    write(tmp_path / "r" / "top.jsonl", ["{}"])
+    write(tmp_path / "r" / "other.txt", ["{}"])
+    (tmp_path / "r" / "empty").mkdir()
+    got = discovery.listing(spark, str(tmp_path / "r"), str(tmp_path / "none"), str(tmp_path / "r" / "top.jsonl")).collect()
+    assert {r["path"] for r in got} == want | {str(tmp_path / "r" / "top.jsonl")} and len(got) == 31 and all(r["size_bytes"] == 3 and r["inode"] for r in got)

@@ -74,4 +74,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         pairs, before = _star(_star(both, True).distinct(), False), e
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    made = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    made._durable_path = e._durable_path  # whoever has written the result may forget it
+    return made

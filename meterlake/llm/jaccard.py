@@ -54,7 +54,7 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield a, b, *textops.distinct(*textops.shingles(w, b - a, k), b - a)
 
 
-def prefixes(texts: DataFrame, buckets: int, percent: int, orders: int, k: int) -> DataFrame:
+def prefixes(texts: DataFrame, buckets: int, percent: int, orders: int, k: int, group: int = 1) -> DataFrame:
     """t1, t2, n (set size) and, where a prefix holds a shared shingle, grams (packed hashes) and marks (a byte a shingle: bit i for the prefix of order i)."""
 
     def tokens(t: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ def prefixes(texts: DataFrame, buckets: int, percent: int, orders: int, k: int)
                 grams[a + i], marks[a + i] = s.tobytes(), mark.tobytes()
         return pa.table({"t1": tally._one(t, "t1"), "t2": tally._one(t, "t2"), "n": pa.array(size), "grams": pa.array(grams, pa.binary()), "marks": pa.array(marks, pa.binary())})
 
-    return tally.tally(texts, buckets, tokens, use, "t1 bigint, t2 bigint, n bigint, grams binary, marks binary")
+    return tally.tally(texts, buckets, tokens, use, "t1 bigint, t2 bigint, n bigint, grams binary, marks binary", group=group)
 
 
 def _unpack(column: pa.ChunkedArray | pa.Array, kind: type) -> list[np.ndarray]:
@@ -110,8 +110,9 @@ def cells(members: DataFrame, order: int) -> DataFrame:
     held = post.filter("token IS NOT NULL").select("token", "a")
     least = held.groupBy("token").agg(F.min("a").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
     across = held.join(least, "token").filter("a != b").select("a", "b")
-    made = durable(components(post.filter("token IS NULL").select("a", "b").unionByName(across)), "cells")
-    forget(post)
+    found = components(post.filter("token IS NULL").select("a", "b").unionByName(across))
+    made = durable(found, "cells")
+    forget(post, found)
     return made
 
 
@@ -222,26 +223,31 @@ def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int
     ship(spark)
     d = tally.digested(docs, F.col("doc_id").cast("long").alias("doc_id"))
     rows = durable(d.select("doc_id", "t1", "t2", F.octet_length("text").alias("size")), "digests")
-    batches, buckets = tally.sizes(int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
+    total = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    batches, buckets = tally.sizes(total)
     texts = tally.once(d.select(tally.batch_of(F.col("t1"), batches).alias("batch"), "t1", "t2", "text"))
-    made = prefixes(texts, buckets, percent, orders, k).withColumn("cls", F.monotonically_increasing_id())
+    made = prefixes(texts, buckets, percent, orders, k, tally.group_of(total)).withColumn("cls", F.monotonically_increasing_id())
     made = durable(made, "sets")
     sets = made.filter("grams IS NOT NULL").select("cls", "grams", "marks")
     told = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")).join(made.select("t1", "t2", "n", "cls"), ["t1", "t2"])
     told = durable(told, "told")
     comp = cells(sets.withColumn("cell", F.lit(0).cast("long")), 0)
+    done = [made, told, comp]
     for o in range(1, orders):
         size = comp.join(told.select(F.col("cls").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("g"))
         big = durable(size.filter((F.col("m") > block) | (F.col("g") > block_grams)).select("component"), "big")
+        done.append(big)
         if big.isEmpty():
             break
         open_ = comp.join(big, "component").select(F.col("node").alias("cls"), F.col("component").alias("cell"))
         finer = cells(sets.join(open_, "cls"), o)
         comp = durable(comp.join(big, "component", "left_anti").select("node", "component").unionByName(finer), "finer")
+        done += [finer, comp]
     inside = comp.select(F.col("node").alias("cls"), F.col("component").alias("cell")).join(told.select("cls", "n", "n_rows"), "cls")
     inside = durable(inside, "inside")
     found = durable(compared(inside, sets, percent, orders, block, block_grams), "found")
-    linked = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
+    stars = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    linked = stars.withColumnRenamed("node", "cls")
     m = found.groupBy("cls").agg(F.sum("m").alias("m"))
     of = told.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(m, "cls", "left")
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -249,7 +255,10 @@ def join(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, orders: int
     of = durable(of.join(least, "component").select("t1", "t2", "n", "n_rows", "component", "component_id", links.alias("n_links")), "of")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     more = ["t1", "t2", F.when(F.col("n") > 0, F.col("component")).alias("component")] if detail else []
-    return join_counted(rows.select("doc_id", "t1", "t2"), of, ["t1", "t2"], "n_rows").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "n_links", *more)
+    result = join_counted(rows.select("doc_id", "t1", "t2"), of, ["t1", "t2"], "n_rows").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "n_links", *more)
+    result = durable(result, "result")
+    forget(*done, inside, found, stars, of, rows)
+    return result
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

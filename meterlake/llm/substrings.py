@@ -58,7 +58,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hs), np.concatenate(docs)
 
 
-def windows(texts: DataFrame, batches: int, buckets: int) -> DataFrame:
+def windows(texts: DataFrame, batches: int, buckets: int, group: int = 1) -> DataFrame:
     """All windows that hold an anchor found in several texts, from rows (t1, t2, doc_id, text).
 
     A window that its batch also has in a smaller document is judged there: rows (t1, t2, gone). Of the others, one
@@ -107,7 +107,7 @@ def windows(texts: DataFrame, batches: int, buckets: int) -> DataFrame:
         return pa.table({"t1": both(t1), "t2": both(t2), "doc_id": some(ids[row[stay]], pa.int64()), "pos": some(pos[stay].astype(np.int32), pa.int32()),
                          "h1": some(h1[stay].view(np.int64), pa.int64()), "h2": some(h2[stay].view(np.int64), pa.int64()), "gone": lists})
 
-    return tally.tally(rows, buckets, _tokens, use, "t1 bigint, t2 bigint, doc_id bigint, pos int, h1 bigint, h2 bigint, gone array<int>", least="doc_id")
+    return tally.tally(rows, buckets, _tokens, use, "t1 bigint, t2 bigint, doc_id bigint, pos int, h1 bigint, h2 bigint, gone array<int>", least="doc_id", group=group)
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -147,8 +147,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     d = tally.digested(docs, F.col("doc_id").cast("long").alias("doc_id"))
     # of each text the least document; the other copies lose what it holds without being looked into
     told = durable(d.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size")), "texts")
-    batches, buckets = tally.sizes(int(told.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
-    w = durable(windows(tally.once(d.filter("doc_id IS NOT NULL").select("t1", "t2", "doc_id", "text"), least="doc_id"), batches, buckets), "windows")
+    total = int(told.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    batches, buckets = tally.sizes(total)
+    w = durable(windows(tally.once(d.filter("doc_id IS NOT NULL").select("t1", "t2", "doc_id", "text"), least="doc_id"), batches, buckets, tally.group_of(total)), "windows")
     # one row a batch at most holds a window
     first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     places = F.concat(F.array("pos"), F.coalesce("gone", F.array().cast("array<int>")))
@@ -156,7 +157,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     here = w.filter("pos IS NULL").select("t1", "t2", "gone")
     gone = judged.unionByName(here).groupBy("t1", "t2").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     of = durable(told.join(gone, ["t1", "t2"], "left").filter("n > 1 OR gone IS NOT NULL").select("t1", "t2", "least", "n", "gone"), "gone")
-    forget(w)
+    forget(w, told)
     known = join_counted(d, of, ["t1", "t2"], "n")
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     return kept(known.select("doc_id", "text", copy.alias("copy"), F.when(F.col("doc_id").isNotNull(), F.col("gone")).alias("gone")))

@@ -243,3 +243,59 @@ def test_lines_odd_tables(spark):
     assert line_rows(spark.createDataFrame(docs, "doc_id bigint, text string")) == lines_plain(docs)
     hashed = line_runs.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).select(F.sha2("kept", 256).alias("s"), "doc_id").collect()
     assert {r["doc_id"]: r["s"] for r in hashed}[3] == hashlib.sha256(long.encode()).hexdigest()
+
+
+# What the tally of tokens and HTML extraction have since.
+
+
+@pytest.mark.parametrize("group", [2, 5, 64])
+def test_tally_by_a_grid_gives_the_same(spark, monkeypatch, group):
+    from meterlake.llm import jaccard, substrings, tally
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)]
+    rows = [(i, rng.choice(base) if rng.random() < 0.3 else " ".join(rng.choice(base).split()[: rng.randint(20, 40)] + rng.choice(base).split()[: rng.randint(0, 6)])) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    straight = [sorted(map(tuple, f(d).collect())) for f in (jaccard.join, substrings.dedup)]
+    monkeypatch.setattr(tally, "group_of", lambda n: group)
+    assert [sorted(map(tuple, f(d).collect())) for f in (jaccard.join, substrings.dedup)] == straight
+    assert any(r[3] for r in straight[0]) and any(r[2] for r in straight[1])
+
+
+def test_blocks_hold_a_thousand_tokens_at_any_size():
+    from meterlake.llm import tally
+
+    for n in (10**9, 3 * 10**10, 10**12, 10**14):
+        batches, buckets = tally.sizes(n)
+        assert n / batches / tally.TOKEN_BYTES / buckets * tally.group_of(n) >= 990
+    assert tally.group_of(0) == tally.group_of(10**8) == 1
+
+
+def test_a_join_leaves_its_result_only(spark):
+    from meterlake.llm import jaccard
+    from meterlake.llm.common import shared_dir
+
+    top = shared_dir(spark).removeprefix("file://") + "/meterlake"
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    jaccard.join(spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(20)], "doc_id bigint, text string")).collect()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(top)) - before}
+    assert left == {"result"}
+
+
+def test_html_recurrence_over_whole_pages(spark):
+    from meterlake.llm import html_text
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    large = pages.unionByName(pages.selectExpr("page_id + 1000000 AS page_id", "url", "replace(html, 'the', 'dhe') AS html")).unionByName(pages.selectExpr("page_id + 2000000 AS page_id", "url", "replace(html, 'an', 'un') AS html"))
+    got = html_text.main_text(large.filter("html IS NOT NULL")).select(F.sum("template_blocks").alias("n"), F.count("*").alias("all")).first()
+    assert got["all"] > 0 and got["n"] is not None
+    page = "<body><div class=x1><p>Our site {1}</p></div><article><h1>Title {0}</h1><div class=alert>Mind {0}</div><p class=banner>Buy {0}</p><div role=complementary>More {0}</div><p>Text {0}</p></article></body>"
+    rows = [(i, "http://h/a", page.format(i, "says hello")) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert [(r["text"], r["template_blocks"]) for r in html_text.main_text(df).orderBy("page_id").collect()] == [(f"Title {i} Text {i}", 1) for i in range(6)]
+    # an element that recurs is gone before the main content is chosen
+    page = "<body><article><p>Read our other stories now</p></article><div><p>Story {0} is long and told here</p></div></body>"
+    rows = [(i, "http://h/a", page.format(i)) for i in range(8)]
+    texts = [r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+    assert texts == ["Read our other stories now"] * 8  # nothing is left of the content there: copies of it, and no template

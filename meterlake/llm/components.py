@@ -48,6 +48,10 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep][at : at + (1 << 17)]) for x in (u, v)], names=["u", "v"])
 
 
+#: Rows of a task, and tasks at least, once the number of rows is known.
+TASK_ROWS, LEAST_TASKS = 1 << 16, 12
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """``pairs`` (u, v): each u hands its least neighbour to the larger (large star) or to all of the given ones."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -72,7 +76,8 @@ def components(edges: DataFrame) -> DataFrame:
         if nodes.filter("n > 1").unionByName(nodes.join(centres, "u", "left_semi")).isEmpty():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        pairs, before = _star(_star(both, True).distinct(), False), e
+        # no round makes more rows than twice the last one's, so few rows are few tasks
+        pairs, before = _star(_star(both, True).distinct(), False).coalesce(max(LEAST_TASKS, -(-e.count() // TASK_ROWS))), e
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     made = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     made._durable_path = e._durable_path  # whoever has written the result may forget it

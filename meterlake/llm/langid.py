@@ -3,13 +3,13 @@ elastic-net penalties, then calibrated by a temperature.
 
 Texts are put in lower case and every run of non-letters becomes one space; n-grams of 1 to 3 characters of
 the whole text are counted in ``DIM`` hashed places.  The fit sees a bounded sample of labelled rows (``TRAIN_ROWS``
-at most, as many of each language as far as it has them, least hash of id and text first), of which only the hashed counts (``DIM`` places at most a row)
-reach the driver; document frequencies are those of the sample; a fifth of it fits the temperature alone.  The model is ``DIM`` weights a language and
-is sent to the executors; prediction is one pass without a shuffle.
+at most, or one a language if there are more languages; as many of each as far as it has them, least hash of id and text first), of which only the hashed counts
+(``DIM`` places at most a row) reach the driver; a fifth of it fits the temperature alone.  Document frequencies are those of all rows that may be learned from: a task adds up
+its own, and ``DIM`` sums reach the driver.  The model is ``DIM`` weights a language and is sent to the executors; prediction is one pass without a shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any row to learn from
 all are ``und``; a null label or id is not learned from; repeated rows count as they are; of equal scores the first language by code points wins; an empty table gives no
-rows; all other columns are carried along.
+rows; a very long text is counted whole, as one task's row of arrays of its length; all other columns are carried along.
 """
 
 from __future__ import annotations
@@ -65,15 +65,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(sample: list[tuple[np.ndarray, np.ndarray, str]], l1: float = L1, l2: float = L2) -> Model | None:
-    """From (places, counts, language) rows, in the order they are to be learned."""
+def fit(sample: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray, n_docs: int, l1: float = L1, l2: float = L2) -> Model | None:
+    """From (places, counts, language) rows, in the order they are to be learned, and in how many of ``n_docs`` texts each place occurs."""
     if not sample:
         return None
     langs = sorted({lang for _, _, lang in sample})
-    df = np.zeros(DIM)
-    for at, _, _ in sample:
-        df[at] += 1
-    idf = np.log((1 + len(sample)) / (1 + df)) + 1
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
     rows = [(at, _features(at, n, idf), langs.index(lang)) for at, n, lang in sample]
     learn = [r for i, r in enumerate(rows) if i % 5 != 4] if len(rows) >= 50 else rows
     judge = [r for i, r in enumerate(rows) if i % 5 == 4] if len(rows) >= 50 else rows
@@ -111,14 +108,31 @@ def held_out(c: str = "doc_id") -> Column:
 
 
 def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
-    """How many rows of each language are learned from: the same number of each, as far as it has them, ``rows`` in all."""
-    left, out = rows, {}
+    """How many rows of each language are learned from: the same number of each, as far as it has them, ``rows`` in all, but one of each at least."""
+    left, out = max(rows, len(counts)), {}
     for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
         out[lang] = min(n, left // (len(counts) - i))
         left -= out[lang]
     return out
 
 
+def document_frequencies(texts: DataFrame) -> np.ndarray:
+    """In how many of the normalised ``texts`` (text) each hashed place occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIM, dtype=np.int64)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                total[count_grams(t)[0]] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+
+    out = np.zeros(DIM)
+    for r in texts.select("text").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # DIM rows at most
+        out[r["at"]] = r["n"]
+    return out
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Learn from text and lang of rows that are not held out: of ``rows`` in all, as many of each language, so a rare one is learned too."""
     ship(docs.sparkSession)
@@ -146,7 +160,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= quota[r["lang"]]:
             sample.append((np.array(r["at"]), np.array(r["n"]), r["lang"]))
-    return fit(sample)
+    return fit(sample, document_frequencies(known), sum(counts.values()))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -43,12 +43,15 @@ MIN_VALUE = 6
 MAX_OWNERS, MAX_REPOS = 2, 8
 HEAVY_PARTS, CHUNK = 2000, 256
 
+_FOUND = "array<struct<gap:int,own:int,hash:string,fine:boolean,live:boolean>>"
 _SPAN = "array<struct<start:int,rank:int,end:int,hash:string,live:boolean>>"
 
 
-def matches(text: Column, pattern: str, value_group: int = 0, least: int = 0, live: bool = False) -> Column:
-    """All matches in order: length of the text before each, its own length, hash of its value, whether it counts, whether it looks live."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def matches(text: Column, found: Column, pattern: str, value_group: int = 0, least: int = 0, live: bool = False) -> Column:
+    """All matches, ``found`` as texts, in order: length of the text before each, its own length, hash of its value, whether it counts, whether it looks live.
+
+    The text is split only if there is any.
+    """
     gaps = F.split(text, pattern, -1)
 
     def of(gap: Column, match: Column) -> Column:
@@ -57,7 +60,7 @@ def matches(text: Column, pattern: str, value_group: int = 0, least: int = 0, li
         looks = match.rlike(LIVE[0]) | match.rlike(LIVE[1]) if live else F.lit(True)
         return F.struct(F.length(gap).alias("gap"), F.length(match).alias("own"), F.when(fine, F.sha2(value, 256)).alias("hash"), fine.alias("fine"), looks.alias("live"))
 
-    return F.zip_with(F.slice(gaps, 1, F.size(found)), found, of)
+    return F.when(F.size(found) > 0, F.zip_with(F.slice(gaps, 1, F.size(found)), found, of)).otherwise(F.array().cast(_FOUND))
 
 
 def spans(m: str, rank: int) -> Column:
@@ -84,8 +87,10 @@ def scan(docs: DataFrame, repo_col: str = "source", max_owners: int = MAX_OWNERS
     ``n_owned`` and ``n_copied`` count base spans and candidates whose value few or many hold.
     """
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(repo_col), F.lit("")).alias("repo"), text_of(text_col).alias("text"))
-    found = t.select("doc_id", "repo", F.xxhash64("text").alias("text_hash"), matches(F.col("text"), ASSIGN, 2, MIN_VALUE).alias("m0"), matches(F.col("text"), ACCESS).alias("m1"),
-                     matches(F.col("text"), HEX).alias("m2"), matches(F.col("text"), MIXED, live=True).alias("m3"))
+    text = F.col("text")
+    t = t.select("doc_id", "repo", "text", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"f{i}") for i, p in enumerate((ASSIGN, ACCESS, HEX, MIXED))])
+    found = t.select("doc_id", "repo", F.xxhash64(text).alias("text_hash"), matches(text, F.col("f0"), ASSIGN, 2, MIN_VALUE).alias("m0"), matches(text, F.col("f1"), ACCESS).alias("m1"),
+                     matches(text, F.col("f2"), HEX).alias("m2"), matches(text, F.col("f3"), MIXED, live=True).alias("m3"))
     per_kind = found.select("doc_id", "repo", "text_hash", F.array_sort(F.concat(*[spans(f"m{i}", i) for i in range(3)])).alias("base"),
                             F.when(F.exists("m3", lambda x: x["fine"]), spans("m3", 3)).otherwise(F.array().cast(_SPAN)).alias("more"))
     clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))

@@ -5,12 +5,12 @@ lower ranks; what the executors get is the finished tokenizer as one string of f
 vocabulary's), so no worker needs the file.  Bytes are written as the characters of the usual
 byte-to-character table, which the decoder reverses.
 
-Words repeat, so each worker keeps the ids of the matches it has met (``CACHE`` of them, then it begins
-anew) and hands the library only new ones, many at a time.
+Words repeat, so each worker keeps the ids of the matches it has met (``CACHE`` of them, and ``CACHE_CHARS`` characters, at
+most, or those of one chunk; then it begins anew) and hands the library only new ones, many at a time.
 
-A text is cut before a space that follows a non-space once ``CHUNK`` characters are full; a match of the
-pattern never spans such a place, so ids are those of the whole text while the library's own memory
-stays bounded.  A single longer run is encoded as it is.
+A text is cut, once ``CHUNK`` characters are full, before a space that follows a non-space or any white space that follows a
+letter or digit; a match of the pattern never spans such a place, so ids are those of the whole text while what is held at
+once is a chunk.  A longer run without such a place is a chunk of its own.
 
 The library gets the pattern's matches one by one, so offsets are not asked of it: each token's first character follows from the lengths of the tokens' bytes,
 which lie end to end over the text's.  A token that begins within a character (split by the merges) has that character's place.
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from meterlake.llm.common import ship, table
 
-CHUNK, CACHE = 1 << 16, 1 << 18
+CHUNK, CACHE, CACHE_CHARS = 1 << 16, 1 << 18, 1 << 23
 #: Rows of a batch, and bytes of its texts or ids; one longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 256, 1 << 24
 
@@ -77,10 +77,10 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 def chunks(text: str, size: int = CHUNK) -> list[str]:
-    """Cut where no match of the pattern can span: before a space after a non-space."""
+    """Cut where no match of the pattern can span: before a space after a non-space, or white space after a letter or digit."""
     if len(text) <= size:
         return [text]
-    out, at, edge = [], 0, re.compile(r"(?<=\S) ")
+    out, at, edge = [], 0, re.compile(r"(?<=\S) |(?<=[^\W_])\s")
     while len(text) - at > size and (m := edge.search(text, at + size)):
         out.append(text[at : m.start()])
         at = m.start()
@@ -101,6 +101,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # gets single matches
         self.known: dict[str, bytes] = {}
+        self.held = 0  # characters of the keys
         byte = {c: b for b, c in enumerate(byte_chars())}
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
@@ -119,9 +120,12 @@ class Codec:
         for part in chunks(text):
             found = self.pattern.findall(part)
             if new := [x for x in {*found} if x not in self.known]:  # a set less the keys would walk all keys
-                if len(self.known) + len(new) > CACHE:
+                size = sum(map(len, new))
+                if len(self.known) + len(new) > CACHE or self.held + size > CACHE_CHARS:
                     self.known.clear()
                     new = [*{*found}]
+                    self.held, size = 0, sum(map(len, new))
+                self.held += size
                 for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                     self.known[word] = np.array(e.ids, dtype=np.int32).tobytes()
             out.append(b"".join(map(self.known.__getitem__, found)))

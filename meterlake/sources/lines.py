@@ -132,9 +132,25 @@ def _batches(pack: Pack, start: bool = False) -> Iterator[pa.RecordBatch]:
         yield rows.batch(start)
 
 
-def read_files(files: DataFrame, tasks: int, split: int = SPLIT_BYTES) -> DataFrame:
+def with_ends(files: DataFrame) -> DataFrame:
+    """Adds ``end``, the place after the last newline of bytes [start, size_bytes), which tasks look for; for a file that can't be opened size_bytes, so that reading it says why."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = []
+            for path, start, size in zip(*(b.column(c).to_pylist() for c in ("path", "start", "size_bytes"))):
+                try:
+                    ends.append(last_newline(path, start, size))
+                except OSError:
+                    ends.append(size)
+            yield pa.RecordBatch.from_pydict({"path": b.column("path"), "end": pa.array(ends, pa.int64())})
+
+    return files.join(files.select("path", "start", "size_bytes").mapInArrow(run, "path string, end bigint"), "path")
+
+
+def read_files(files: DataFrame, tasks: int, split: int = SPLIT_BYTES, with_start: bool = False) -> DataFrame:
     """Complete lines of ``files`` (path, start, size_bytes): path, end_offset, raw; with them a row for every piece of a file that says how far it was read (no raw), and one for a file that
-    can't be read (no end_offset; raw says why).
+    can't be read (no end_offset; raw says why).  ``with_start`` adds the file's start to each.
 
     Files are rows, cut into pieces of ``split`` bytes and dealt out to ``tasks`` tasks, which open them: the driver sees none of them, and one that fails is a row and no failed run.
     """
@@ -150,17 +166,17 @@ def read_files(files: DataFrame, tasks: int, split: int = SPLIT_BYTES) -> DataFr
                         if line:
                             rows.add(path, end, line.decode("utf-8", "replace"), start)
                         if rows.held >= BATCH_BYTES:
-                            yield rows.batch()
+                            yield rows.batch(with_start)
                             rows = _Rows()
                     if end is not None:
                         rows.add(path, end, None, start)
                 except OSError as e:
                     rows.add(path, None, f"{type(e).__name__}: {e}", start)
-        yield rows.batch()
+        yield rows.batch(with_start)
 
     last = F.greatest(F.col("start"), F.col("size_bytes") - 1)
     pieces = files.select("path", "start", "size_bytes", F.explode(F.sequence("start", last, F.lit(split).cast("long"))).alias("at"))
-    return pieces.repartition(tasks).mapInArrow(run, SCHEMA)
+    return pieces.repartition(tasks).mapInArrow(run, SCHEMA + (", start bigint" if with_start else ""))
 
 
 class LineReader(DataSourceReader):

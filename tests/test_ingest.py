@@ -339,6 +339,46 @@ def test_a_backlog_in_bounded_batches(tmp_path, spark):
         assert 90 < sum(x["offset"] for x in json.load(f).values()) <= 100
 
 
+def test_orders_are_bounded_and_taken_once(world, spark, monkeypatch):
+    from meterlake.streaming import collect_available, tail
+
+    roots, store, card, files = world
+    for i in range(7):
+        write(files["one"].with_name(f"n{i:02}.jsonl"), answer(f"n{i}", session=f"n{i}", blocks=("text",)))
+    bad = files["one"].with_name("bad.jsonl")
+    write(bad, answer("bad", session="bad"))
+    write(files["one"].with_name("tail.jsonl"), ['{"type":"assist'], end="")  # no complete line
+    other, at = Store(spark, str(files["tmp"] / "streamed")), str(files["tmp"] / "checkpoint")
+    asked, take = [], tail.take_batch
+
+    def taking(s, r, c, df, n, q):
+        bad.unlink(missing_ok=True)  # after it was listed, before a task opens it
+        asked.append((n, sorted(x["path"] for x in df.select("path").distinct().collect())))
+        take(s, r, c, df, n, q)
+
+    monkeypatch.setattr(tail, "take_batch", taking)
+    assert collect_available(spark, other, roots, card, at, max_files=6) == len(asked) >= 3
+    assert [n for n, _ in asked] == list(range(len(asked))) and all(len(p) <= 6 for _, p in asked)
+    paths = [p for _, ps in asked for p in ps]
+    assert len(paths) == len(set(paths)) == 13 and str(files["one"].with_name("tail.jsonl")) not in paths
+    one = [p for p in paths if "/slug/n" in p]
+    assert one == sorted(one)  # batches follow the order of paths
+    marks = {r["path"]: r for r in other.raw("ingest_files").collect()}
+    assert str(bad) not in marks or marks[str(bad)]["last_error"].startswith("FileNotFoundError")
+    ingest.collect(store, roots, card)
+    rows = lambda s, t, *c: sorted(map(repr, s.table(t).select(*c).collect()))
+    assert rows(other, "messages", "dedup_key", "session_id", "cost_usd", "latency_ms") == rows(store, "messages", "dedup_key", "session_id", "cost_usd", "latency_ms")
+    assert rows(other, "sessions", "session_id", "total_tokens") == rows(store, "sessions", "session_id", "total_tokens")
+    # by bytes: each order but its last file keeps within the bound
+    for i in range(4):
+        write(files["one"].with_name(f"n{i:02}.jsonl"), answer(f"x{i}", session=f"n{i}", second=9, blocks=("text",)), "a")
+    size = len(json.dumps(answer("x0", session="n0", second=9, blocks=("text",))[0])) + 1
+    asked.clear()
+    assert collect_available(spark, other, roots, card, at, max_bytes=2 * size) == 2
+    assert [len(p) for _, p in asked] == [2, 2]
+    assert other.raw("messages").count() == store.raw("messages").count() + 4
+
+
 def test_listing_by_tasks(tmp_path, spark):
     from meterlake.sources import discovery
 

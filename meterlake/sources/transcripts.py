@@ -1,8 +1,9 @@
 """Lines of the two transcript dialects and of the run history to normalized rows.
 
 A line is parsed once, into a struct that names only the fields below: what people and models said is never carried on (P26).
-The struct comes out of a generator, as filters above one aren't pushed below it, where each would parse the line again; what no struct can
-hold (lists of mixed kinds, lines without a type) is looked at as a VARIANT, on these lines alone.
+The struct comes out of a generator, as filters above one aren't pushed below it, where each would parse the line again.  A field that is now a text and now a list
+(content) is a text in it, since where a field isn't of its type, Spark raises and catches, which costs several times what the line does; the blocks of lists that hold calls or results are parsed on these lines alone.
+So are, as a VARIANT, lists of mixed kinds and lines without a type.
 What one line needs from the lines before it (a response's first line, the running session and model) are windows over
 the file's lines, so a file is the unit of work and files run side by side.
 
@@ -79,20 +80,25 @@ STRICT = {"allowSingleQuotes": "false"}
 def parsed(lines: DataFrame, schema: str) -> DataFrame:
     """Adds the fields of ``schema`` as columns, and object (whether the line is a JSON object)."""
     named = lines.select("raw", *[F.col(c).alias(f"of_{c}") for c in lines.columns if c != "raw"])  # fields and files share names
-    made = named.select("*", F.inline(F.array(F.from_json(F.coalesce("raw", F.lit("")), schema, STRICT))))
+    ended = F.endswith(F.expr(r"TRIM(TRAILING ' \t\r\n' FROM raw)"), F.lit("}"))  # no other line can be an object
+    made = named.select("*", F.inline(F.array(F.from_json(F.when(ended, F.col("raw")).otherwise(""), schema, STRICT))))
     typed = F.col("type").isNotNull() & F.endswith(F.rtrim("raw"), F.lit("}"))
-    return made.withColumn("object", F.when(typed, True).otherwise(_is_object("raw")))
+    return made.withColumn("object", F.when(typed, True).when(ended, _is_object("raw")).otherwise(False))
+
+
+#: The fields of a content block that are read.
+BLOCKS = "array<struct<type: string, id: string, name: string, tool_use_id: string, is_error: string>>"
 
 
 def _blocks(content: str, mark: str, **fields: str) -> Column:
-    """The blocks of kind ``mark`` in a content list, as structs; none where it is no list."""
+    """The blocks of kind ``mark`` in a content list, as structs; none where it is no list, also where it is a text that looks like one."""
     flag = lambda c, n: c.try_cast("boolean") if n == "is_error" else c
-    plain = F.transform(F.filter(F.col(content), lambda b: b["type"] == mark), lambda b: F.struct(*[flag(b[p], n).alias(n) for n, p in fields.items()]))
-    # a list that holds other things than objects
-    mixed = F.coalesce(F.try_variant_get(F.try_parse_json("raw"), f"$.{content}", "array<variant>"), F.array().cast("array<variant>"))
-    wanted = F.filter(mixed, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == mark, F.lit(False)))
-    slow = F.transform(wanted, lambda b: F.struct(*[F.try_variant_get(b, f"$.{p}", "boolean" if n == "is_error" else "string").alias(n) for n, p in fields.items()]))
-    return F.when(F.col(content).isNotNull(), plain).when(F.contains("raw", F.lit(f'"{mark}"')), slow)
+    parent, name = content.split(".")
+    plain = F.from_json("raw", f"{parent} struct<{name}: {BLOCKS}>", STRICT)[parent][name]
+    mixed = F.try_variant_get(F.try_parse_json("raw"), f"$.{content}", BLOCKS)  # a list that holds other things than objects
+    # the content is a text that Spark has written anew, so a mark stands in it as it is here
+    may = F.startswith(F.col(content), F.lit("[")) & F.contains(F.col(content), F.lit(f'"{mark}"'))
+    return F.when(may, F.transform(F.filter(F.coalesce(plain, mixed), lambda b: b["type"] == mark), lambda b: F.struct(*[flag(b[p], n).alias(n) for n, p in fields.items()])))
 
 
 # The first dialect: a response is several lines, one content block each, that all repeat its usage.
@@ -101,13 +107,13 @@ def _blocks(content: str, mark: str, **fields: str) -> Column:
 #: The fields of a line that are read. Counts are text first, as any JSON value may stand there.
 CLAUDE = """type string, sessionId string, timestamp string, requestId string, agentId string, attributionAgent string, isSidechain string, uuid string, parentUuid string, cwd string,
   gitBranch string, version string, diagnostics struct<cache_miss_reason string>, message struct<id string, model string, stop_reason string,
-  content array<struct<type string, id string, name string, tool_use_id string, is_error string>>, usage struct<input_tokens string, output_tokens string,
+  content string, usage struct<input_tokens string, output_tokens string,
   cache_read_input_tokens string, cache_creation_input_tokens string, iterations array<string>, cache_creation map<string, string>>>"""
 SEED = "struct<session_id: string, cwd: string, model: string, provider: string>"
 PI_USAGE = "struct<input string, output string, reasoning string, cacheRead string, cacheWrite string, cacheWrite1h string, totalTokens string, cost struct<total double>>"
 PI = f"""type string, id string, timestamp string, cwd string, modelId string, provider string, parentId string, tokensBefore string, usage {PI_USAGE},
   details struct<readFiles array<string>, modifiedFiles array<string>>, message struct<role string, model string, provider string, responseModel string, api string, stopReason string,
-  toolCallId string, toolName string, isError string, usage {PI_USAGE}, content array<struct<type string, id string, name string>>>"""
+  toolCallId string, toolName string, isError string, usage {PI_USAGE}, content string>"""
 
 
 def _of(*names: str) -> list[Column]:

@@ -116,12 +116,25 @@ def f6_recent(s: SparkSession, d: str) -> DataFrame:
 
 
 def f10_leaks(s: SparkSession, d: str) -> DataFrame:
-    """Rows that hold what was said: none of the parsers', all lines that said it."""
-    typed, p = claude(s, d), pi(s, d)
-    found = {"lines": b.view(s, d, b.CLAUDE_LINES), "messages": t.claude_messages(typed).unionByName(t.pi_messages(p)), "tool_calls": t.claude_tool_calls(typed).unionByName(t.pi_tool_calls(p)),
-             "runs": t.claude_subagent_runs(typed).unionByName(t.history_runs(history(s, d)))}
-    out = [reports.leaks(df, "CANARY").agg(F.lit(k).alias("table"), F.count("*").alias("leaks")) for k, df in found.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    """Rows that hold what was said: none of the parsers', all lines that said it.
+
+    Typed lines are written once and read by the three tables that come of them, which would each parse all lines again; they are deleted when the counts are there.
+    """
+    at = scratch(s)
+
+    def laid(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return s.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    folder = s._jvm.org.apache.hadoop.fs.Path(f"{at}/typed")
+    try:
+        typed, p = laid(claude(s, d), "typed/claude"), laid(pi(s, d), "typed/pi")
+        found = {"lines": b.view(s, d, b.CLAUDE_LINES), "messages": t.claude_messages(typed).unionByName(t.pi_messages(p)), "tool_calls": t.claude_tool_calls(typed).unionByName(t.pi_tool_calls(p)),
+                 "runs": t.claude_subagent_runs(typed).unionByName(t.history_runs(history(s, d)))}
+        out = [reports.leaks(df, "CANARY").agg(F.lit(k).alias("table"), F.count("*").alias("leaks")) for k, df in found.items()]
+        return laid(out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]), "leaks")
+    finally:
+        folder.getFileSystem(s._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def scratch(s: SparkSession) -> str:

@@ -43,3 +43,15 @@ def test_contents_of_every_shape(spark):
 def test_fields_of_two_kinds_have_no_fixed_type():
     """A field that isn't of its type makes Spark raise for each such line."""
     assert "content string" in t.CLAUDE and "content string" in t.PI
+
+
+def test_leaks_are_counted_over_lines_parsed_once(spark, monkeypatch, tmp_path):
+    """The three tables of a dialect read its written lines; nothing that was written stays but the counts."""
+    from meterlake.plans import ingestion
+
+    monkeypatch.setattr(ingestion, "scratch", lambda s: f"file://{tmp_path}/at")
+    made = ingestion.f10_leaks(spark, SF)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
+    assert [p.name for p in (tmp_path / "at").iterdir()] == ["leaks"]
+    assert {r["table"]: r["leaks"] for r in made.collect()}.keys() == {"lines", "messages", "tool_calls", "runs"}

@@ -10,12 +10,18 @@ from pyspark.sql.window import Window
 LATENCY_CAP_MS, RECENT_MS = 1_800_000, 2 * 86_400_000
 
 
+#: What ``latency`` and ``sessions`` read of a message.
+TIMED = ("dedup_key", "agent", "session_id", "agent_run_id", "ts_epoch_ms")
+SUMMED = ("agent", "session_id", "ts", "ts_epoch_ms", "kind", "is_sidechain", "cwd", "project_slug", "git_branch", "model", "cost_usd",
+          "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens")
+
+
 def latency(messages: DataFrame, only_null: bool = False) -> DataFrame:
     """``latency_ms``: time since the message before, per session and run; null when out of range."""
     w = Window.partitionBy("agent", "session_id", F.coalesce("agent_run_id", F.lit(""))).orderBy("ts_epoch_ms", "dedup_key")
-    gap = F.col("ts_epoch_ms") - F.lag("ts_epoch_ms").over(w)
-    new = F.when(gap.between(0, LATENCY_CAP_MS), gap)
-    return messages.withColumn("latency_ms", F.coalesce("latency_ms", new) if only_null and "latency_ms" in messages.columns else new)
+    new = F.when(F.col("__gap").between(0, LATENCY_CAP_MS), F.col("__gap"))
+    timed = messages.withColumn("__gap", F.col("ts_epoch_ms") - F.lag("ts_epoch_ms").over(w))  # once for all that is said of it
+    return timed.withColumn("latency_ms", F.coalesce("latency_ms", new) if only_null and "latency_ms" in messages.columns else new).drop("__gap")
 
 
 def recent(messages: DataFrame, since_ms: int) -> DataFrame:

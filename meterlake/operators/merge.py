@@ -45,6 +45,12 @@ def merge_calls(halves: DataFrame, order: Sequence[str] = ("seq",), key: str = "
     return m.withColumn("duration_ms", F.coalesce(took, "duration_ms") if "duration_ms" in m.columns else took)
 
 
+def outcomes(halves: DataFrame, order: Sequence[str], key: str = "dedup_key") -> DataFrame:
+    """Whose each call is and whether it failed, as ``merge_calls`` has it, for those who count calls: a row carries its place in ``order`` twice at most."""
+    made = halves.groupBy(key).agg(F.min(F.struct(*order, "agent", "session_id")).alias("first"), F.max(F.when(F.col("is_error").isNotNull(), F.struct(*order, "is_error"))).alias("last"))
+    return made.select(key, "first.agent", "first.session_id", F.col("last.is_error").alias("is_error"))
+
+
 def merge_runs(rows: DataFrame, order: Sequence[str] = ("seq",), key: str = "dedup_key") -> DataFrame:
     """Runs of helpers told by several sources, to one row a key."""
     return coalesced(rows, order, [c for c in RUN_NEWEST if c in rows.columns], (), key)

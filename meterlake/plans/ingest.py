@@ -21,7 +21,6 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +91,10 @@ class Roots:
         return [self.projects_dir, self.sessions_dir, self.history_path]
 
 
-#: Which parser reads which kinds of files: typed lines, then messages, halves of calls and helper runs of these.
+#: Which parser reads which kinds of files: typed lines, then messages and halves of calls of these, and helper runs of these and their messages.
 DIALECTS = {"claude": ("claude_session", "claude_subagent"), "pi": ("pi_session", "pi_subagent_session"), "history": ("pi_run_history",)}
-PARSERS = {"claude": (transcripts.claude_lines, transcripts.claude_messages, transcripts.claude_tool_calls, transcripts.claude_subagent_runs),
-           "pi": (transcripts.pi_lines, transcripts.pi_messages, transcripts.pi_tool_calls, None), "history": (transcripts.history_lines, None, None, transcripts.history_runs)}
+PARSERS = {"claude": (transcripts.claude_lines, transcripts.claude_messages, transcripts.claude_tool_calls, lambda typed, said: transcripts.runs_of_messages(said)),
+           "pi": (transcripts.pi_lines, transcripts.pi_messages, transcripts.pi_tool_calls, None), "history": (transcripts.history_lines, None, None, lambda typed, said: transcripts.history_runs(typed))}
 
 
 def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, card: rates.RateCard, stats: RunStats, max_skipped: int = 1000) -> None:
@@ -105,40 +104,35 @@ def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, card: rat
     """
     spark, now = store.spark, now_iso()
     seq = store._manifest()[0] + 1
-    held: list[DataFrame] = []
-
-    def kept(df: DataFrame) -> DataFrame:
-        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))  # a lost executor makes its part again
-        return held[-1]
-
-    try:
+    with store.laying() as laid:
         at = files.agg(F.collect_set(store.bucket("ingest_files")).alias("paths"), F.collect_set("kind").alias("kinds")).first()
         paths, kinds = at["paths"], {*at["kinds"]}
         marks = store.raw("ingest_files", paths)
         seeds = marks.select("path", F.col("seed").alias("before"))
         of = files.join(seeds, "path", "left").withColumn("seed", F.when(F.col("start") > 0, F.col("before"))).drop("before", "inode", "size_bytes", "mtime_ns", "reset", "start")
-        typed = {k: kept(f(read[k].join(of.filter(F.col("kind").isin(*DIALECTS[k])), "path"))) for k, (f, *_) in PARSERS.items() if kinds & {*DIALECTS[k]}}
-        bad = kept(reduce(DataFrame.unionByName, [t.filter("error IS NOT NULL").select("path", "error") for t in typed.values()]).groupBy("path").agg(F.min("error").alias("error")))
+        typed = {k: laid(f(read[k].join(of.filter(F.col("kind").isin(*DIALECTS[k])), "path"))) for k, (f, *_) in PARSERS.items() if kinds & {*DIALECTS[k]}}
+        bad = laid(reduce(DataFrame.unionByName, [t.filter("error IS NOT NULL").select("path", "error") for t in typed.values()]).groupBy("path").agg(F.min("error").alias("error")))
         failed = bad.count()
         if failed:  # nothing of a file that was read in part
             typed = {k: t.join(bad, "path", "left_anti") for k, t in typed.items()}
         ends = [t.groupBy("path").agg(F.max("end_offset").alias("byte_offset"), F.count_if("line").alias("lines_ingested"), F.count_if("skipped").alias("lines_skipped")) for t in typed.values()]
 
         # of the copies of a key the first in order is new, if none is stored; only buckets that may hold one of these keys are read
-        rows = lambda i, schema: reduce(DataFrame.unionByName, [PARSERS[k][i](t) for k, t in typed.items() if PARSERS[k][i]] or [spark.createDataFrame([], schema)])
-        messages = priced(rows(1, transcripts.MESSAGE_ROW), card).withColumnsRenamed({"source_kind": "order_kind"})
-        first = kept(merge.first_of(messages.drop("path"), ["order_kind", "source_file", "end_offset"]))
-        stored = store.raw("message_keys", store.buckets_of("message_keys", first))
-        new = kept(first.join(stored, "dedup_key", "left_anti").withColumn("ingested_at", F.lit(now)))
+        rows = lambda i, schema, *more: reduce(DataFrame.unionByName, [PARSERS[k][i](t, *[m[k] for m in more]) for k, t in typed.items() if PARSERS[k][i]] or [store.none(schema)])
+        said = laid(rows(1, transcripts.MESSAGE_ROW))
+        messages = priced(said, card).withColumnsRenamed({"source_kind": "order_kind"})
+        first = merge.first_of(messages.drop("path"), ["order_kind", "source_file", "end_offset"])
+        stored = store.raw("message_keys", store.buckets_of("message_keys", said))
+        new = laid(first.join(stored, "dedup_key", "left_anti").withColumn("ingested_at", F.lit(now)))
         told = {"seq": F.lit(seq), "ingested_at": F.lit(now)}
-        calls = kept(rows(2, transcripts.CALL_ROW).withColumns(told))
-        runs = rows(3, transcripts.RUN_ROW).withColumns(told)
-        touched = kept(new.select("agent", "session_id").unionByName(calls.select("agent", "session_id")).distinct())
-        made = derived(store, new, calls, touched, kept)
+        calls = laid(rows(2, transcripts.CALL_ROW).withColumns(told))
+        runs = rows(3, transcripts.RUN_ROW, {k: said.filter(F.col("source_kind").isin(*kinds)) for k, kinds in DIALECTS.items()}).withColumns(told)
+        touched = laid(new.select("agent", "session_id").unionByName(calls.select("agent", "session_id")).distinct())
+        made = derived(store, new, calls, touched, laid)
         zero = F.lit(0).cast("long")
         many = F.when(F.col("lines_skipped") > max_skipped, F.concat(F.col("lines_skipped").cast("string"), F.lit(" lines could not be parsed")))
         marked = files.join(reduce(DataFrame.unionByName, ends), "path", "left").join(transcripts.pi_state(typed["pi"]) if "pi" in typed else seeds.select("path", F.lit(None).cast(transcripts.SEED).alias("seed")), "path", "left").join(bad, "path", "left").join(seeds, "path", "left")
-        marked = kept(marked.withColumns({
+        marked = laid(marked.withColumns({
             "byte_offset": F.coalesce("byte_offset", "start"), "lines_ingested": F.coalesce("lines_ingested", zero), "lines_skipped": F.coalesce("lines_skipped", zero),
             "last_error": F.coalesce("error", many), "reset": F.col("reset") & F.col("error").isNull(), "source_kind": F.col("kind"),
             "seed": F.when(F.col("error").isNull(), F.coalesce("seed", F.when(F.col("start") > 0, F.col("before")))).otherwise(F.col("before")),
@@ -154,15 +148,12 @@ def ingest(store: Store, read: dict[str, DataFrame], files: DataFrame, card: rat
             stats.unknown_models = sorted({*stats.unknown_models, *[r["model"] for r in unknown_models(messages).collect()]})  # names of models, each once
             stats.end()
             w.append("ingest_runs", spark.createDataFrame([stats.row()], SCHEMAS["ingest_runs"]))
-    finally:
-        for df in held:
-            df.unpersist()
 
 
-def derived(store: Store, new: DataFrame, calls: DataFrame, touched: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> dict:
+def derived(store: Store, new: DataFrame, calls: DataFrame, touched: DataFrame, laid: Callable[[DataFrame], DataFrame]) -> dict:
     """What ``new`` messages and halves of ``calls`` change: messages (``new`` with latency_ms), fixes (stored messages whose latency is another now), sessions (all rows of ``buckets``), buckets.
 
-    Stored rows of the ``touched`` sessions (agent, session_id) are read once, from their buckets alone, and held by ``kept`` for the three.
+    Stored rows of the ``touched`` sessions (agent, session_id) are read from their buckets alone, in the columns that are timed or summed; ``laid`` holds what is timed.
     """
     keys = ["agent", "session_id"]
     buckets = store.buckets_of("sessions", touched)
@@ -170,11 +161,13 @@ def derived(store: Store, new: DataFrame, calls: DataFrame, touched: DataFrame,
     of = lambda df: df.join(touched, keys, "left_semi")
     if not buckets:
         return {"messages": new, "fixes": store.raw("latency_fixes").limit(0), "buckets": []}
-    old = of(store.table("messages", buckets)).withColumns({"was": F.col("latency_ms"), "stored": F.lit(True)})
+    old = of(store.table("messages", buckets).select(*derive.TIMED, "latency_ms")).withColumns({"was": F.col("latency_ms"), "stored": F.lit(True)})
     every = old.unionByName(new.withColumn("stored", F.lit(False)), allowMissingColumns=True)
-    timed = kept(derive.latency(every))
-    halves = of(store.raw("tool_calls", buckets)).unionByName(calls, allowMissingColumns=True)
-    sessions = derive.sessions(timed, merge.merge_calls(halves, TOLD)).withColumns({"updated_at": now, "shipped_at": F.lit(None).cast("string")})
+    timed = laid(derive.latency(every))
+    told = ("dedup_key", *keys, "is_error", *TOLD)
+    halves = of(store.raw("tool_calls", buckets).select(*told)).unionByName(calls.select(*told))
+    summed = of(store.raw("messages", buckets).select(*derive.SUMMED)).unionByName(new.select(*derive.SUMMED))
+    sessions = derive.sessions(summed, merge.outcomes(halves, TOLD)).withColumns({"updated_at": now, "shipped_at": F.lit(None).cast("string")})
     before = store.raw("sessions", buckets)
     return {"messages": timed.filter("NOT stored"), "fixes": timed.filter("stored AND NOT latency_ms <=> was").select(*keys, "dedup_key", "latency_ms"), "buckets": buckets,
             "sessions": merge.replace_rows(before, sessions.select(*before.columns), keys)}

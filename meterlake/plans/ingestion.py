@@ -151,12 +151,11 @@ def scratch(s: SparkSession) -> str:
 def t3_replay(s: SparkSession, d: str) -> DataFrame:
     """Three micro-batches in an order that makes lines late, each given twice: messages, tokens and latencies of each session are those of its lines, once."""
     store = Store(s, scratch(s), buckets=8)
-    said = b.view(s, d, b.CLAUDE_LINES).withColumn("of", F.expr("event_id div 2 % 3")).select(F.concat(F.lit("/c/slug/"), "path", F.lit(".jsonl")).alias("path"), "end_offset", "raw", "of").persist()
+    said = b.view(s, d, b.CLAUDE_LINES).withColumn("of", F.expr("event_id div 2 % 3")).select(F.concat(F.lit("/c/slug/"), "path", F.lit(".jsonl")).alias("path"), "end_offset", "raw", "of")
     card = rates.RateCard(b.VERSION, b.constant(s, b.RATES), b.constant(s, b.ALIASES), 2, 3)
     for number, of in enumerate((2, 0, 1)):
         for _ in range(2):
-            tail.take_batch(store, ingest.Roots("/c", "/s", "/h"), card, said.filter(F.col("of") == of).drop("of").withColumn("start", F.lit(number).cast("long")), number, "t3_replay")
-    said.unpersist()
+            tail.take_batch(store, ingest.Roots("/c", "/s", "/h"), card, said.filter(F.col("of") == of).drop("of").withColumn("start", F.lit(number).cast("long")), number, "t3_replay", held=False)
     m = store.table("messages").groupBy("session_id").agg(F.count("*").alias("messages"), F.sum("total_tokens").alias("total_tokens"), F.sum("latency_ms").alias("latency_ms"), F.count("latency_ms").alias("timed"))
     return m.join(store.raw("sessions").select("session_id", "message_count", "subagent_message_count"), "session_id")
 

@@ -13,6 +13,7 @@ table; ``compact`` writes the merged rows back.  ``messages`` has the latency th
 from __future__ import annotations
 
 import contextlib
+import itertools
 import json
 import time
 import uuid
@@ -58,6 +59,8 @@ BUCKETED = {**dict.fromkeys(("messages", "latency_fixes", "tool_calls", "session
 BUCKETS = 32
 #: Folders of a table above which a run compacts it, and seconds that superseded ones are kept for their readers.
 MANY, KEPT_S = 64, 86_400
+#: The folder of what a run lays down for itself.
+WORK = "_work"
 SHIPPED = ("messages", "sessions", "tool_calls", "subagent_runs", "experiments")
 #: The order in which halves of one key were told.
 TOLD = ("seq", "source_kind", "source_file", "end_offset")
@@ -104,17 +107,22 @@ class Store:
         """The table as it lies there; of ``buckets`` only, if they are given."""
         folders = self._manifest()[1].get(table, [])
         if not folders:
-            return self.spark.createDataFrame([], SCHEMAS[table])
+            return self.none(SCHEMAS[table])
         df = self.spark.read.option("basePath", f"{self.root}/{table}").schema(SCHEMAS[table] + ", run string" + (", bucket int" if table in BUCKETED else "")).parquet(*[f"{self.root}/{f}" for f in folders])
         return (df if buckets is None else df.filter(F.col("bucket").isin(buckets))).drop("run", "bucket")
 
+    def none(self, schema: str) -> DataFrame:
+        """No rows, which Spark's optimizer knows, so nothing is shuffled to be joined with them."""
+        return self.spark.range(0).filter("false").selectExpr(*[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in StructType.fromDDL(schema)])
+
     def table(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         df = self.raw(table, buckets)
         if table == "tool_calls":
             return merge.merge_calls(df, TOLD)
         if table == "messages":
-            fixed = self.raw("latency_fixes", buckets).groupBy("dedup_key").agg(F.max_by(F.struct("latency_ms"), "seq").alias("fix"))
-            return df.join(fixed, "dedup_key", "left").withColumn("latency_ms", F.when(F.col("fix").isNotNull(), F.col("fix.latency_ms")).otherwise(F.col("latency_ms"))).select(*df.columns)
+            # a fix may be null; numbers are aggregated in a hash table, where a struct would be sorted
+            fixed = self.raw("latency_fixes", buckets).groupBy("dedup_key").agg(F.max_by("latency_ms", "seq").alias("fix"), F.max("seq").alias("fixed"))
+            return df.join(fixed, "dedup_key", "left").withColumn("latency_ms", F.when(F.col("fixed").isNotNull(), F.col("fix")).otherwise(F.col("latency_ms"))).select(*df.columns)
         return merge.merge_runs(df, TOLD) if table == "subagent_runs" else df
 
     def took(self, query_id: str, batch: int) -> bool:
@@ -134,6 +142,24 @@ class Store:
             w.undo()
             raise
 
+    @contextlib.contextmanager
+    def laying(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A function that writes rows beside the tables and gives them as they are read again; in the end they are deleted.
+
+        The plan of what is laid ends there. Cached rows keep the plan that made them, and a plan over caches over caches holds each of these anew wherever it is named, so its text outgrows the driver.
+        """
+        at, n = f"{self.root}/{WORK}/{uuid.uuid4().hex}", itertools.count()
+
+        def laid(df: DataFrame) -> DataFrame:
+            path = f"{at}/{next(n)}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield laid
+        finally:
+            self._fs.delete(self._path(at), True)
+
     def meta(self, key: str) -> str | None:
         row = self.raw("meta").filter(F.col("key") == key).first()
         return row["value"] if row else None
@@ -176,6 +202,10 @@ class Store:
             for s in self._fs.listStatus(top) if self._fs.exists(top) else []:
                 if s.getPath().getName() not in live and now - s.getModificationTime() > KEPT_S * 1000:
                     self._fs.delete(s.getPath(), True)
+        work = self._path(f"{self.root}/{WORK}")
+        for s in self._fs.listStatus(work) if self._fs.exists(work) else []:  # of runs that were killed
+            if now - s.getModificationTime() > KEPT_S * 1000:
+                self._fs.delete(s.getPath(), True)
         for s in self._fs.listStatus(self._path(f"{self.root}/_manifests")):
             if s.getPath().getName() != f"{last:012d}.json" and now - s.getModificationTime() > KEPT_S * 1000:
                 self._fs.delete(s.getPath(), False)

@@ -183,7 +183,11 @@ def _calls(halves: DataFrame, *of_calls: str) -> DataFrame:
 
 def claude_subagent_runs(typed: DataFrame) -> DataFrame:
     """One row for each run that a message of the file names, from its first message."""
-    m = claude_messages(typed).filter("agent_run_id IS NOT NULL AND agent_run_id != ''")
+    return runs_of_messages(claude_messages(typed))
+
+
+def runs_of_messages(messages: DataFrame) -> DataFrame:
+    m = messages.filter("agent_run_id IS NOT NULL AND agent_run_id != ''")
     rank = F.row_number().over(Window.partitionBy("path", "agent_run_id").orderBy("end_offset"))
     first = m.withColumn("rank", rank).filter("rank = 1")
     first = first.withColumns({"dedup_key": keys.subagent_key("session_id", "agent_run_id"), "source": F.lit("claude-subagent-transcript"), "parent_session_id": F.col("session_id"),

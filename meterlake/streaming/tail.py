@@ -35,22 +35,25 @@ def stream_lines(spark: SparkSession, roots: list[str], state: str, max_files: i
     return spark.readStream.format("transcript_lines").options(**options).load()
 
 
-def take_batch(store: Store, roots: ingest.Roots, card: rates.RateCard, batch: DataFrame, number: int, query_id: str) -> None:
-    """One micro-batch (lines with ``start``, from where on their file is read) into the tables, once."""
+def take_batch(store: Store, roots: ingest.Roots, card: rates.RateCard, batch: DataFrame, number: int, query_id: str, held: bool = True) -> None:
+    """One micro-batch (lines with ``start``, from where on their file is read) into the tables, once.
+
+    Lines are ``held`` for the dialects, which each take theirs, unless those of one are all there is and paths cost little.
+    """
     if store.took(query_id, number):
         return
-    got = batch.persist()  # each dialect takes its lines of it
+    got = batch.persist() if held else batch
     try:
-        span = got.groupBy("path").agg(F.min("start").alias("start"))
-        files = discovery.stats(discovery.classify(span, roots.projects_dir, roots.sessions_dir, roots.history_path)).withColumn("reset", F.col("start") == 0).persist()
-        n = files.count()
-        if n:
-            stats = ingest.RunStats(f"batch_{number}", ingest.now_iso(), files_scanned=n, files_read=n, query_id=query_id, batch=number)
-            of_kind = lambda kinds: got.drop("start").join(files.filter(F.col("kind").isin(*kinds)).select("path"), "path", "left_semi")
-            ingest.ingest(store, {k: of_kind(kinds) for k, kinds in ingest.DIALECTS.items()}, files, card, stats)
-        files.unpersist()
+        with store.laying() as laid:
+            span = laid(got.groupBy("path").agg(F.min("start").alias("start")))  # else every line would be classified, as filters on paths are pushed below
+            files = laid(discovery.stats(discovery.classify(span, roots.projects_dir, roots.sessions_dir, roots.history_path)).withColumn("reset", F.col("start") == 0))
+            n = files.count()
+            if n:
+                stats = ingest.RunStats(f"batch_{number}", ingest.now_iso(), files_scanned=n, files_read=n, query_id=query_id, batch=number)
+                ingest.ingest(store, dict.fromkeys(ingest.DIALECTS, got.drop("start")), files, card, stats)
     finally:
-        got.unpersist()
+        if held:
+            got.unpersist()
     store.compact(MANY)
 
 
